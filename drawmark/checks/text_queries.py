@@ -108,9 +108,9 @@ _SPAN_AT = ("CASE WHEN regexp_matches(text, '^[YXBH][A-Z0-9-]') THEN 0 "
             "ELSE CAST(length(regexp_extract(text, '^(.*?[^A-Z0-9])[YXBH][A-Z0-9-]', 1)) AS INTEGER) END")
 
 
-@query("P7", f"SELECT page_id, seq, code AS old_text, 'H' || code AS new_text, x1 + 10 * at AS x1, y1, "
-             f"x1 + 10 * (at + CAST(length(code) AS INTEGER)) AS x2, y2 FROM "
-             f"(SELECT *, {_SPAN_CODE} AS code, {_SPAN_AT} AS at FROM ocr_items) WHERE length(code) >= 7 AND seq % 3 <> 0", ("ocr_items",))
+@query("P7", f"SELECT page_id, seq, code AS old_text, 'H' || code AS new_text, x1 + 10 * st AS x1, y1, "
+             f"x1 + 10 * (st + CAST(length(code) AS INTEGER)) AS x2, y2 FROM "
+             f"(SELECT *, {_SPAN_CODE} AS code, {_SPAN_AT} AS st FROM ocr_items) WHERE length(code) >= 7 AND seq % 3 <> 0", ("ocr_items",))
 def p7(spark, sf):
     spans = item_ops.as_spans(view(spark, sf, "ocr_items"))
     return item_ops.span_codes(spans).select("page_id", "seq", "old_text", "new_text", "x1", "y1", "x2", "y2")
@@ -264,18 +264,16 @@ _LABEL_SQL = f"""
      WHEN upper(text) LIKE 'DWG NO%' THEN 6 WHEN upper(text) LIKE 'DWGNO%' THEN 5 WHEN upper(text) LIKE 'DWG%' THEN 3 ELSE 0 END AS skip0 FROM ocr_items WHERE upper(text) LIKE 'DWG%')),
   part1 AS (SELECT *, substr(up, CAST(skip + 1 AS INTEGER)) AS rest, replace(substr(up, CAST(skip + 1 AS INTEGER)), ' ', '') AS joined FROM lab),
   part2 AS (SELECT *, {num('joined')} AS plain, {backfill('joined')} AS fixed FROM part1),
-  part3 AS (SELECT *, coalesce(plain, {num('fixed')}) AS number, CASE WHEN plain IS NOT NULL THEN strpos(joined, plain) - 1 ELSE strpos(fixed, {num('fixed')}) - 1 END AS at FROM part2),
-  part4 AS (SELECT *, skip + length(regexp_extract(rest, '^(?: *[^ ]){{' || CAST(at AS VARCHAR) || '}}')) AS off FROM part3 WHERE number IS NOT NULL)
+  part3 AS (SELECT *, coalesce(plain, {num('fixed')}) AS number, CASE WHEN plain IS NOT NULL THEN strpos(joined, plain) - 1 ELSE strpos(fixed, {num('fixed')}) - 1 END AS st FROM part2),
+  part4 AS (SELECT *, skip + length(regexp_extract(rest, '^(?: *[^ ]){{' || CAST(st AS VARCHAR) || '}}')) AS off FROM part3 WHERE number IS NOT NULL)
 """
 
 
 @query("P29", _LABEL_SQL + f"""SELECT page_id, seq, number, CAST(off AS INTEGER) AS char_offset, {tr('nx')} AS x1, y1, {tr('nx')} + greatest({tr('x2 - nx')}, 1) AS x2, y1 + greatest(y2 - y1, 1) AS y2
    FROM (SELECT *, x1 + (x2 - x1) * (off / length(up)) AS nx FROM part4)""", ("ocr_items",))
 def p29(spark, sf):
-    items = view(spark, sf, "ocr_items").filter(F.upper("text").startswith("DWG"))
-    number, offset, box = readings.labelled_number(F.col("text"), Box.corners())
-    return items.select("page_id", "seq", number.alias("number"), offset.cast("int").alias("char_offset"),
-                        *box.columns()).filter("number IS NOT NULL")
+    return item_ops.labelled_numbers(view(spark, sf, "ocr_items")).select(
+        "page_id", "seq", "number", "char_offset", "x1", "y1", "x2", "y2")
 
 
 _CW9 = "(greatest(x2 - x1, 1) / greatest(length(replace(text, ' ', '')), 1))"

@@ -7,13 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from drawmark.functions.boxes import Box, whole
-from drawmark.functions.text import (
-    backfill_symbols, first_number, hit, no_spaces, number_pattern, position, prefix_class, strip,
-)
+from drawmark.functions.text import hit, no_spaces, position, prefix_class
 from drawmark.settings import LABEL_PREFIXES, LABEL_STARTS
 
-RELAXED_NUMBER = r"Y[A-Z0-9][A-Z0-9\-]{2,}"
-
 
 def tight_box(box: Box, start: Column, length: Column, total: Column) -> Box:
     """Box around a number inside a longer text, with a small margin."""
@@ -44,36 +40,6 @@ def widened(text: Column, box: Box, img_w: Column, img_h: Column) -> tuple[Colum
     return right, Box(box.x1, top, F.least(box.x2 + right, img_w), F.least(top + box.h + rise * 2, img_h))
 
 
-def independent_number(text: Column, prefixes: Sequence[str] | None = None) -> Column:
-    """Number in a text that is not led by a drawing label; the longer of the plain and space-less match."""
-    upper = strip(F.upper(text))
-    joined = no_spaces(upper)
-    plain, tight = first_number(upper, prefixes), first_number(joined, prefixes)
-    found = F.coalesce(F.when(F.length(tight) >= F.length(plain), tight), plain, tight,
-                       first_number(backfill_symbols(joined), prefixes))
-    labelled = upper.startswith(LABEL_STARTS[0])
-    for start in LABEL_STARTS[1:]:
-        labelled = labelled | upper.startswith(start)
-    return F.when(~labelled, found)
-
-
-def fallback_number(text: Column, prefixes: Sequence[str] | None = None) -> dict[str, Column]:
-    """Strict, then relaxed, then repaired match, with its start and the text it was found in."""
-    upper = strip(F.upper(text))
-    joined = no_spaces(upper)
-    fixed = backfill_symbols(joined)
-    strict, relaxed, repaired = (first_number(upper, prefixes), hit(joined, RELAXED_NUMBER),
-                                 first_number(fixed, prefixes))
-    pattern = number_pattern(prefixes)
-    return {
-        "number": F.coalesce(strict, relaxed, repaired),
-        "start": F.when(strict.isNotNull(), position(upper, pattern))
-                  .when(relaxed.isNotNull(), position(joined, RELAXED_NUMBER))
-                  .otherwise(position(fixed, pattern)),
-        "total": F.when(strict.isNotNull(), F.length(upper)).otherwise(F.length(joined)),
-    }
-
-
 def cropped_from(box: Box, start: Column, total: Column) -> Box:
     """Right part of the box from the given character on."""
     left = box.x1 + box.w * (start / F.greatest(total, F.lit(1)))
@@ -82,34 +48,18 @@ def cropped_from(box: Box, start: Column, total: Column) -> Box:
                box.y1 + F.greatest(box.h, F.lit(1)))
 
 
+def has_label(upper: Column) -> Column:
+    """Upper-cased text that a drawing label leads."""
+    led = upper.startswith(LABEL_STARTS[0])
+    for start in LABEL_STARTS[1:]:
+        led = led | upper.startswith(start)
+    return led
+
+
 def label_length(text: Column) -> Column:
     """Characters taken by a drawing label and the blanks and dots after it; 0 without a label."""
-    upper = F.upper(text)
-    label = None
-    for prefix in LABEL_PREFIXES:
-        test = upper.startswith(prefix) | text.startswith(prefix)
-        label = F.when(test, len(prefix)) if label is None else label.when(test, len(prefix))
-    label = label.otherwise(0)
-    rest = F.substring(upper, label + 1, F.length(upper))
-    return label + F.length(F.regexp_extract(rest, r"^[ .]*", 0))
-
-
-def labelled_number(text: Column, box: Box, prefixes: Sequence[str] | None = None) -> tuple[Column, Column, Box]:
-    """Number after a drawing label, its character offset in the text and its box."""
-    upper = F.upper(text)
-    skip = label_length(text)
-    rest = F.substring(upper, skip + 1, F.length(upper))
-    joined = no_spaces(rest)
-    plain = first_number(joined, prefixes)
-    fixed = backfill_symbols(joined)
-    number = F.coalesce(plain, first_number(fixed, prefixes))
-    pattern = number_pattern(prefixes)
-    at = F.when(plain.isNotNull(), position(joined, pattern)).otherwise(position(fixed, pattern))
-    # the shortest start of the rest that holds as many non-blank characters
-    counted = F.concat(F.lit("^(?: *[^ ]){"), at.cast("string"), F.lit("}"))
-    lead = F.call_function("regexp_extract", rest, counted, F.lit(0))
-    offset = F.when(number.isNotNull(), skip + F.length(lead))
-    return number, offset, cropped_from(box, offset, F.greatest(F.length(upper), F.lit(1)))
+    labels = "|".join(label.replace(".", "[.]") for label in LABEL_PREFIXES)
+    return F.length(F.regexp_extract(F.upper(text), f"^(?:{labels})[ .]*", 0))
 
 
 def estimated_number_box(text: Column, box: Box) -> Box:

@@ -28,6 +28,11 @@ def hit(col: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
 
 
+def bind(col: Column, use) -> Column:
+    """``use`` applied to ``col``, which is evaluated once however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, f"^{_BLANK}|{_BLANK}$", "")
 
@@ -53,12 +58,15 @@ def find_token(col: Column) -> Column:
 
 def backfill_symbols(col: Column, prefixes: Sequence[str] | None = None) -> Column:
     """Symbols that look like digits become digits; null unless the result starts with a number."""
-    fixed = swap(no_spaces(col), SYMBOL_DIGITS)
-    usable = fixed.rlike("^[A-Z0-9]*$") & (F.length(fixed) >= 5)
     start = "^" + number_pattern(prefixes)
-    y_led = F.concat(F.lit("Y"), F.substring(fixed, 2, 1 << 30))
-    return (F.when(usable & fixed.rlike(start), fixed)
-            .when(usable & fixed.startswith("T") & y_led.rlike(start), y_led))
+
+    def check(fixed: Column) -> Column:
+        usable = fixed.rlike("^[A-Z0-9]{5,}$")
+        y_led = F.concat(F.lit("Y"), F.substring(fixed, 2, 1 << 30))
+        return (F.when(usable & fixed.rlike(start), fixed)
+                .when(usable & fixed.startswith("T") & y_led.rlike(start), y_led))
+
+    return bind(swap(no_spaces(col), SYMBOL_DIGITS), check)
 
 
 def repair_digits(col: Column) -> Column:
@@ -77,7 +85,7 @@ def accepted(col: Column) -> Column:
 
 
 def compare_form(col: Column) -> Column:
-    return swap(no_spaces(F.upper(F.coalesce(col, F.lit("")))), CONFUSABLE_DIGITS)
+    return swap(no_spaces(F.upper(col)), CONFUSABLE_DIGITS)
 
 
 def v_alternative(token: Column) -> Column:
@@ -119,7 +127,7 @@ def clean_markup(col: Column) -> Column:
 
 def printable_share(col: Column) -> Column:
     kept = F.regexp_replace(col, r"[^\x20-\x7E\n\r\t]", "")
-    return F.length(kept) / F.length(col)
+    return F.length(kept) / F.nullif(F.length(col), F.lit(0))
 
 
 def has_vector_text(col: Column, min_chars: int = 50, ratio: float | None = 0.3) -> Column:

@@ -89,21 +89,22 @@ def result_rows(results: DataFrame) -> DataFrame:
 
 def number_hits(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
     """Items that hold a number once blanks are dropped (or symbols repaired), with the tight box."""
-    joined = text.no_spaces(F.upper("text"))
-    fixed = text.backfill_symbols(joined, prefixes)
-    plain = text.first_number(joined, prefixes)
-    read = items.withColumn("full_text", F.when(plain.isNull(), fixed).otherwise(joined))
-    read = read.withColumn("number", text.first_number(F.col("full_text"), prefixes)).filter("number IS NOT NULL")
-    start = text.position(F.col("full_text"), text.number_pattern(prefixes))
-    tight = readings.tight_box(Box.corners(), start, F.length("number"), F.length("full_text"))
-    return read.withColumn("area", Box.corners().area).withColumn("tight", tight.pack())
+    pattern = text.number_pattern(prefixes)
+    read = (items.withColumn("joined", text.no_spaces(F.upper("text")))
+            .withColumn("plain", text.first_number(F.col("joined"), prefixes))
+            .withColumn("full_text", F.when(F.col("plain").isNotNull(), F.col("joined"))
+                        .otherwise(text.backfill_symbols(F.col("joined"), prefixes)))
+            .withColumn("number", F.coalesce("plain", text.first_number(F.col("full_text"), prefixes)))
+            .filter("number IS NOT NULL")
+            .withColumn("start", text.position(F.col("full_text"), pattern)))
+    tight = readings.tight_box(Box.corners(), F.col("start"), F.length("number"), F.length("full_text"))
+    return (read.withColumn("area", Box.corners().area).withColumn("tight", tight.pack())
+            .drop("joined", "plain", "start"))
 
 
 def tight_numbers(items: DataFrame) -> DataFrame:
-    joined = text.no_spaces(F.upper("text"))
-    number = text.first_number(joined)
-    box = readings.tight_box(Box.corners(), text.position(joined, text.number_pattern()), F.length(number), F.length(joined))
-    return items.select("page_id", "seq", number.alias("number"), *box.columns()).filter("number IS NOT NULL")
+    plain = items.filter(text.first_number(text.no_spaces(F.upper("text"))).isNotNull())
+    return number_hits(plain).select("page_id", "seq", "number", "tight.*")
 
 
 def largest_number(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
@@ -125,34 +126,83 @@ def shift_left_edge(columns: DataFrame, items: DataFrame) -> DataFrame:
             .select("page_id", F.when(moved, F.col("edge")).otherwise(F.col("x1")).alias("x1"), "y1", "x2", "y2"))
 
 
+RELAXED_NUMBER = r"Y[A-Z0-9][A-Z0-9\-]{2,}"
+
+
+def _joined_reading(items: DataFrame, prefixes: Sequence[str] | None) -> DataFrame:
+    """Stages shared by the number searches. Each stage is a column of its own, so that the regular
+    expressions are evaluated once per row and the generated code stays small."""
+    return (items.withColumn("upper", text.strip(F.upper("text")))
+            .withColumn("joined", text.no_spaces(F.col("upper")))
+            .withColumn("plain", text.first_number(F.col("upper"), prefixes))
+            .withColumn("fixed", text.backfill_symbols(F.col("joined")))
+            .withColumn("repaired", text.first_number(F.col("fixed"), prefixes)))
+
+
+def independent_numbers(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Numbers in items that no drawing label leads: the longer of the plain and the blank-free match,
+    else the repaired one."""
+    read = (_joined_reading(items.filter(~readings.has_label(text.strip(F.upper("text")))), prefixes)
+            .withColumn("tight", text.first_number(F.col("joined"), prefixes)))
+    longer = F.when(F.length("tight") >= F.length("plain"), F.col("tight"))
+    box = Box.corners()
+    return read.select("page_id", "seq", F.coalesce(longer, "plain", "tight", "repaired").alias("number"),
+                       ((box.w > 0) & (box.h > box.w * 3)).alias("vertical"), *box.columns()).filter("number IS NOT NULL")
+
+
+def labelled_numbers(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Numbers after a drawing label, with their character offset in the text and their box."""
+    pattern = text.number_pattern(prefixes)
+    read = (items.withColumn("skip", readings.label_length(F.col("text"))).filter("skip > 0")
+            .withColumn("rest", F.substring(F.upper("text"), F.col("skip") + 1, F.length("text")))
+            .withColumn("joined", text.no_spaces(F.col("rest")))
+            .withColumn("plain", text.first_number(F.col("joined"), prefixes))
+            .withColumn("fixed", text.backfill_symbols(F.col("joined")))
+            .withColumn("number", F.coalesce("plain", text.first_number(F.col("fixed"), prefixes)))
+            .filter("number IS NOT NULL")
+            .withColumn("found_at", text.position(F.when(F.col("plain").isNotNull(), F.col("joined")).otherwise(F.col("fixed")), pattern)))
+    # the shortest start of the rest that holds as many non-blank characters
+    counted = F.concat(F.lit("^(?: *[^ ]){"), F.col("found_at").cast("string"), F.lit("}"))
+    lead = F.call_function("regexp_extract", F.col("rest"), counted, F.lit(0))
+    read = read.withColumn("char_offset", (F.col("skip") + F.length(lead)).cast("int"))
+    box = readings.cropped_from(Box.corners(), F.col("char_offset"), F.length("text"))
+    return read.select("page_id", "seq", "number", "char_offset", *box.columns())
+
+
+def fallback_numbers(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Strict, else relaxed, else repaired matches; the box starts at the match."""
+    pattern = text.number_pattern(prefixes)
+    read = (_joined_reading(items, prefixes)
+            .withColumn("relaxed", text.hit(F.col("joined"), RELAXED_NUMBER))
+            .withColumn("number", F.coalesce("plain", "relaxed", "repaired")).filter("number IS NOT NULL")
+            .withColumn("source", F.when(F.col("plain").isNotNull(), F.col("upper"))
+                        .when(F.col("relaxed").isNotNull(), F.col("joined")).otherwise(F.col("fixed")))
+            .withColumn("start", F.when(F.col("plain").isNull() & F.col("relaxed").isNotNull(),
+                                        text.position(F.col("source"), RELAXED_NUMBER))
+                        .otherwise(text.position(F.col("source"), pattern))))
+    box = Box.corners()
+    crop = readings.cropped_from(box, F.col("start"), F.length("source"))
+    use = (F.col("start") > 0) & (box.w > 0)
+    pairs = zip(crop.columns(), box.columns(), ("x1", "y1", "x2", "y2"))
+    return read.select("page_id", "seq", "number", *[F.when(use, a).otherwise(b).cast("int").alias(n) for a, b, n in pairs])
+
+
 def first_independent(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
     """First item of a page that is a number by itself."""
-    box = Box.corners()
-    found = items.select("page_id", "seq", readings.independent_number(F.col("text"), prefixes).alias("number"),
-                         ((box.w > 0) & (box.h > box.w * 3)).alias("vertical"), *box.columns()).filter("number IS NOT NULL")
-    return first_per(found, ["page_id"], [F.col("seq")], ["number", "seq", "vertical", "x1", "y1", "x2", "y2"])
+    return first_per(independent_numbers(items, prefixes), ["page_id"], [F.col("seq")],
+                     ["number", "seq", "vertical", "x1", "y1", "x2", "y2"])
 
 
 def first_labelled(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
     """First item of a page whose number follows a drawing label."""
-    number, _, box = readings.labelled_number(F.col("text"), Box.corners(), prefixes)
-    found = (items.filter(readings.label_length(F.col("text")) > 0)
-             .select("page_id", "seq", number.alias("number"), *box.columns()).filter("number IS NOT NULL"))
-    return first_per(found, ["page_id"], [F.col("seq")], ["number", "seq", "x1", "y1", "x2", "y2"])
+    return first_per(labelled_numbers(items, prefixes), ["page_id"], [F.col("seq")],
+                     ["number", "seq", "x1", "y1", "x2", "y2"])
 
 
 def first_fallback(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
-    """First item of a page that matches strictly, loosely or after repair; cropped to the match."""
-    parts = readings.fallback_number(F.col("text"), prefixes)
-    found = items.select("page_id", "seq", *Box.corners().columns(), *[c.alias(n) for n, c in parts.items()])
-    found = found.filter("number IS NOT NULL")
-    box = Box.corners()
-    crop = readings.cropped_from(box, F.col("start"), F.col("total"))
-    use = (F.col("start") > 0) & (box.w > 0)
-    found = found.select("page_id", "seq", "number", *[
-        F.when(use, a).otherwise(b).cast("int").alias(n)
-        for n, a, b in (("x1", crop.x1, box.x1), ("y1", crop.y1, box.y1), ("x2", crop.x2, box.x2), ("y2", crop.y2, box.y2))])
-    return first_per(found, ["page_id"], [F.col("seq")], ["number", "seq", "x1", "y1", "x2", "y2"])
+    """First item of a page that matches strictly, loosely or after repair."""
+    return first_per(fallback_numbers(items, prefixes), ["page_id"], [F.col("seq")],
+                     ["number", "seq", "x1", "y1", "x2", "y2"])
 
 
 def first_label_estimate(items: DataFrame) -> DataFrame:

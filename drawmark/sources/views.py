@@ -22,7 +22,8 @@ _ITEM_CODE = (
     " || CASE WHEN l_suppkey % 4 = 0 THEN ' ' WHEN l_suppkey % 4 = 1 THEN '/' ELSE '' END"
     " || 'C' || lpad(CAST(l_suppkey % 1000 AS STRING), 3, '0')"
 )
-_SEQ = "l_linenumber * CAST(100000000000000000 AS BIGINT) + (l_partkey % 100000000) * 1000000000 + l_suppkey % 1000000000"
+_SEQ = ("l_linenumber * CAST(100000000000000000 AS BIGINT) + (l_partkey % 10000000) * CAST(10000000000 AS BIGINT)"
+        " + (l_suppkey % 100000000) * 100 + CAST(floor(l_quantity) AS BIGINT)")
 _X1 = "CAST(l_partkey % 900 AS INT)"
 _Y1 = "CAST(l_linenumber * 65 + l_suppkey % 20 AS INT)"
 _X2 = "CAST(l_partkey % 900 + 90 + l_partkey % 40 AS INT)"
@@ -66,6 +67,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "l_orderkey AS page_id", "CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS axis",
         "CAST(l_linenumber * 65 + l_partkey % 12 AS INT) AS pos", "CAST(l_suppkey % 50 AS INT) AS start_px",
         "CAST(l_suppkey % 50 + 200 + floor(l_quantity) * 10 AS INT) AS end_px",
+        "CAST(l_suppkey % 3 AS INT) AS level",
     ]),
     "page_sizes": ("orders", [
         "o_orderkey AS page_id", "CAST(1000 + (o_orderkey % 5) * 400 AS INT) AS img_w",
@@ -90,7 +92,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
     "components": ("lineitem", [
         "l_orderkey AS page_id", f"{_SEQ} AS cc_id",
-        "CAST(l_partkey % 700 AS INT) AS x", "CAST(l_suppkey % 500 AS INT) AS y",
+        "CAST(l_partkey % 700 AS INT) AS x", "CAST((l_suppkey * 37 + l_partkey) % 500 AS INT) AS y",
         "CAST(CASE l_partkey % 5 WHEN 0 THEN 4 + l_suppkey % 6 WHEN 1 THEN 120 + l_suppkey % 150 WHEN 2 THEN 900 ELSE 20 + l_partkey % 60 END AS INT) AS w",
         "CAST(CASE l_partkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 90 + l_partkey % 50 ELSE 10 + l_suppkey % 30 END AS INT) AS h",
         "CAST(CASE l_suppkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 30 ELSE 150 + floor(l_quantity) * 140 END AS INT) AS area",

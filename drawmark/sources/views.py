@@ -153,10 +153,15 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CAST(l_partkey % 900 + 50 AS STRING) AS x2", "CAST(l_suppkey + 20 AS STRING) AS y2",
     ]),
     "replaced_files": ("orders", [
-        f"'H' || {_NUMBER} || '_' || CAST(o_orderkey AS STRING) || CASE o_orderkey % 3 WHEN 0 THEN '-R.tif' WHEN 1 THEN '-R.TIFF' ELSE '-R.png' END AS name",
+        "'HYA' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '_' || CAST(o_orderkey AS STRING)"
+        " || CASE o_orderkey % 3 WHEN 0 THEN '-R.tif' WHEN 1 THEN '-R.TIFF' ELSE '-R.png' END AS name",
     ]),
     "original_files": ("orders", [
-        f"{_NUMBER} || '_' || CAST(o_orderkey AS STRING) || CASE o_custkey % 3 WHEN 0 THEN '.tif' WHEN 1 THEN '.tiff' ELSE '.TIFF' END AS name",
+        "'YA' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '_' || CAST(o_orderkey AS STRING)"
+        " || CASE o_custkey % 3 WHEN 0 THEN '.tif' WHEN 1 THEN '.tiff' ELSE '.TIFF' END AS name",
+    ]),
+    "box_stems": ("lineitem", [
+        "'YA' || lpad(CAST(l_orderkey % 1000 AS STRING), 3, '0') || '_' || CAST(l_orderkey AS STRING) AS stem", f"{_ITEM_CODE} AS token",
     ]),
     "tasks": ("orders", [
         "o_orderkey AS docnumber", f"{_NUMBER} AS th", "CAST(o_orderkey % 5 AS STRING) AS bbh", f"{_FILE_NAME} AS filename",

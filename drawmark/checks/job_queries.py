@@ -381,7 +381,7 @@ def u4(spark, sf):
 def q0(spark, sf):
     from drawmark.operators.regions import REGIONS
     name = F.col("file_name")
-    kept = F.concat_ws(" ", *[F.when(~names.suppresses(name, r), F.lit(n)) for n, r in REGIONS.items()])
+    kept = F.concat_ws(" ", *[F.when(~names.suppresses(names.first_letter(name), r), F.lit(n)) for n, r in REGIONS.items()])
     return (files.routed(view(spark, sf, "drawing_files"))
             .select("size_bytes", names.file_format(name).alias("format"), "method", names.parsed_name(name)["matched"].alias("matched"), kept.alias("regions"))
             .groupBy("format", "method", "matched", "regions").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("size_bytes")))

@@ -11,17 +11,16 @@ from drawmark.settings import OUTPUT_FOLDERS, REVISION_PATTERNS, SUPPORTED_EXTEN
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"[^/]*$", 0)
+    return F.regexp_replace(path, r"^.*/", "")
 
 
 def suffix(path: Column) -> Column:
     """The extension with its dot; leading dots do not start one."""
-    return F.regexp_extract(base_name(path), r"^\.*[^.].*(\.[^.]*)$", 1)
+    return F.regexp_extract(path, r"(?:^|/)\.*[^./][^/]*?(\.[^./]*)$", 1)
 
 
 def stem(path: Column) -> Column:
-    base = base_name(path)
-    return F.substring(base, F.lit(1), F.length(base) - F.length(suffix(path)))
+    return F.regexp_replace(base_name(path), r"^(\.*[^.].*)\.[^.]*$", "$1")
 
 
 def extension(path: Column) -> Column:
@@ -86,14 +85,14 @@ def method_label(method: Column) -> Column:
     return F.when(method == "vector", "PDF Replacement").otherwise("VLMOCR")
 
 
-def suppresses(path: Column, region: str) -> Column:
-    """Whether the file's first letter keeps ``region`` out of the output."""
-    first = F.upper(F.substring(stem(path), 1, 1))
-    out = None
-    for letter, regions in SUPPRESSED_REGIONS.items():
-        rule = F.lit(region in regions)
-        out = F.when(first == letter, rule) if out is None else out.when(first == letter, rule)
-    return out.otherwise(F.lit(True))
+def first_letter(path: Column) -> Column:
+    return F.upper(F.substring(stem(path), 1, 1))
+
+
+def suppresses(letter: Column, region: str) -> Column:
+    """Whether a file's first letter keeps ``region`` out of the output."""
+    showing = [known for known, hidden in SUPPRESSED_REGIONS.items() if region not in hidden]
+    return ~letter.isin(*showing)
 
 
 def replaced_stem(name: Column) -> Column:

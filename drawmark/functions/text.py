@@ -153,8 +153,7 @@ def prefixed_cell(col: Column, prefixes: Sequence[str] | None = None) -> Column:
 def ballot(col: Column, prefixes: Sequence[str] | None = None) -> Column:
     """Text that may take part in the vote, else null."""
     text = no_spaces(F.upper(col))
-    allowed = [p.upper() for p in (prefixes or DEFAULT_PREFIXES)]
-    return F.when(F.substring(text, 1, 1).isin(allowed) & text.rlike("^[A-Z][A-Z0-9]{4,}$"), text)
+    return F.when(text.rlike(f"^{prefix_class(prefixes)}[A-Z0-9]{{4,}}$"), text)
 
 
 def rewritten(col: Column) -> Column:

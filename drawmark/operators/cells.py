@@ -157,3 +157,39 @@ def right_lines(items: DataFrame, profile: DataFrame, pages: DataFrame, tile: in
     found = (ranged.join(tiles, ["page_id", "tile"]).withColumn("best", best).filter("best IS NOT NULL"))
     return (found.groupBy("page_id", "seq").agg(F.max("best").alias("best"))
             .select("page_id", "seq", (-F.col("best")["p"]).cast("int").alias("line_x")))
+
+
+def column_lines(facts: DataFrame, reach: int = 200) -> DataFrame:
+    """Vertical lines to locate a column with: near the keyword, else further down, else ink peaks; lines
+    further than ``reach`` from the keyword do not count. Without lines the column follows the keyword box.
+
+    ``facts``: one row per page with v_spans, peaks, the keyword's kx1, kx2, kw_cx, kw_cy, def_cx and the
+    searched area's roi_w and roi_h."""
+    cx, cy, w, h = (F.col(c) for c in ("kw_cx", "kw_cy", "roi_w", "roi_h"))
+    side = F.greatest(F.lit(400), (w * 0.15).cast("int"))
+    x_lo, x_hi = F.greatest(F.lit(0), (cx - side).cast("int")), F.least(w, (cx + side).cast("int"))
+
+    def found(top: Column, bottom: Column, share: float, least_px: int) -> Column:
+        need = F.greatest(((bottom - top) * share).cast("int"), F.lit(least_px))
+        return F.transform(F.filter("v_spans", lambda s: (s["pos"] >= x_lo) & (s["pos"] < x_hi)
+                                    & (F.least(s["hi"], bottom) - F.greatest(s["lo"], top) >= need)), lambda s: s["pos"])
+
+    band = F.greatest(F.lit(100), (h * 0.05).cast("int"))
+    near = found(F.greatest(F.lit(0), (cy - band).cast("int")), F.least(h, (cy + band).cast("int")), 0.3, 15)
+    far_top, far_bottom = F.greatest(F.lit(0), (cy - 50).cast("int")), F.least(h, (cy + (h * 0.3).cast("int")).cast("int"))
+    staged = (facts.withColumn("_near", near).withColumn("_far", found(far_top, far_bottom, 0.1, 20))
+              .withColumn("_first", F.when(F.size("_near") >= 2, F.col("_near")).otherwise(F.col("_far")))
+              .withColumn("_peaks", F.filter("peaks", lambda p: (p >= x_lo) & (p < x_hi))))
+
+    def usable(lines: Column) -> Column:
+        return (F.size(lines) >= 2) & (cx >= F.get(lines, F.lit(0)) - reach) & (cx <= last(lines) + reach)
+
+    first, third = F.col("_first"), F.col("_peaks")
+    level = (F.when(usable(first), F.when(F.size("_near") >= 2, 1).otherwise(2)).when(usable(third), 3).otherwise(4))
+    margin = F.greatest(((F.col("kx2") - F.col("kx1")) * 0.05).cast("int"), F.lit(5))
+    left = (F.col("kx1") - margin).cast("int")
+    middle = F.when(F.col("def_cx") < F.col("kx1"), ((F.col("def_cx") + F.col("kx1")) / 2).cast("int"))
+    return (staged.withColumn("level", level)
+            .withColumn("lines", F.when(F.col("level") <= 2, first).when(F.col("level") == 3, third))
+            .withColumn("own_left", F.greatest(left, middle)).withColumn("own_right", (F.col("kx2") + margin).cast("int"))
+            .drop("_near", "_far", "_first", "_peaks"))

@@ -43,12 +43,10 @@ def dependent_areas(pages: DataFrame, regions: DataFrame) -> DataFrame:
 
 def suppressed(regions: DataFrame) -> DataFrame:
     """Null the regions that the file's first letter keeps out of the output."""
-    out = regions
-    for name, region in REGIONS.items():
-        drop = names.suppresses(F.col("file_name"), region)
-        for c in "xywh":
-            out = out.withColumn(f"{name}_{c}", F.when(~drop, F.col(f"{name}_{c}")))
-    return out
+    lettered = regions.withColumn("_letter", names.first_letter(F.col("file_name")))
+    kept = {f"{name}_{c}": F.when(~names.suppresses(F.col("_letter"), region), F.col(f"{name}_{c}"))
+            for name, region in REGIONS.items() for c in "xywh"}
+    return lettered.withColumns(kept).drop("_letter")
 
 
 def outside(items: DataFrame, regions: DataFrame, which: tuple[str, ...]) -> DataFrame:

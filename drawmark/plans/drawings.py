@@ -1,10 +1,276 @@
-"""Whole runs put together from the operators."""
+"""Whole runs put together from the operators: from recognised items and lines to numbers, rewrites and logs."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawmark.functions import names
+from drawmark.functions import boxes, names, text
+from drawmark.functions.boxes import Box
+from drawmark.functions.readings import trim_at_line, widened
+from drawmark.operators import cells, jobs, keywords, lines, overlap, regions
+from drawmark.operators import items as item_ops
+from drawmark.operators.profiles import peaks as ink_peaks
+from drawmark.sources import logs
+from drawmark.streaming import watch
+
+CORNERS = ("x1", "y1", "x2", "y2")
+_TABLES_FROM = 9_000_000_000_000_000_000
+
+
+def red_grid(segments: DataFrame) -> DataFrame:
+    """Row grid of the number column: page_id, h (cell height), rows and strikes."""
+    found = segments.groupBy("page_id").agg(F.array_sort(F.collect_set("pos")).alias("raw"))
+    grid = (found.withColumn("ps", lines.cluster_means(F.col("raw"))).withColumn("h", lines.common_gap(F.col("ps")))
+            .filter("h IS NOT NULL").withColumn("rows", lines.grid_rows(F.col("ps"), F.col("h"))))
+    return grid.select("page_id", "h", "rows", F.array_except("ps", "rows").alias("strikes"))
+
+
+def red_cells(items: DataFrame, segments: DataFrame) -> DataFrame:
+    """Numbered cells of the number column, with a flag for struck ones."""
+    return cells.grid_cells(items, red_grid(segments))
+
+
+def merged_lines(segments: DataFrame) -> DataFrame:
+    p = lines.page_spans(segments)
+    return p.select("page_id", lines.merge_spans(F.col("h_spans"), 10).alias("h_spans"), lines.merge_spans(F.col("v_spans"), 10).alias("v_spans"))
+
+
+def header_candidates(items: DataFrame) -> DataFrame:
+    """Header items of both languages and the words joined from short texts, which rank last."""
+    columns = ["page_id", "lang", "seq", "text", *CORNERS]
+    out = items.select(*columns)
+    for lang in ("en", "ch"):
+        extra = overlap.joined_short_texts(items.filter(F.col("lang") == lang))
+        out = out.unionByName(extra.select("page_id", F.lit(lang).alias("lang"), F.lit((1 << 63) - 1).alias("seq"), "text", *CORNERS))
+    return out
+
+
+def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pages: DataFrame) -> DataFrame:
+    """Number column of each page: header keyword, neighbours, lines, extent, rows, content check, label fix."""
+    headers = header_candidates(items)
+    matches = keywords.header_matches(headers)
+    anchors = keywords.neighbour_anchors(items, matches)
+    spikes = ink_peaks(profile, 1, 10).groupBy("page_id").agg(F.array_sort(F.collect_set("centre")).alias("peaks"))
+    empty = F.expr("CAST(array() AS array<struct<pos:int,lo:int,hi:int,len:int>>)")
+    facts = (matches.select("page_id", F.col("x1").alias("kx1"), F.col("x2").alias("kx2"), ((F.col("y1") + F.col("y2")) / 2).alias("kw_cy"))
+             .join(anchors, "page_id").withColumnRenamed("mat_cx", "kw_cx")
+             .join(pages.select("page_id", F.col("img_w").alias("roi_w"), F.col("img_h").alias("roi_h")), "page_id")
+             .join(merged_lines(segments), "page_id", "left").join(spikes, "page_id", "left")
+             .withColumn("h_spans", F.coalesce("h_spans", empty)).withColumn("v_spans", F.coalesce("v_spans", empty))
+             .withColumn("peaks", F.coalesce("peaks", lines.ints())))
+    placed = cells.column_lines(facts)
+    interval = F.when(F.col("level") < 4, cells.column_interval(F.col("lines"), F.col("kw_cx"), F.col("def_cx"), F.col("group_cx"), F.col("lines"))
+                      ).otherwise(F.struct(F.col("own_left").alias("a"), F.col("own_right").alias("b")))
+    placed = placed.withColumn("col", interval).filter("col IS NOT NULL")
+
+    def extent(side: str) -> Column:
+        strip = F.array_sort(F.transform(F.filter("v_spans", lambda s: F.abs(s["pos"] - F.col(f"col.{side}")) <= 10),
+                                         lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
+        return F.coalesce(lines.linked_extent(strip, F.col("kw_cy")), lines.linked_extent(strip, F.col("kw_cy"), 120))
+
+    sided = placed.withColumn("_l", extent("a")).withColumn("_r", extent("b"))
+    sides = regions.both_sides("_l.lo", "_l.hi", "_r.lo", "_r.hi", F.lit(0), F.col("roi_h"))
+    own = F.col("level") == 4
+    sided = (sided.withColumn("table_top", F.when(own, F.greatest(F.lit(0), F.col("kw_cy").cast("int") - 20)).otherwise(sides["table_top"]))
+             .withColumn("table_bottom", F.when(own, F.col("roi_h")).otherwise(sides["table_bottom"])))
+    need = F.greatest(((F.col("col.b") - F.col("col.a")) * 0.3).cast("int"), F.lit(10))
+    crossing = F.transform(F.filter("h_spans", lambda s: F.least(s["hi"], F.col("col.b") + 5) - F.greatest(s["lo"], F.col("col.a") - 5) >= need), lambda s: s["pos"])
+    sided = sided.withColumn("_all", lines.keep_spaced(crossing, 8))
+    rows = F.filter("_all", lambda y: (y >= F.col("table_top")) & (y < F.col("table_bottom")))
+    sided = sided.withColumn("_rows", rows)
+    sided = sided.withColumn("_rows", lines.extended_rows(F.col("_rows"), F.col("_all"), F.col("table_bottom"), F.col("roi_h")))
+    top, bottom = lines.data_rows(F.col("_rows"), F.col("kw_cy"), F.col("table_top"), F.col("table_bottom"))
+    columns = sided.select("page_id", F.col("col.a").alias("x1"), top.alias("y1"), F.col("col.b").alias("x2"), bottom.alias("y2"))
+    valid = keywords.checked_columns(columns, items, matches).filter("valid").drop("valid")
+    return item_ops.shift_left_edge(valid, items)
+
+
+def accepted_stage(staged: DataFrame) -> DataFrame:
+    """Largest hit of each stage whose (repaired) number is acceptable; the first such stage counts."""
+    best = item_ops.first_per(staged, ["page_id", "stage"], [-F.col("area"), F.col("seq")], ["number", "tight"])
+    fixed = F.when(F.col("stage") == 1, F.col("number")).otherwise(text.repair_digits(F.col("number")))
+    good = best.withColumn("number", fixed).filter(text.accepted(F.col("number")))
+    return item_ops.first_per(good, ["page_id"], [F.col("stage")], ["stage", "number", "tight"])
+
+
+def search_bottom_right(items: DataFrame, segments: DataFrame, profile: DataFrame, pages: DataFrame,
+                        prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Bottom-right number in stages: whole area (trimmed at a line, as read, or read again with more
+    room), then the crops by the third and by the second long line."""
+    hits = item_ops.number_hits(items, prefixes).select("page_id", "seq", "number", "area", "tight", *CORNERS)
+    whole = item_ops.first_per(hits, ["page_id"], [-F.col("area"), F.col("seq")], ["seq", "number", "tight"])
+    boxed = whole.select("page_id", "seq", "number", "tight.*")
+    line_x = cells.right_lines(boxed, profile, pages).select("page_id", "line_x")
+    cut, cut_box = trim_at_line(F.col("number"), Box.corners(), F.col("line_x"))
+    trimmed = (boxed.join(line_x, "page_id").filter((F.col("line_x") < F.col("x2") - 5) & (F.col("x2") > F.col("x1")))
+               .select("page_id", F.lit(0).alias("stage"), cut.alias("number"), cut_box.pack().alias("tight"))
+               .filter(text.accepted(F.col("number"))))
+
+    room, wide = widened(F.col("number"), Box.corners(), F.col("img_w"), F.col("img_h"))
+    again = (boxed.join(pages, "page_id").filter(F.length("number") >= 7)
+             .select("page_id", room.alias("room"), wide.pack().alias("wide")).withColumn("wide", F.when(F.col("room") > 0, F.col("wide"))))
+    long = lines.page_spans(segments).select(
+        "page_id", lines.long_lines(lines.merge_spans(F.col("h_spans"), 10), False).alias("h_long"),
+        lines.long_lines(lines.merge_spans(F.col("v_spans"), 10), True).alias("v_long"))
+    crops = (pages.join(long, "page_id", "left").withColumn("h_long", F.coalesce("h_long", lines.ints())).withColumn("v_long", F.coalesce("v_long", lines.ints()))
+             .select("page_id", *[lines.nth_crop(F.col("v_long"), F.col("h_long"), r, r, F.col("img_w"), F.col("img_h")).alias(f"crop{r}") for r in (3, 2)]))
+    areas = crops.join(again.select("page_id", "wide"), "page_id", "left")
+    box = Box.corners()
+
+    def stage(n: int, area: str | None) -> Column:
+        inside = F.lit(True) if area is None else F.coalesce(Box.struct(F.col(area)).has_point(box.cx, box.cy), F.lit(False))
+        return F.when(inside, F.lit(n))
+
+    stages = F.array_compact(F.array(stage(1, None), stage(2, "wide"), stage(3, "crop3"), stage(4, "crop2")))
+    staged = hits.join(areas, "page_id").select("page_id", "seq", "number", "area", "tight", F.explode(stages).alias("stage"))
+    found = accepted_stage(staged).unionByName(trimmed)
+    return (item_ops.first_per(found, ["page_id"], [F.col("stage")], ["stage", "number", "tight"])
+            .select("page_id", "stage", "number", "tight.*"))
+
+
+def bottom_right_numbers(items: DataFrame, segments: DataFrame, profile: DataFrame, pages: DataFrame,
+                         prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Bottom-right number with its box: a first search, a crop around its cell, a second search, the merge
+    with the cell found there. Where the second search fails the first result is clipped to its cell."""
+    first = search_bottom_right(items, segments, profile, pages, prefixes)
+    spans = pages.join(merged_lines(segments), "page_id", "left")
+    cell = cells.strict_cells(first, spans)
+    c = Box.corners("cell_")
+    crop = cell.select("page_id", F.greatest(F.lit(0), c.x1 - boxes.whole(c.w * 0.25)).alias("crop_x"),
+                       F.greatest(F.lit(0), c.y1 - boxes.whole(c.h * 0.25)).alias("crop_y"))
+    box = Box.corners()
+    inside = items.join(crop, "page_id").filter((box.x1 >= F.col("crop_x")) & (box.y1 >= F.col("crop_y"))).select(*items.columns)
+    second = search_bottom_right(inside, segments, profile, pages, prefixes)
+    drawn = cells.enclosing_cells(second, lines.page_lines(segments))
+    merged = boxes.merge_with_cell(Box.corners(), Box.corners("cell_"), clip_right=True)
+    better = drawn.select("page_id", "number", "stage", *merged.columns())
+    clipped = boxes.merge_with_cell(Box.corners(), c, clip_right=True)
+    plain = cell.select("page_id", "number", "stage", *clipped.columns())
+    return better.unionByName(plain.join(better, "page_id", "left_anti"))
+
+
+def top_left_numbers(items: DataFrame, segments: DataFrame, areas: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Top-left number: independent text, else after a label, else any match, else estimated from the label.
+
+    ``areas``: page_id, red_x.. of the number column, whose items do not count in the first and third search."""
+    outside = regions.outside(items, areas, ("red",))
+    columns = ["number", *CORNERS]
+    ranked = (item_ops.first_independent(outside, prefixes).select("page_id", F.lit(1).alias("strategy"), *columns)
+              .unionByName(item_ops.first_labelled(items, prefixes).select("page_id", F.lit(2).alias("strategy"), *columns))
+              .unionByName(item_ops.first_fallback(outside, prefixes).select("page_id", F.lit(3).alias("strategy"), *columns))
+              .unionByName(item_ops.first_label_estimate(items).select("page_id", F.lit(4).alias("strategy"), F.lit(None).cast("string").alias("number"), *CORNERS)))
+    first = item_ops.first_per(ranked, ["page_id"], [F.col("strategy")], ["strategy", *columns])
+    celled = cells.enclosing_cells(first, lines.page_lines(segments))
+    merged = boxes.merge_with_cell(Box.corners(), Box.corners("cell_"), clip_right=False)
+    return celled.select("page_id", "strategy", "number", *merged.columns())
+
+
+def note_crops(components: DataFrame, pages: DataFrame, table_boxes: DataFrame) -> DataFrame:
+    """Text crops of a page: components by class, merged, grown by their lines, without tables, edge dust
+    and nested boxes."""
+    classed = regions.classified(components, pages)
+    kept = classed.filter(regions.usable_component())
+    corners = Box.sized(*[F.col(c) for c in "xywh"]).columns()
+    found = kept.select("page_id", F.col("cc_id").alias("seq"), "class", *corners)
+    merged = overlap.merged_boxes(found.filter(F.col("class").isin("text", "block")))
+    median = regions.text_gaps(classed).select("page_id", F.greatest(F.col("median_h") * 2, F.lit(30)).alias("reach"))
+    grown = overlap.absorbed_lines(merged, found.filter("class = 'line'"), median)
+    box = Box.corners()
+    tabled = table_boxes.groupBy("page_id").agg(F.collect_set(F.struct(*CORNERS)).alias("tables"))
+    in_table = F.coalesce(F.exists("tables", lambda t: box.covered_by(Box.struct(t)) > 0.5), F.lit(False))
+    free = (grown.join(tabled, "page_id", "left").filter(~in_table).join(pages, "page_id")
+            .filter(~regions.small_at_edge(box, F.col("img_w"), F.col("img_h"))).select("page_id", "seq", *CORNERS))
+    return overlap.without_nested(free).filter(regions.large_enough(box))
+
+
+def hits_in_crops(items: DataFrame, crops: DataFrame, tile: int = 512) -> DataFrame:
+    """Tokens of the items whose centre lies in a crop, once per crop. Crops and items meet on tiles of the
+    page, so only neighbours are compared."""
+    read = (items.withColumn("token", text.find_token(F.col("text"))).filter("token IS NOT NULL")
+            .select("page_id", "seq", "token", *CORNERS, Box.corners().cx.alias("cx"), Box.corners().cy.alias("cy"))
+            .withColumn("tx", F.floor(F.col("cx") / tile)).withColumn("ty", F.floor(F.col("cy") / tile)))
+    tiled = (crops.select("page_id", F.col("seq").alias("crop_seq"), *[F.col(c).alias(f"c{c}") for c in CORNERS])
+             .withColumn("tx", F.explode(F.sequence(F.floor(F.col("cx1") / tile), F.floor(F.col("cx2") / tile))))
+             .withColumn("ty", F.explode(F.sequence(F.floor(F.col("cy1") / tile), F.floor(F.col("cy2") / tile)))))
+    crop = Box.corners("c")
+    met = read.join(tiled, ["page_id", "tx", "ty"]).filter(crop.has_point(F.col("cx"), F.col("cy")))
+    return met.select("page_id", "crop_seq", "seq", "token", *CORNERS)
+
+
+def note_codes(items: DataFrame, components: DataFrame, pages: DataFrame, table_boxes: DataFrame, zones: DataFrame) -> DataFrame:
+    """Codes of the note area: text crops and tables outside the zone, read, less what earlier crops gave."""
+    crops = note_crops(components, pages, table_boxes).select("page_id", "seq", *CORNERS)
+    # tables come after all text crops, from top to bottom
+    place = F.lit(_TABLES_FROM) + F.col("y1").cast("bigint") * 100_000 + F.col("x1")
+    outer = regions.centre_outside_zone(table_boxes, zones).select("page_id", place.alias("seq"), *CORNERS)
+    both = crops.unionByName(outer).filter((F.col("x2") - F.col("x1") >= 6) & (F.col("y2") - F.col("y1") >= 6))
+    hits = hits_in_crops(items, both).withColumnRenamed("crop_seq", "crop")
+    return overlap.fresh_hits(hits).select("page_id", "token", *CORNERS)
+
+
+def detected_regions(pages: DataFrame, items: DataFrame, headers: DataFrame, segments: DataFrame, profile: DataFrame,
+                     prefixes: Sequence[str] | None = None) -> DataFrame:
+    """All regions of each page in one row: number column, bottom-right number (from the line grid where none
+    was read) and top-left number."""
+    upright = regions.landscape(pages)
+    sized = upright.select("page_id", "img_w", "img_h")
+    frame = lines.frame_boxes(segments, sized).select("page_id", *[F.col(c).alias(f"f{c}") for c in CORNERS])
+    searched = sized.join(frame, "page_id")
+    no_red = Box(*[F.lit(None).cast("int")] * 4)
+    first = regions.search_areas(F.col("img_w"), F.col("img_h"), Box.corners("f"), no_red)
+    areas = searched.select("page_id", first["red"].pack().alias("red_area"), first["green"].pack().alias("green_area"))
+    box = Box.corners()
+
+    def within(df: DataFrame, area: str) -> DataFrame:
+        return df.join(areas.select("page_id", area), "page_id").filter(Box.struct(F.col(area)).has_point(box.cx, box.cy)).select(*df.columns)
+
+    red = locate_columns(within(headers, "red_area"), segments, profile, sized).select("page_id", *[F.col(c).alias(f"red_{c}") for c in CORNERS])
+    green = bottom_right_numbers(within(items, "green_area"), segments, profile, sized, prefixes).select(
+        "page_id", F.col("number").alias("green_text"), *[F.col(c).alias(f"green_{c}") for c in CORNERS])
+    grid = sized.join(lines.page_lines(segments), "page_id", "left").withColumn("hs", F.coalesce("hs", lines.ints())).withColumn("vs", F.coalesce("vs", lines.ints()))
+    spare = grid.select("page_id", *lines.fallback_cell(F.col("hs"), F.col("vs"), F.col("img_w"), F.col("img_h")).columns("spare_"))
+    known = searched.join(red, "page_id", "left")
+    orange_area = regions.search_areas(F.col("img_w"), F.col("img_h"), Box.corners("f"), Box.corners("red_"))["orange"]
+    top_left = known.select("page_id", orange_area.pack().alias("orange_area"))
+    inside = items.join(top_left, "page_id").filter(Box.struct(F.col("orange_area")).has_point(box.cx, box.cy)).select(*items.columns)
+    no_column = sized.select("page_id", *[F.lit(None).cast("int").alias(f"red_{c}") for c in "xywh"])
+    orange = top_left_numbers(inside, segments, no_column, prefixes).select(
+        "page_id", F.col("number").alias("orange_text"), *[F.col(c).alias(f"orange_{c}") for c in CORNERS])
+    out = upright.join(red, "page_id", "left").join(green, "page_id", "left").join(spare, "page_id", "left").join(orange, "page_id", "left")
+    return out.select("page_id", "rotated", F.when(F.col("red_x1").isNull(), "left_half").otherwise("keyword").alias("detected_by"),
+                      *[f"red_{c}" for c in CORNERS], "green_text",
+                      *[F.coalesce(f"green_{c}", f"spare_{c}").alias(f"green_{c}") for c in CORNERS],
+                      "orange_text", *[f"orange_{c}" for c in CORNERS])
+
+
+def vector_rewrites(files: DataFrame, spans: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Rewrites in drawings that carry their text; everything else is left to recognition."""
+    vector = files.filter("method = 'vector'").select(F.col("file_id").alias("page_id"), "file_name")
+    return item_ops.span_codes(spans.join(vector, "page_id", "left_semi"), prefixes).join(vector, "page_id")
+
+
+def batch_results(files: DataFrame, spans: DataFrame, replacements: DataFrame) -> DataFrame:
+    """Result row of each supported file: method, number of rewrites and where the output goes.
+
+    ``files``: routed files; ``replacements``: rewrites of recognised pages."""
+    vector = vector_rewrites(files, spans).groupBy("page_id").agg(F.count("*").alias("n_vector"))
+    read = replacements.groupBy("page_id").agg(F.count("*").alias("n_read"))
+    joined = files.withColumn("page_id", F.col("file_id")).join(vector, "page_id", "left").join(read, "page_id", "left")
+    total = F.coalesce(F.when(F.col("method") == "vector", F.col("n_vector")).otherwise(F.col("n_read")), F.lit(0))
+    folder = F.concat(F.lit("output/"), F.col("subdir"))
+    return joined.select("file_id", "file_name", F.lit("success").alias("status"), "method", total.cast("bigint").alias("total"),
+                         names.output_path(F.col("file_name"), folder, F.col("out_ext")).alias("output_path"))
+
+
+def watched_log(observations: DataFrame, events: DataFrame, job_of: Column) -> DataFrame:
+    """From a watched folder to the log: stable files are queued, their jobs run, and what is over is logged."""
+    queued = watch.promoted(watch.stable_runs(observations)).groupBy("source_file").agg(F.min("created_at").alias("created_at"))
+    mine = queued.select(job_of.alias("job_id"), "source_file")
+    state = jobs.current_jobs(events.join(mine.select("job_id"), "job_id", "left_semi"))
+    files = mine.select("job_id", F.col("source_file").alias("file_name"), F.lit("ocr").alias("method"))
+    return logs.log_rows(jobs.terminal_rows(state, files))
 
 
 def single_result(replacements: DataFrame) -> DataFrame:

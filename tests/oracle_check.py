@@ -69,7 +69,7 @@ def main() -> int:
         if problems:
             bad += 1
             print(f"FAIL {name} {took:.1f}s", *problems, sep="\n     ", flush=True)
-        elif took > 3 or "rows only" in name:
+        else:
             print(f"ok   {name} {took:.1f}s", flush=True)
     print(f"{len(fns)} queries, {bad} with problems")
     return bad

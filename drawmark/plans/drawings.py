@@ -12,6 +12,7 @@ from drawmark.functions.readings import trim_at_line, widened
 from drawmark.operators import cells, jobs, keywords, lines, overlap, regions
 from drawmark.operators import items as item_ops
 from drawmark.operators.profiles import peaks as ink_peaks
+from drawmark.session import settled
 from drawmark.sources import logs
 from drawmark.streaming import watch
 
@@ -50,7 +51,7 @@ def header_candidates(items: DataFrame) -> DataFrame:
 def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pages: DataFrame) -> DataFrame:
     """Number column of each page: header keyword, neighbours, lines, extent, rows, content check, label fix."""
     headers = header_candidates(items)
-    matches = keywords.header_matches(headers)
+    matches = settled(keywords.header_matches(headers))
     anchors = keywords.neighbour_anchors(items, matches)
     spikes = ink_peaks(profile, 1, 10).groupBy("page_id").agg(F.array_sort(F.collect_set("centre")).alias("peaks"))
     empty = F.expr("CAST(array() AS array<struct<pos:int,lo:int,hi:int,len:int>>)")
@@ -60,7 +61,7 @@ def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pa
              .join(merged_lines(segments), "page_id", "left").join(spikes, "page_id", "left")
              .withColumn("h_spans", F.coalesce("h_spans", empty)).withColumn("v_spans", F.coalesce("v_spans", empty))
              .withColumn("peaks", F.coalesce("peaks", lines.ints())))
-    placed = cells.column_lines(facts)
+    placed = settled(cells.column_lines(facts))
     interval = F.when(F.col("level") < 4, cells.column_interval(F.col("lines"), F.col("kw_cx"), F.col("def_cx"), F.col("group_cx"), F.col("lines"))
                       ).otherwise(F.struct(F.col("own_left").alias("a"), F.col("own_right").alias("b")))
     placed = placed.withColumn("col", interval).filter("col IS NOT NULL")
@@ -82,7 +83,7 @@ def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pa
     sided = sided.withColumn("_rows", rows)
     sided = sided.withColumn("_rows", lines.extended_rows(F.col("_rows"), F.col("_all"), F.col("table_bottom"), F.col("roi_h")))
     top, bottom = lines.data_rows(F.col("_rows"), F.col("kw_cy"), F.col("table_top"), F.col("table_bottom"))
-    columns = sided.select("page_id", F.col("col.a").alias("x1"), top.alias("y1"), F.col("col.b").alias("x2"), bottom.alias("y2"))
+    columns = settled(sided.select("page_id", F.col("col.a").alias("x1"), top.alias("y1"), F.col("col.b").alias("x2"), bottom.alias("y2")))
     valid = keywords.checked_columns(columns, items, matches).filter("valid").drop("valid")
     return item_ops.shift_left_edge(valid, items)
 
@@ -101,7 +102,7 @@ def search_bottom_right(items: DataFrame, segments: DataFrame, profile: DataFram
     room), then the crops by the third and by the second long line."""
     hits = item_ops.number_hits(items, prefixes).select("page_id", "seq", "number", "area", "tight", *CORNERS)
     whole = item_ops.first_per(hits, ["page_id"], [-F.col("area"), F.col("seq")], ["seq", "number", "tight"])
-    boxed = whole.select("page_id", "seq", "number", "tight.*")
+    boxed = settled(whole.select("page_id", "seq", "number", "tight.*"))
     line_x = cells.right_lines(boxed, profile, pages).select("page_id", "line_x")
     cut, cut_box = trim_at_line(F.col("number"), Box.corners(), F.col("line_x"))
     trimmed = (boxed.join(line_x, "page_id").filter((F.col("line_x") < F.col("x2") - 5) & (F.col("x2") > F.col("x1")))
@@ -134,7 +135,7 @@ def bottom_right_numbers(items: DataFrame, segments: DataFrame, profile: DataFra
                          prefixes: Sequence[str] | None = None) -> DataFrame:
     """Bottom-right number with its box: a first search, a crop around its cell, a second search, the merge
     with the cell found there. Where the second search fails the first result is clipped to its cell."""
-    first = search_bottom_right(items, segments, profile, pages, prefixes)
+    first = settled(search_bottom_right(items, segments, profile, pages, prefixes))
     spans = pages.join(merged_lines(segments), "page_id", "left")
     cell = cells.strict_cells(first, spans)
     c = Box.corners("cell_")
@@ -145,7 +146,7 @@ def bottom_right_numbers(items: DataFrame, segments: DataFrame, profile: DataFra
     second = search_bottom_right(inside, segments, profile, pages, prefixes)
     drawn = cells.enclosing_cells(second, lines.page_lines(segments))
     merged = boxes.merge_with_cell(Box.corners(), Box.corners("cell_"), clip_right=True)
-    better = drawn.select("page_id", "number", "stage", *merged.columns())
+    better = settled(drawn.select("page_id", "number", "stage", *merged.columns()))
     clipped = boxes.merge_with_cell(Box.corners(), c, clip_right=True)
     plain = cell.select("page_id", "number", "stage", *clipped.columns())
     return better.unionByName(plain.join(better, "page_id", "left_anti"))
@@ -174,13 +175,13 @@ def note_crops(components: DataFrame, pages: DataFrame, table_boxes: DataFrame)
     kept = classed.filter(regions.usable_component())
     corners = Box.sized(*[F.col(c) for c in "xywh"]).columns()
     found = kept.select("page_id", F.col("cc_id").alias("seq"), "class", *corners)
-    merged = overlap.merged_boxes(found.filter(F.col("class").isin("text", "block")))
+    merged = settled(overlap.merged_boxes(found.filter(F.col("class").isin("text", "block"))))
     median = regions.text_gaps(classed).select("page_id", F.greatest(F.col("median_h") * 2, F.lit(30)).alias("reach"))
     grown = overlap.absorbed_lines(merged, found.filter("class = 'line'"), median)
     box = Box.corners()
     tabled = table_boxes.groupBy("page_id").agg(F.collect_set(F.struct(*CORNERS)).alias("tables"))
     in_table = F.coalesce(F.exists("tables", lambda t: box.covered_by(Box.struct(t)) > 0.5), F.lit(False))
-    free = (grown.join(tabled, "page_id", "left").filter(~in_table).join(pages, "page_id")
+    free = settled(grown.join(tabled, "page_id", "left").filter(~in_table).join(pages, "page_id")
             .filter(~regions.small_at_edge(box, F.col("img_w"), F.col("img_h"))).select("page_id", "seq", *CORNERS))
     return overlap.without_nested(free).filter(regions.large_enough(box))
 
@@ -231,6 +232,7 @@ def detected_regions(pages: DataFrame, items: DataFrame, headers: DataFrame, seg
         "page_id", F.col("number").alias("green_text"), *[F.col(c).alias(f"green_{c}") for c in CORNERS])
     grid = sized.join(lines.page_lines(segments), "page_id", "left").withColumn("hs", F.coalesce("hs", lines.ints())).withColumn("vs", F.coalesce("vs", lines.ints()))
     spare = grid.select("page_id", *lines.fallback_cell(F.col("hs"), F.col("vs"), F.col("img_w"), F.col("img_h")).columns("spare_"))
+    red = settled(red)
     known = searched.join(red, "page_id", "left")
     orange_area = regions.search_areas(F.col("img_w"), F.col("img_h"), Box.corners("f"), Box.corners("red_"))["orange"]
     top_left = known.select("page_id", orange_area.pack().alias("orange_area"))

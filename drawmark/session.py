@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Skewed pages are split at run time: the item side of a page join is cut into several tasks and the
 # one-row-per-page side is copied to each, even where that costs an extra exchange afterwards.
@@ -48,3 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that several uses do not repeat the work behind it
+    and a lost executor does not bring it back. For narrow results such as one row per page."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -1,7 +1,7 @@
 """Queries over the benchmark tables and their checking SQL."""
 from importlib import import_module
 
-_MODULES = ("text_queries", "line_queries", "geometry_queries", "job_queries", "plan_queries")
+_MODULES = ("text_queries", "line_queries", "geometry_queries", "job_queries", "plan_queries", "stream_queries")
 
 
 def registered():

@@ -8,7 +8,7 @@ from drawmark.functions import display, names, readings, text
 from drawmark.functions.boxes import Box
 from drawmark.operators import items as item_ops
 from drawmark.sources import spotting
-from drawmark.sources.views import view
+from drawmark.sources.views import table, view
 
 
 def num(t: str, chars: str = "YXBH") -> str:
@@ -56,7 +56,7 @@ def p1(spark, sf):
 @query("P2", f"SELECT doc_id AS id, 'document' AS src, {token('text')} AS token FROM documents "
              f"UNION ALL SELECT seq, 'item', {token('text')} FROM ocr_items", ("ocr_items",))
 def p2(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit("document").alias("src"), "text")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("src"), "text")
     items = view(spark, sf, "ocr_items").select(F.col("seq").alias("id"), F.lit("item").alias("src"), "text")
     return docs.unionByName(items).select("id", "src", text.find_token(F.col("text")).alias("token"))
 
@@ -85,7 +85,7 @@ _TRIMMED = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
              f"length(t) > 50 AS is_vector_plain FROM (SELECT doc_id AS id, 'document' AS src, {_TRIMMED.format('text')} AS t FROM documents "
              f"UNION ALL SELECT file_id, 'file', {_TRIMMED.format('page_text')} FROM drawing_files)", ("drawing_files",))
 def p5(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit("document").alias("src"), F.col("text").alias("t"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("src"), F.col("text").alias("t"))
     files = view(spark, sf, "drawing_files").select(F.col("file_id").alias("id"), F.lit("file").alias("src"), F.col("page_text").alias("t"))
     return docs.unionByName(files).select("id", "src", text.has_vector_text(F.col("t")).alias("is_vector"),
                                           text.has_vector_text(F.col("t"), ratio=None).alias("is_vector_plain"))
@@ -383,7 +383,7 @@ def p42(spark, sf):
 
 @query("P48", "SELECT conv_id, turn, coalesce(nullif(trim(substr(regexp_replace(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 32), '_.'), ''), 'hit') AS tag FROM conversations")
 def p48(spark, sf):
-    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", names.safe_tag(F.col("text")).alias("tag"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", names.safe_tag(F.col("text")).alias("tag"))
 
 
 @query("P49", "SELECT file_id, file_name FROM drawing_files WHERE contains(lower(file_name), 'ya0') OR contains(lower(folder), 'ya0')", ("drawing_files",))
@@ -411,7 +411,7 @@ def p52(spark, sf):
               "CASE WHEN value < 30 THEN 'emerald' WHEN value < 70 THEN 'amber' ELSE 'rose' END AS load, printf('%.1f', round(event_id % 24000 / 24576 * 100, 1)) AS mem_pct FROM events")
 def p53(spark, sf):
     pct = F.col("event_id") % 24000 / 24576 * 100
-    return spark.read.parquet(f"{sf}/events.parquet").select(
+    return table(spark, sf, "events").select(
         "event_id", display.temperature_band(F.col("value")).alias("temperature"),
         display.load_band(F.col("value")).alias("load"), display.fixed_decimals(pct, 1).alias("mem_pct"))
 

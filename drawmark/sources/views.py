@@ -181,9 +181,21 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that comes in fewer pieces than there are cores, dealt out to all of them.
+
+    Tables of the size this is made for come in many pieces and are left as they are: no shuffle is added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, exprs = VIEWS[name]
-    return spark.read.parquet(f"{sf_dir}/{base}.parquet").selectExpr(*exprs)
+    return table(spark, sf_dir, base).selectExpr(*exprs)
 
 
 def view_sql(name: str) -> str:

@@ -113,7 +113,7 @@ def test_box_files(spark, tmp_path):
     assert (first["x2"] - first["x1"], first["y2"] - first["y1"]) == (100, 50)
     records = spark.createDataFrame([("f", "YA1", 1, 2, 3, 4)], "source_file string, token string, x int, y int, w int, h int")
     box_csv.write_boxes(box_csv.box_records(records), str(tmp_path))
-    assert box_csv.read_boxes(spark, str(tmp_path / "y_boxes.csv")).collect()[0]["x2"] == 4
+    assert box_csv.read_boxes(spark, str(tmp_path)).collect()[0]["x2"] == 4
     box_csv.write_boxes(box_csv.box_records(records.limit(0)), str(tmp_path))
     assert "source_file" in "".join(p.read_text() for p in (tmp_path / "y_boxes.csv").glob("*.csv"))
 

@@ -348,10 +348,9 @@ def t8(spark, sf):
 @query("U5", "SELECT DISTINCT path FROM file_observations WHERE seen_at < (SELECT min(seen_at) + (max(seen_at) - min(seen_at)) * 0.02 FROM file_observations) AND path NOT IN (SELECT path FROM file_observations WHERE seen_at > (SELECT min(seen_at) + (max(seen_at) - min(seen_at)) * 0.98 FROM file_observations))".replace("* 0.02", "/ 50").replace("min(seen_at) + (max(seen_at) - min(seen_at)) * 0.98", "max(seen_at) - (max(seen_at) - min(seen_at)) / 50"), OB)
 def u5(spark, sf):
     obs = view(spark, sf, "file_observations").withColumn("us", F.unix_micros(F.col("seen_at").cast("timestamp")))
-    ends = obs.agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    timed = obs.join(F.broadcast(ends))  # one row: the first and last time seen
-    part = (F.col("hi") - F.col("lo")) / 50
-    return watch.vanished(timed.filter(F.col("us") < F.col("lo") + part), timed.filter(F.col("us") > F.col("hi") - part))
+    lo, hi = obs.agg(F.min("us"), F.max("us")).first()
+    part = (hi - lo) / 50
+    return watch.vanished(obs.filter(F.col("us") < lo + part), obs.filter(F.col("us") > hi - part))
 
 
 @query("U1", "SELECT page_id, seq, text FROM header_items WHERE lang = 'en' UNION ALL SELECT page_id, seq, text FROM header_items WHERE lang = 'ch'", ("header_items",))

@@ -179,6 +179,7 @@ def note_crops(components: DataFrame, pages: DataFrame, table_boxes: DataFrame)
     median = regions.text_gaps(classed).select("page_id", F.greatest(F.col("median_h") * 2, F.lit(30)).alias("reach"))
     grown = overlap.absorbed_lines(merged, found.filter("class = 'line'"), median)
     box = Box.corners()
+    # accepted tables are apart from each other and 30 px or more on a side, so a page holds few of them
     tabled = table_boxes.groupBy("page_id").agg(F.collect_set(F.struct(*CORNERS)).alias("tables"))
     in_table = F.coalesce(F.exists("tables", lambda t: box.covered_by(Box.struct(t)) > 0.5), F.lit(False))
     free = settled(grown.join(tabled, "page_id", "left").filter(~in_table).join(pages, "page_id")

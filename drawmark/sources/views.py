@@ -185,7 +185,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows of a table that comes in fewer pieces than there are cores, dealt out to all of them.
 
     Tables of the size this is made for come in many pieces and are left as they are: no shuffle is added."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 32)
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 

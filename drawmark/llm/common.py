@@ -71,3 +71,17 @@ def bit_of(position: Column) -> Column:
 def bit_at(words: Column, position: Column) -> Column:
     """Whether the bit at ``position`` is set."""
     return F.element_at(words, (F.shiftright(position, 6) + 1).cast("int")).bitwiseAND(bit_of(position)) != 0
+
+
+def without_keys(df: DataFrame, key: Column, keys: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in the one column of ``keys`` (a stored table); null keys stay.
+
+    Only rows whose key shares a bit of a fixed-size set with one of ``keys`` go through the join, so wide rows stay
+    where they are read; the join is exact."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    given = keys.toDF("_given")
+    marked = stored(bit_words(given.select(F.pmod(F.xxhash64("_given"), F.lit(bits)).alias("p")), bits), "key-bits")
+    maybe = F.coalesce(bit_at(marked.scalar(), at), F.lit(False)) & key.isNotNull()
+    name = free_name("_key", df.columns)
+    checked = df.filter(maybe).withColumn(name, key).join(given.withColumnRenamed("_given", name), name, "left_anti")
+    return df.filter(~maybe).unionByName(checked.select(*[f"`{c}`" for c in df.columns]))

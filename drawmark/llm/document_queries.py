@@ -1,12 +1,15 @@
 """Operators over all documents."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawmark.llm.exact_dedup import marked_duplicates
+from drawmark.llm.langid import held_out, languages_of, train_on
 from drawmark.llm.decontaminate import benchmark_hits
 from drawmark.llm.queries import query, table
+from drawmark.llm.sentencepieces import decoded_pieces, encoded_pieces
 from drawmark.llm.simhash import near_duplicates
 
 
@@ -47,3 +50,18 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = decoded_pieces(encoded_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return coded.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_xxh64"), "parity",
+                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = train_on(docs)
+    return languages_of(docs.select("doc_id", "text"), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

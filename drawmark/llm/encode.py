@@ -9,15 +9,32 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-# Fixed value: the pattern of byte-level BPE pre-tokenisation.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SETTLED = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f]*")
-MEMO_PIECES, MEMO_CHARS = 400_000, 64
+# The letters and numbers among these characters, and the pieces of byte-level BPE in terms of them.
+_LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECES = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+MEMO_PIECES, MEMO_CHARS = 500_000, 64
+
+
+class _Memo(dict):
+    """Ids of pieces; a new piece goes through the model. Emptied when full, so its size is bounded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -33,26 +50,24 @@ class PieceEncoder:
         before = parts.get("pre_tokenizer") or {}
         plain = (parts["model"].get("type") == "BPE" and not parts.get("normalizer") and before.get("type") == "ByteLevel"
                  and before.get("use_regex", True) and not before.get("add_prefix_space") and not parts["model"].get("dropout"))
-        self.pieces = regex.compile(BYTE_LEVEL_PATTERN).findall if plain else None
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.memo: dict[str, bytes] = {}
+        # the library's table of bytes as characters
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = {b: shown(chr(b))[0][0] for b in range(0x80)}
+        for b in range(0x80, 0x800):
+            self.shown.update(zip(chr(b).encode(), shown(chr(b))[0][0]))
+        self.memo = _Memo(self._piece) if plain else None
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.library.model.tokenize(self.as_bytes(piece)[0][0])], dtype="<u4").tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            self.memo[piece] = ids
-        return ids
+        as_bytes = "".join(map(self.shown.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.library.model.tokenize(as_bytes)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers, nothing added; none for null."""
         if not text:
             return b""
-        if self.pieces is None or not _SETTLED.fullmatch(text) or any(s in text for s in self.special):
+        if self.memo is None or not _SETTLED.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known, piece = self.memo.get, self._piece
-        return b"".join([known(p) or piece(p) for p in self.pieces(text)])
+        return b"".join(map(self.memo.__getitem__, _PIECES.findall(text)))
 
 
 _READY: dict[str, PieceEncoder] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from drawmark.session import checkpoint_dir
 
 # Rows and bytes of text that one Arrow batch hands to a Python worker at most; a single longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -10,7 +10,7 @@ from drawmark.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("url_queries", "document_queries", "token_queries", "chat_queries")
+_MODULES = ("url_queries", "document_queries", "token_queries", "chat_queries", "warc_queries")
 
 
 def query(name: str, sql: str | None = None):

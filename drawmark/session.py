@@ -1,7 +1,9 @@
 """Session settings for local runs and clusters."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         SparkSession.builder.master(f"local[{cores}]").appName("drawmark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("DRAWMARK_DRIVER_MEMORY", "8g"))
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -40,10 +42,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints; a temporary one only where the session names none."""
+    """Shared folder for checkpoints: the one that the session names. A session on one machine that names none gets a
+    temporary one, removed at exit; on a cluster that is an error, as machines do not share such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="drawmark-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

@@ -311,9 +311,9 @@ def a21(spark, sf):
     return reports.log_slices(log(spark, sf))
 
 
-_STABLE = """, g AS (SELECT *, lag(size_bytes) OVER w IS DISTINCT FROM size_bytes AS chg FROM file_observations WINDOW w AS (PARTITION BY path ORDER BY seen_at, obs_seq)),
+_STABLE = """, g AS (SELECT *, (row_number() OVER w = 1 OR lag(size_bytes) OVER w IS DISTINCT FROM size_bytes OR lag(mtime_us) OVER w IS DISTINCT FROM mtime_us) AS chg FROM file_observations WINDOW w AS (PARTITION BY path ORDER BY seen_at, obs_seq)),
   r AS (SELECT *, max(CASE WHEN chg THEN seen_at END) OVER (PARTITION BY path ORDER BY seen_at, obs_seq ROWS UNBOUNDED PRECEDING) AS run_start FROM g),
-  stable AS (SELECT path, run_start, min(seen_at) AS stable_at, min(size_bytes) AS size_bytes FROM r WHERE NOT chg AND seen_at - run_start >= INTERVAL 3 SECOND GROUP BY path, run_start)"""
+  stable AS (SELECT path, run_start, min(seen_at) AS stable_at, min(size_bytes) AS size_bytes FROM r WHERE NOT chg AND size_bytes IS NOT NULL AND seen_at - run_start >= INTERVAL 3 SECOND GROUP BY path, run_start)"""
 OB = ("file_observations",)
 
 
@@ -323,7 +323,7 @@ def t1(spark, sf):
     return runs.select("path", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("run_start", "stable_at")], "size_bytes")
 
 
-@query("T2", _STABLE + " SELECT source_file, 'processing/' || source_file AS file_path, substr(source_file, 1, 8) AS drawing_no, '1' AS revision, 'watch_folder' AS source, strftime(stable_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM (SELECT *, replace(path, 'inbox/', '') AS source_file FROM stable)", OB)
+@query("T2", _STABLE + " SELECT source_file, 'processing/' || CASE WHEN k = 1 THEN source_file ELSE replace(source_file, '.tif', '') || '_' || lpad(CAST(k - 1 AS VARCHAR), 3, '0') || '.tif' END AS file_path, substr(source_file, 1, 8) AS drawing_no, '1' AS revision, 'watch_folder' AS source, strftime(stable_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM (SELECT *, replace(path, 'inbox/', '') AS source_file, row_number() OVER (PARTITION BY path ORDER BY stable_at) AS k FROM stable)", OB)
 def t2(spark, sf):
     return watch.promoted(watch.stable_runs(view(spark, sf, "file_observations"))).select(
         "source_file", "file_path", "drawing_no", "revision", "source", *iso("created_at"))

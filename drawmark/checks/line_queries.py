@@ -155,7 +155,8 @@ def w6_top(spark, sf):
     strips = segs(spark, sf).filter("axis = 'v'").selectExpr(
         "page_id", "start_px + (pos % 7) * 60 AS lo", "start_px + (pos % 7) * 60 + 40 AS hi")
     p = strips.groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ss"))
-    grown = F.coalesce(lines.linked_extent(F.col("ss"), F.lit(400)), lines.linked_extent(F.col("ss"), F.lit(400), 120))
+    first, wider = (lines.linked_extent(F.col("ss"), F.lit(400), gap) for gap in (80, 120))
+    grown = F.when(first["hi"] - first["lo"] < 500, wider).otherwise(first)
     return p.select("page_id", grown["lo"].alias("y_min"), grown["hi"].alias("y_max"))
 
 

@@ -77,7 +77,7 @@ def u3(spark, sf):
 
 @query("W7")
 def w7(spark, sf):
-    return overlap.joined_short_texts(view(spark, sf, "short_items"))
+    return overlap.joined_short_texts(view(spark, sf, "short_items")).drop("order")
 
 
 @query("W12")

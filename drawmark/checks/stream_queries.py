@@ -34,6 +34,6 @@ def t3_stream(spark, sf):
 
 @query("T6", f"SELECT batch_id, CAST(to_json({{phase: 'processing', isRunning: completed < total, totalFiles: total, currentFile: completed, totalElapsed: elapsed, progress: progress}}) AS VARCHAR) AS status FROM ({_A3})", ("job_log",))
 def t6(spark, sf):
-    finished = jobs.view_stream(spark, sf, "job_log").withColumn("seconds_whole", F.floor("seconds").cast("bigint"))
+    finished = jobs.view_stream(spark, sf, "job_log").withColumn("seconds_whole", F.floor("seconds").cast("bigint")).withColumn("finished_at", F.col("process_date").cast("timestamp"))
     out = jobs.run_to_table(jobs.status_feed(finished), "update")
     return out.groupBy("batch_id").agg(F.max_by("status", "batch").alias("status"))

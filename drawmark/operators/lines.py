@@ -203,9 +203,15 @@ def linked_extent(segs: Column, centre: Column, gap: int = 80) -> Column:
         above = (s["hi"] < acc["lo"]) & (acc["lo"] - s["hi"] <= gap)
         return F.struct(F.when(above, s["lo"]).otherwise(acc["lo"]).alias("lo"), hi.alias("hi"))
 
-    # a sweep that changes nothing is the end, and every other one takes in a segment
-    grown = F.aggregate(segs, seed, lambda acc, _: F.aggregate(segs, acc, step))
-    return F.when(seed.isNotNull(), grown)
+    def sweep(acc: Column) -> Column:
+        begin = F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"))
+        return F.aggregate(segs, begin, step, lambda x: F.struct(
+            x["lo"].alias("lo"), x["hi"].alias("hi"), ((x["lo"] == acc["lo"]) & (x["hi"] == acc["hi"])).alias("done")))
+
+    # a sweep that changes nothing is the last; every other one takes in a segment
+    begin = F.struct(seed["lo"].alias("lo"), seed["hi"].alias("hi"), seed.isNull().alias("done"))
+    grown = F.aggregate(segs, begin, lambda acc, _: F.when(acc["done"], acc).otherwise(sweep(acc)))
+    return F.when(seed.isNotNull(), F.struct(grown["lo"].alias("lo"), grown["hi"].alias("hi")))
 
 
 def extended_rows(rows: Column, candidates: Column, table_bottom: Column, page_bottom: Column) -> Column:
@@ -348,45 +354,45 @@ def frame_boxes(segments: DataFrame, pages: DataFrame) -> DataFrame:
     return found.withColumn("frame", F.coalesce(*picks)).select("page_id", "img_w", "img_h", "frame.*")
 
 
-def aligned_sets(segments: DataFrame, axis: str, tol: Column | int) -> DataFrame:
+def _weighted(members: Column, rank: Column) -> Column:
+    """First field at a 0-based rank of sorted (value, n) pairs, each value counting n times."""
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("v"))
+    return F.aggregate(members, start, lambda a, m: F.struct(
+        (a["seen"] + m["n"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + m["n"] > rank), m["v"]).otherwise(a["v"]).alias("v")), lambda a: a["v"])
+
+
+def aligned_sets(segments: DataFrame, axis: str, tol: int) -> DataFrame:
     """Largest aligned set of a page: segments whose both ends lie within ``tol`` of an anchor's, for the
     anchor with the greatest upper-median length (two members at least, the first anchor wins a tie).
 
-    Equal extents are counted once with the number of lines they stand for, so the search inside the row
-    grows with the distinct extents of a page and not with its segments."""
-    tol = tol if isinstance(tol, Column) else F.lit(tol)
+    Equal extents are one row with the number of their lines. An anchor meets the extents of its cells of a grid over
+    (start, end), so the rows joined grow with the extents nearby, which (2 tol + 1)^2 bounds, and not with the square
+    of a page's extents. Only the winner's members are looked up again."""
+    cell = 4 * max(tol, 1)
     lines = segments.filter(F.col("axis") == axis).groupBy("page_id", "start_px", "end_px", "pos").agg(F.lit(1).alias("one"))
-    extents = lines.groupBy("page_id", "start_px", "end_px").agg(
-        F.count("one").cast("int").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("deepest"))
-    page = extents.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
-        (F.col("end_px") - F.col("start_px")).alias("len"), F.col("start_px").alias("lo"), F.col("end_px").alias("hi"),
-        "n", "first", "deepest"))).alias("extents"))
-
-    def total(members: Column) -> Column:
-        return F.aggregate(members, F.lit(0), lambda a, m: a + m["n"])
-
-    def nth(members: Column, field: str, rank: Column) -> Column:
-        """Value of ``field`` at a 0-based rank, each extent counting as often as its lines."""
-        start = F.struct(F.lit(0).alias("seen"), F.lit(None).cast("int").alias("v"))
-        return F.aggregate(members, start, lambda a, m: F.struct(
-            (a["seen"] + m["n"]).alias("seen"),
-            F.when(a["v"].isNull() & (a["seen"] + m["n"] > rank), m[field]).otherwise(a["v"]).alias("v")),
-            lambda a: a["v"])
-
-    def score(anchor: Column) -> Column:
-        members = F.filter("extents", lambda m: (F.abs(m["lo"] - anchor["lo"]) <= tol) & (F.abs(m["hi"] - anchor["hi"]) <= tol))
-        return bind(members, lambda ms: F.struct(
-            F.when(total(ms) >= 2, nth(ms, "len", F.floor(total(ms) / 2).cast("int"))).alias("med_len"),
-            (-anchor["first"]).alias("order"), (-anchor["lo"]).alias("order2"), (-anchor["hi"]).alias("order3"),
-            total(ms).alias("n"), ms.alias("members")))
-
-    best = F.array_max(F.filter(F.transform("extents", score), lambda s: s["med_len"].isNotNull()))
-    by_hi = F.array_sort(F.transform(F.col("best")["members"], lambda m: F.struct(m["hi"].alias("hi"), m["n"].alias("n"))))
-    n = F.col("best")["n"]
-    mid_hi = whole((nth(by_hi, "hi", F.floor((n - 1) / 2).cast("int")) + nth(by_hi, "hi", F.floor(n / 2).cast("int"))) / 2)
-    return (page.withColumn("best", best).filter("best IS NOT NULL")
-            .select("page_id", F.col("best")["med_len"].alias("med_len"), n.alias("n"),
-                    (-F.col("best")["order"]).alias("anchor_pos"), (-F.col("best")["order2"]).alias("anchor_lo"),
-                    (-F.col("best")["order3"]).alias("anchor_hi"),
-                    F.array_max(F.transform(F.col("best")["members"], lambda m: m["deepest"])).alias("deepest"),
-                    mid_hi.alias("median_hi"), F.col("best")["members"].alias("members")))
+    extents = lines.groupBy("page_id", F.col("start_px").alias("lo"), F.col("end_px").alias("hi")).agg(
+        F.count("one").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("deepest"))
+
+    def at(value: Column) -> Column:
+        return F.floor(value / cell)
+
+    members = extents.select("page_id", F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi"), "n", at(F.col("lo")).alias("cx"), at(F.col("hi")).alias("cy"))
+    anchors = (extents.select("page_id", "lo", "hi", "first")
+               .withColumn("cx", F.explode(F.sequence(at(F.col("lo") - tol), at(F.col("lo") + tol))))
+               .withColumn("cy", F.explode(F.sequence(at(F.col("hi") - tol), at(F.col("hi") + tol)))))
+    near = (F.abs(F.col("m_lo") - F.col("lo")) <= tol) & (F.abs(F.col("m_hi") - F.col("hi")) <= tol)
+    by_length = (anchors.join(members, ["page_id", "cx", "cy"]).filter(near)
+                 .groupBy("page_id", "lo", "hi", "first", (F.col("m_hi") - F.col("m_lo")).alias("v")).agg(F.sum("n").alias("n")))
+    scored = (by_length.groupBy("page_id", "lo", "hi", "first").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("v", "n"))).alias("lens"))
+              .filter("n >= 2").withColumn("med_len", _weighted(F.col("lens"), F.floor(F.col("n") / 2))))
+    best = scored.groupBy("page_id").agg(F.max(F.struct(
+        "med_len", (-F.col("first")).alias("f"), (-F.col("lo")).alias("l"), (-F.col("hi")).alias("h"), "n")).alias("b"))
+    best = best.select("page_id", F.col("b.med_len").alias("med_len"), F.col("b.n").cast("int").alias("n"), (-F.col("b.f")).alias("anchor_pos"),
+                       (-F.col("b.l")).alias("anchor_lo"), (-F.col("b.h")).alias("anchor_hi"))
+    inside = (F.abs(F.col("lo") - F.col("anchor_lo")) <= tol) & (F.abs(F.col("hi") - F.col("anchor_hi")) <= tol)
+    ends = (extents.select("page_id", "lo", "hi", F.col("n").alias("m"), "deepest").join(best, "page_id").filter(inside)
+            .groupBy("page_id", F.col("hi").alias("v")).agg(F.sum("m").alias("n"), F.max("deepest").alias("deepest")))
+    ends = ends.groupBy("page_id").agg(F.max("deepest").alias("deepest"), F.array_sort(F.collect_list(F.struct("v", "n"))).alias("his"))
+    out = best.join(ends, "page_id")
+    mid_hi = whole((_weighted(F.col("his"), F.floor((F.col("n") - 1) / 2)) + _weighted(F.col("his"), F.floor(F.col("n") / 2))) / 2)
+    return out.select("page_id", "med_len", "n", "anchor_pos", "anchor_lo", "anchor_hi", "deepest", mid_hi.alias("median_hi"))

@@ -18,6 +18,7 @@ from drawmark.streaming import watch
 
 CORNERS = ("x1", "y1", "x2", "y2")
 _TABLES_FROM = 9_000_000_000_000_000_000
+MIN_COLUMN_HEIGHT = 500
 
 
 def red_grid(segments: DataFrame) -> DataFrame:
@@ -39,15 +40,28 @@ def merged_lines(segments: DataFrame) -> DataFrame:
 
 
 def header_candidates(items: DataFrame) -> DataFrame:
-    """Header items of both languages and the words joined from short texts, which rank last."""
+    """Header items of both languages and the words joined from short texts, which come last, in their own order."""
     columns = ["page_id", "lang", "seq", "text", *CORNERS]
     out = items.select(*columns)
+    o = "order."
+    last = (F.lit(1 << 62) + F.when(F.col(o + "axis") == "h", 0).otherwise(1).cast("bigint") * (1 << 60) + F.col(o + "band").cast("bigint") * (1 << 40)
+            + F.col(o + "group").cast("bigint") * (1 << 18) + F.col(o + "width").cast("bigint") * (1 << 16) + F.col(o + "start"))
     for lang in ("en", "ch"):
         extra = overlap.joined_short_texts(items.filter(F.col("lang") == lang))
-        out = out.unionByName(extra.select("page_id", F.lit(lang).alias("lang"), F.lit((1 << 63) - 1).alias("seq"), "text", *CORNERS))
+        out = out.unionByName(extra.select("page_id", F.lit(lang).alias("lang"), last.alias("seq"), "text", *CORNERS))
     return out
 
 
+def column_extents(segments: DataFrame, columns: DataFrame) -> DataFrame:
+    """Pieces of the vertical lines within 5 px of each column side: page_id, left_pieces and right_pieces, sorted
+    (lo, hi). ``columns``: page_id, a, b. Pieces stay apart, as holes between them decide how far a side reaches."""
+    near = segments.filter("axis = 'v'").join(columns, "page_id")
+    piece = F.struct(F.col("start_px").alias("lo"), F.col("end_px").alias("hi"))
+    sides = {side: F.abs(F.col("pos") - F.col(at)) <= 5 for side, at in (("left", "a"), ("right", "b"))}
+    return near.filter(sides["left"] | sides["right"]).groupBy("page_id").agg(
+        *[F.array_sort(F.collect_set(F.when(close, piece))).alias(f"{side}_pieces") for side, close in sides.items()])
+
+
 def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pages: DataFrame) -> DataFrame:
     """Number column of each page: header keyword, neighbours, lines, extent, rows, content check, label fix."""
     headers = header_candidates(items)
@@ -66,12 +80,15 @@ def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pa
                       ).otherwise(F.struct(F.col("own_left").alias("a"), F.col("own_right").alias("b")))
     placed = placed.withColumn("col", interval).filter("col IS NOT NULL")
 
-    def extent(side: str) -> Column:
-        strip = F.array_sort(F.transform(F.filter("v_spans", lambda s: F.abs(s["pos"] - F.col(f"col.{side}")) <= 10),
-                                         lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
-        return F.coalesce(lines.linked_extent(strip, F.col("kw_cy")), lines.linked_extent(strip, F.col("kw_cy"), 120))
+    pieces = column_extents(segments, placed.select("page_id", "col.a", "col.b"))
+    none = F.expr("CAST(array() AS array<struct<lo:int,hi:int>>)")
+    placed = (placed.join(pieces, "page_id", "left").withColumn("left_pieces", F.coalesce("left_pieces", none))
+              .withColumn("right_pieces", F.coalesce("right_pieces", none)))
+
+    def extent(side: str, gap: int) -> Column:
+        return lines.linked_extent(F.col(f"{side}_pieces"), F.col("kw_cy"), gap)
 
-    sided = placed.withColumn("_l", extent("a")).withColumn("_r", extent("b"))
+    sided = placed.withColumn("_l", extent("left", 80)).withColumn("_r", extent("right", 80))
     sides = regions.both_sides("_l.lo", "_l.hi", "_r.lo", "_r.hi", F.lit(0), F.col("roi_h"))
     own = F.col("level") == 4
     sided = (sided.withColumn("table_top", F.when(own, F.greatest(F.lit(0), F.col("kw_cy").cast("int") - 20)).otherwise(sides["table_top"]))
@@ -79,11 +96,24 @@ def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pa
     need = F.greatest(((F.col("col.b") - F.col("col.a")) * 0.3).cast("int"), F.lit(10))
     crossing = F.transform(F.filter("h_spans", lambda s: F.least(s["hi"], F.col("col.b") + 5) - F.greatest(s["lo"], F.col("col.a") - 5) >= need), lambda s: s["pos"])
     sided = sided.withColumn("_all", lines.keep_spaced(crossing, 8))
-    rows = F.filter("_all", lambda y: (y >= F.col("table_top")) & (y < F.col("table_bottom")))
-    sided = sided.withColumn("_rows", rows)
+
+    def rows_between(top: str, bottom: str) -> Column:
+        return F.filter("_all", lambda y: (y >= F.col(top)) & (y < F.col(bottom)))
+
+    sided = sided.withColumn("_rows", rows_between("table_top", "table_bottom"))
     sided = sided.withColumn("_rows", lines.extended_rows(F.col("_rows"), F.col("_all"), F.col("table_bottom"), F.col("roi_h")))
     top, bottom = lines.data_rows(F.col("_rows"), F.col("kw_cy"), F.col("table_top"), F.col("table_bottom"))
-    columns = settled(sided.select("page_id", F.col("col.a").alias("x1"), top.alias("y1"), F.col("col.b").alias("x2"), bottom.alias("y2")))
+    sided = sided.withColumn("_top", top).withColumn("_bottom", bottom)
+    # a column lower than 500 px is looked at again, over larger holes
+    again = sided.withColumn("_l", extent("left", 120)).withColumn("_r", extent("right", 120))
+    for name, pick, default in (("lo", F.least, F.lit(0)), ("hi", F.greatest, F.col("roi_h"))):
+        left, right = (F.nullif(F.col(f"{c}.{name}"), F.lit(0)) for c in ("_l", "_r"))  # zero counts as not found
+        again = again.withColumn(f"_{name}", F.when(left.isNotNull() & right.isNotNull(), pick(left, right)).otherwise(F.coalesce(left, right, default)))
+    again = again.withColumn("_rows", rows_between("_lo", "_hi"))
+    top, bottom = lines.data_rows(F.col("_rows"), F.col("kw_cy"), F.col("_lo"), F.col("_hi"))
+    low = F.col("_bottom") - F.col("_top") < MIN_COLUMN_HEIGHT
+    columns = settled(again.select("page_id", F.col("col.a").alias("x1"), F.when(low, top).otherwise(F.col("_top")).alias("y1"),
+                                   F.col("col.b").alias("x2"), F.when(low, bottom).otherwise(F.col("_bottom")).alias("y2")))
     valid = keywords.checked_columns(columns, items, matches).filter("valid").drop("valid")
     return item_ops.shift_left_edge(valid, items)
 
@@ -209,7 +239,9 @@ def note_codes(items: DataFrame, components: DataFrame, pages: DataFrame, table_
     outer = regions.centre_outside_zone(table_boxes, zones).select("page_id", place.alias("seq"), *CORNERS)
     both = crops.unionByName(outer).filter((F.col("x2") - F.col("x1") >= 6) & (F.col("y2") - F.col("y1") >= 6))
     hits = hits_in_crops(items, both).withColumnRenamed("crop_seq", "crop")
-    return overlap.fresh_hits(hits).select("page_id", "token", *CORNERS)
+    # a crop with one new hit is kept and gives all its hits
+    kept = overlap.crop_hits(hits).filter("kept").select("page_id", "crop")
+    return hits.join(kept, ["page_id", "crop"], "left_semi").select("page_id", "token", *CORNERS)
 
 
 def detected_regions(pages: DataFrame, items: DataFrame, headers: DataFrame, segments: DataFrame, profile: DataFrame,

@@ -110,7 +110,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
     "file_observations": ("events", [
         "'inbox/YA' || lpad(CAST(user_id % 1000000 AS STRING), 6, '0') || '_R1.tif' AS path", "ts AS seen_at",
-        "event_id AS obs_seq", "CAST(floor(value / 20) AS BIGINT) AS size_bytes",
+        "event_id AS obs_seq", "CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(floor(value / 20) AS BIGINT) END AS size_bytes",
+        "CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(floor(value / 45) AS BIGINT) * 1000000 END AS mtime_us",
     ]),
     "edit_events": ("events", [
         "user_id AS box_id", "event_id AS event_seq",

@@ -15,6 +15,7 @@ from drawmark.session import checkpoint_dir
 from drawmark.settings import MAX_RETRY
 from drawmark.sources.views import VIEWS
 
+FILES_PER_BATCH = 64  # so that a batch, and a key's share of it, is bounded
 _STATE = "status string, retry_count int, created_at bigint, started_at bigint, finished_at bigint, error_msg string, has_result boolean"
 
 
@@ -36,25 +37,54 @@ def step(state: tuple | None, op: str, at: int, max_retry: int) -> tuple | None:
     return ("failed", retries, created, started, at, "error", result)
 
 
-def job_states(events: DataFrame, max_retry: int = MAX_RETRY) -> DataFrame:
-    """Stream of changed job states from a stream of job events (times in microseconds)."""
+def _millis(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+def job_states(events: DataFrame, max_retry: int = MAX_RETRY, late: str = "7 days", forget_after: str = "30 days") -> DataFrame:
+    """Stream of changed job states from a stream of job events (times in microseconds). Events may be ``late`` by so
+    much; the state of a job without an event for ``forget_after`` is dropped."""
+    forget_ms = _millis(forget_after)
+
     def follow(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = kept.get if kept.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("event_seq")
-        for op, at in zip(rows["op"], rows["event_time"]):
-            state = step(state, op, int(at.value // 1000), max_retry)
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        state, latest = (kept.get[:-1], kept.get[-1]) if kept.exists else (None, 0)
+        rows = pd.concat([b[["event_seq", "op", "event_time"]] for b in batches], ignore_index=True).sort_values("event_seq")
+        for op, at in zip(rows["op"], rows["event_time"].astype("datetime64[us]").astype("int64")):
+            state, latest = step(state, op, int(at), max_retry), max(latest, int(at))
         if state is not None:
-            kept.update(state)
+            kept.update((*state, latest))
+            kept.setTimeoutTimestamp(max(latest // 1000 + forget_ms, kept.getCurrentWatermarkMs() + 1))
             columns = ["job_id"] + [c.split()[0] for c in _STATE.split(", ")]
             yield pd.DataFrame([(key[0], *state)], columns=columns).astype({c: "Int64" for c in ("created_at", "started_at", "finished_at")})
 
-    return events.groupBy("job_id").applyInPandasWithState(follow, f"job_id bigint, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def status_feed(files: DataFrame) -> DataFrame:
-    """Stream of status documents per batch, from a stream of finished files."""
-    done = F.count(F.when(F.col("status") == "success", 1))
-    counts = files.groupBy("batch_id").agg(done.alias("completed"), F.count("*").alias("total"), F.sum("seconds_whole").alias("elapsed"))
+    return events.withWatermark("event_time", late).groupBy("job_id").applyInPandasWithState(
+        follow, f"job_id bigint, {_STATE}", f"{_STATE}, latest bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def status_feed(files: DataFrame, late: str = "7 days", forget_after: str = "30 days") -> DataFrame:
+    """Stream of status documents per batch, from a stream of finished files (batch_id, status, seconds_whole,
+    finished_at). Counts are kept per batch until it has been quiet for ``forget_after``."""
+    forget_ms = _millis(forget_after)
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        done, total, elapsed, latest = kept.get if kept.exists else (0, 0, 0, 0)
+        for p in parts:
+            done, total = done + int((p["status"] == "success").sum()), total + len(p)
+            elapsed += int(p["seconds_whole"].sum())
+            latest = max(latest, int(p["finished_at"].max().value // 1_000_000))
+        kept.update((done, total, elapsed, latest))
+        kept.setTimeoutTimestamp(max(latest + forget_ms, kept.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], done, total, elapsed)], columns=["batch_id", "completed", "total", "elapsed"])
+
+    counts = files.select("batch_id", "status", "seconds_whole", "finished_at").withWatermark("finished_at", late).groupBy("batch_id").applyInPandasWithState(
+        follow, "batch_id bigint, completed bigint, total bigint, elapsed bigint", "completed bigint, total bigint, elapsed bigint, latest bigint",
+        "update", GroupStateTimeout.EventTimeTimeout)
     return status_documents(counts.withColumn("progress", F.floor(F.col("completed") * 100 / F.col("total")).cast("int")))
 
 
@@ -87,4 +117,4 @@ def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{base}.parquet"
     # a pattern, as a stream over a plain path wants a folder and a table may be a single file
     pattern = f"{sf_dir}/{base}.parque[t]"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern).selectExpr(*exprs)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(pattern).selectExpr(*exprs)

@@ -1,20 +1,29 @@
 """Watched folders: which files have stopped changing.
 
-The batch form works on a table of observations, the streaming form on a stream of them. Both give the
-first observation of an unchanged run that is ``stable_seconds`` or more after the run's start."""
+A folder is listed again and again (``record_listing``, ``watch_folder``); every listing adds one observation for each
+file that is there, and one without a size for each that was there and is gone. The batch form of the search works on a
+table of observations, the streaming form on a stream of them. Both give the first observation of an unchanged run
+(equal size and modification time) that is ``stable_seconds`` or more after the run's start. A file that vanished
+starts anew when it comes back."""
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from drawmark.functions import names
+from drawmark.session import checkpoint_dir
 from drawmark.settings import STABLE_SECONDS
+from drawmark.sources import files
 
-OBSERVATION = "path string, seen_at timestamp, obs_seq bigint, size_bytes bigint"
+OBSERVATION = "path string, seen_at timestamp, obs_seq bigint, size_bytes bigint, mtime_us bigint"
 
 
 def stable_runs(observations: DataFrame, stable_seconds: float = STABLE_SECONDS, bucket_seconds: int = 3600) -> DataFrame:
@@ -24,16 +33,17 @@ def stable_runs(observations: DataFrame, stable_seconds: float = STABLE_SECONDS,
     tasks. Each bucket passes its last size and its last change on to the next ones through a small table
     with one row per path and bucket."""
     obs = observations.withColumn("bucket", F.floor(F.unix_seconds(F.col("seen_at").cast("timestamp")) / bucket_seconds))
+    obs = obs.withColumn("facts", F.struct("size_bytes", "mtime_us"))
     order = [F.col("seen_at"), F.col("obs_seq")]
     inside = Window.partitionBy("path", "bucket").orderBy(*order)
     buckets = Window.partitionBy("path").orderBy("bucket")
 
-    ends = obs.groupBy("path", "bucket").agg(F.max(F.struct("seen_at", "obs_seq", "size_bytes")).alias("end"))
-    carried = ends.select("path", "bucket", F.lag("end").over(buckets)["size_bytes"].alias("size_before"))
-    flagged = (obs.withColumn("_prev", F.lag("size_bytes").over(inside)).withColumn("_n", F.row_number().over(inside))
+    ends = obs.groupBy("path", "bucket").agg(F.max(F.struct("seen_at", "obs_seq", "facts")).alias("end"))
+    carried = ends.select("path", "bucket", F.lag("end").over(buckets)["facts"].alias("facts_before"))
+    flagged = (obs.withColumn("_prev", F.lag("facts").over(inside)).withColumn("_n", F.row_number().over(inside))
                .join(carried, ["path", "bucket"])
-               .withColumn("_before", F.when(F.col("_n") > 1, F.col("_prev")).otherwise(F.col("size_before")))
-               .withColumn("changed_at", F.when(F.col("_before").isNull() | (F.col("_before") != F.col("size_bytes")), F.col("seen_at"))))
+               .withColumn("_before", F.when(F.col("_n") > 1, F.col("_prev")).otherwise(F.col("facts_before")))
+               .withColumn("changed_at", F.when(~F.col("_before").eqNullSafe(F.col("facts")), F.col("seen_at"))))
     last_change = flagged.groupBy("path", "bucket").agg(F.max("changed_at").alias("bucket_change"))
     earlier = last_change.select("path", "bucket", F.max("bucket_change").over(
         buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("change_before"))
@@ -41,7 +51,7 @@ def stable_runs(observations: DataFrame, stable_seconds: float = STABLE_SECONDS,
     timed = (flagged.withColumn("_own", F.max("changed_at").over(running)).join(earlier, ["path", "bucket"])
              .withColumn("run_start", F.coalesce("_own", "change_before")))
     waited = F.unix_micros(F.col("seen_at").cast("timestamp")) - F.unix_micros(F.col("run_start").cast("timestamp"))
-    stable = timed.filter(F.col("changed_at").isNull() & (waited >= int(stable_seconds * 1_000_000)))
+    stable = timed.filter(F.col("changed_at").isNull() & F.col("size_bytes").isNotNull() & (waited >= int(stable_seconds * 1_000_000)))
     return stable.groupBy("path", "run_start").agg(F.min("seen_at").alias("stable_at"), F.min("size_bytes").alias("size_bytes"))
 
 
@@ -50,26 +60,72 @@ def vanished(tracked: DataFrame, present: DataFrame) -> DataFrame:
     return tracked.select("path").distinct().join(present.select("path").distinct(), "path", "left_anti")
 
 
-def promoted(stable: DataFrame, at: Column | None = None) -> DataFrame:
-    """Queue rows of stable files."""
+def promoted(stable: DataFrame, taken: DataFrame | None = None, at: Column | None = None) -> DataFrame:
+    """Queue rows of stable files, moved to ``processing/`` under a free name: their own, or the first ``_NNN`` that is
+    neither in ``taken`` (column name) nor given to an earlier one of the same name."""
+    spark = stable.sparkSession
+    taken = spark.createDataFrame([], "name string") if taken is None else taken.select("name")
+    given = stable.withColumn("source_file", names.base_name(F.col("path")))
+    given = given.withColumn("_k", F.row_number().over(Window.partitionBy("source_file").orderBy("stable_at", "path")))
+    cut = [names.stem(F.col("source_file")).alias("_stem"), names.suffix(F.col("source_file")).alias("_ext")]
+    pattern = r"^(.+)_(\d{3}|[1-9]\d{3,8})(\.[^.]*)?$"
+    name = F.col("name")
+    numbers = (taken.filter(name.rlike(pattern)).groupBy(F.regexp_extract(name, pattern, 1).alias("_stem"), F.regexp_extract(name, pattern, 3).alias("_ext"))
+               .agg(F.collect_set(F.regexp_extract(name, pattern, 2).cast("int")).alias("_used")))
+    clash = taken.distinct().select(name.alias("source_file"), F.lit(True).alias("_clash"))
+    named = given.select("*", *cut).join(clash, "source_file", "left").join(numbers, ["_stem", "_ext"], "left")
+    used = F.coalesce("_used", F.array().cast("array<int>"))
+    need = F.col("_k") - F.when(F.col("_clash"), 0).otherwise(1)  # which free number; none for the first of a free name
+    free = F.get(F.filter(F.sequence(F.lit(1), F.greatest(need, F.lit(1)).cast("int") + F.size(used)), lambda n: ~F.array_contains(used, n)), (need - 1).cast("int"))
+    moved = F.when(need < 1, F.col("source_file")).otherwise(F.concat("_stem", F.lit("_"), F.format_string("%03d", free), "_ext"))
     parts = names.parsed_name(F.col("path"))
-    return stable.select(
-        F.lit("watch_folder").alias("source"), names.base_name(F.col("path")).alias("source_file"),
-        F.concat(F.lit("processing/"), names.base_name(F.col("path"))).alias("file_path"),
+    return named.select(
+        F.lit("watch_folder").alias("source"), "source_file", F.concat(F.lit("processing/"), moved).alias("file_path"),
         parts["drawing_no"].alias("drawing_no"), parts["revision"].alias("revision"), F.lit("pending").alias("status"),
         F.lit(0).alias("retry_count"), (at if at is not None else F.col("stable_at")).alias("created_at"))
 
 
-def observe(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Stream of a folder's files by name, size and time; contents are not read."""
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
-             .schema("path string, modificationTime timestamp, length bigint, content binary").load(folder))
-    return files.select("path", F.col("modificationTime").alias("seen_at"), F.unix_micros("modificationTime").alias("obs_seq"),
-                        F.col("length").alias("size_bytes")).filter(names.is_supported(F.col("path")))
+def record_listing(spark: SparkSession, folder: str, log: str, at_us: int, pattern: str = "*") -> None:
+    """Add a listing of ``folder``, taken at ``at_us``, to the observations below ``log``: one folder per listing, whose
+    name orders them. Files that the listing before had and this one has not are noted without a size."""
+    found = files.list_folder(spark, folder, pattern).filter(names.is_supported(F.col("file_name")))
+    now = found.select("path", F.col("size_bytes").cast("bigint").alias("size_bytes"), F.unix_micros("mtime").alias("mtime_us"))
+    earlier = _listings(spark, log)
+    if earlier:
+        before = spark.read.schema(OBSERVATION).parquet(earlier[-1]).filter("size_bytes IS NOT NULL")
+        gone = before.select("path").join(now.select("path"), "path", "left_anti")
+        now = now.unionByName(gone, allowMissingColumns=True)
+    at = F.lit(at_us).cast("bigint")
+    now.select("path", F.timestamp_micros(at).alias("seen_at"), at.alias("obs_seq"), "size_bytes", "mtime_us").write.mode("overwrite").parquet(f"{log}/at={at_us:020d}")
+
+
+def _listings(spark: SparkSession, log: str) -> list[str]:
+    """Folders of the listings so far, in order."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(log)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return sorted(s.getPath().toString() for s in system.listStatus(path) if s.getPath().getName().startswith("at="))
+
+
+def watch_folder(spark: SparkSession, folder: str, log: str, every: str = "2 seconds", pattern: str = "*") -> StreamingQuery:
+    """List ``folder`` at each trigger. A stream's own file source names a path once; a listing sees it change."""
+    def note(batch: DataFrame, number: int) -> None:
+        record_listing(spark, folder, log, time.time_ns() // 1000, pattern)
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (beat.writeStream.option("checkpointLocation", f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}")
+            .foreachBatch(note).trigger(processingTime=every).start())
+
+
+def observed(spark: SparkSession, log: str, listings_per_batch: int = 10) -> DataFrame:
+    """Stream of the observations that listings have written; a batch takes a bounded number of listings' files."""
+    return (spark.readStream.schema(OBSERVATION).option("maxFilesPerTrigger", listings_per_batch)
+            .option("latestFirst", False).parquet(f"{log}/at=*"))
 
 
 def stable_stream(observations: DataFrame, stable_seconds: float = STABLE_SECONDS, forget_after: str = "1 day") -> DataFrame:
-    """Stable files of a stream of observations. A path that is not seen for ``forget_after`` is dropped
+    """Stable files of a stream of observations. A path that vanished, or is not seen for ``forget_after``, is dropped
     from the state."""
     wait = int(stable_seconds * 1_000_000)
     forget_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000)
@@ -78,23 +134,32 @@ def stable_stream(observations: DataFrame, stable_seconds: float = STABLE_SECOND
         if state.hasTimedOut:
             state.remove()
             return
-        size, start, done = state.get if state.exists else (None, None, False)
+        size, mtime, start, done, latest = state.get if state.exists else (None, None, None, False, 0)
+        # one path's observations of one batch: as many as the batch has listings
+        parts = [(b["seen_at"].to_numpy("datetime64[us]").astype("int64"), b["obs_seq"].to_numpy(), b["size_bytes"].astype("Int64"), b["mtime_us"].astype("Int64")) for b in batches]
+        seen, order, sizes, mtimes = (np.concatenate([p[k] for p in parts]) if k < 2 else pd.concat([p[k] for p in parts], ignore_index=True) for k in range(4))
         out = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["seen_at", "obs_seq"])
-        latest = 0
-        for seen, bytes_now in zip(rows["seen_at"], rows["size_bytes"]):
-            micros = seen.value // 1000
-            latest = max(latest, micros)
-            if size is None or size != bytes_now:
-                size, start, done = int(bytes_now), micros, False
-            elif not done and micros - start >= wait:
+        for i in np.lexsort((order, seen)):
+            at, now = int(seen[i]), (sizes[i], mtimes[i])
+            latest = max(latest, at)
+            if pd.isna(now[0]):
+                size, mtime, start, done = None, None, None, False
+                continue
+            now = (int(now[0]), None if pd.isna(now[1]) else int(now[1]))
+            if start is None or (size, mtime) != now:
+                (size, mtime), start, done = now, at, False
+            elif not done and at - start >= wait:
                 done = True
-                out.append((key[0], pd.Timestamp(start, unit="us"), seen, size))
-        state.update((size, start, done))
-        state.setTimeoutTimestamp(latest // 1000 + forget_ms)
+                out.append((key[0], pd.Timestamp(start, unit="us"), pd.Timestamp(at, unit="us"), size))
+        if start is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((size, mtime, start, done, latest))
+            state.setTimeoutTimestamp(max(latest // 1000 + forget_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["path", "run_start", "stable_at", "size_bytes"])
 
     return (observations.withWatermark("seen_at", "10 minutes").groupBy("path").applyInPandasWithState(
         follow, "path string, run_start timestamp, stable_at timestamp, size_bytes bigint",
-        "size bigint, start bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout))
+        "size bigint, mtime bigint, start bigint, done boolean, latest bigint", "append", GroupStateTimeout.EventTimeTimeout))

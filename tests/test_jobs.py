@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from drawmark.operators import jobs
 from drawmark.sources import box_csv, files, logs
 from drawmark.streaming import watch
-from drawmark.streaming.jobs import each_batch, step
+from drawmark.streaming.jobs import run_to_table, step
 
 T0 = datetime(2024, 1, 1)
 
@@ -71,8 +71,8 @@ def test_edits(spark):
 
 
 def observations(spark, rows):
-    return spark.createDataFrame([(p, T0 + timedelta(milliseconds=ms), i, size) for i, (p, ms, size) in enumerate(rows)],
-                                 "path string, seen_at timestamp, obs_seq bigint, size_bytes bigint")
+    return spark.createDataFrame([(r[0], T0 + timedelta(milliseconds=r[1]), i, r[2], r[3] if len(r) > 3 else 5) for i, r in enumerate(rows)],
+                                 "path string, seen_at timestamp, obs_seq bigint, size_bytes bigint, mtime_us bigint")
 
 
 def test_stable_files(spark):
@@ -134,17 +134,71 @@ def test_log_sinks(spark, tmp_path):
     assert "处理日期" in "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "csv").glob("*.csv"))
 
 
-def test_folder_stream(spark, tmp_path):
-    inbox = tmp_path / "inbox"
+def test_changes_that_start_anew(spark):
+    """A new modification time with equal size, and a file that was gone for a while."""
+    rows = [("a.tif", 0, 9, 1), ("a.tif", 2000, 9, 2), ("a.tif", 4000, 9, 2), ("a.tif", 5000, 9, 2)]
+    rows += [("b.tif", 0, 9, 1), ("b.tif", 2000, None, None), ("b.tif", 2500, 9, 1), ("b.tif", 5000, 9, 1), ("b.tif", 5500, 9, 1)]
+    got = watch.stable_runs(observations(spark, rows)).collect()
+    assert sorted((r["path"], (r["stable_at"] - T0).total_seconds()) for r in got) == [("a.tif", 5.0), ("b.tif", 5.5)]
+
+
+def test_free_names_on_promotion(spark):
+    rows = [(f"{d}/x.tif", ms, 1) for d in "abc" for ms in (0, 4000)] + [("a/y.tif", ms, 1) for ms in (0, 4000)]
+    taken = spark.createDataFrame([("x.tif",), ("x_002.tif",)], "name string")
+    got = watch.promoted(watch.stable_runs(observations(spark, rows)), taken).collect()
+    assert sorted(r["file_path"] for r in got) == ["processing/x_001.tif", "processing/x_003.tif", "processing/x_004.tif", "processing/y.tif"]
+
+
+def test_watched_folder(spark, tmp_path):
+    """Files are written, grow, are rewritten with equal size, vanish and come back; listing after listing."""
+    import os
+    inbox, log = tmp_path / "inbox", str(tmp_path / "log")
     inbox.mkdir()
-    (inbox / "YA111111-1_eg.tif").write_bytes(b"x" * 10)
-    (inbox / "note.txt").write_bytes(b"y")
-    seen = []
-    query = each_batch(watch.observe(spark, str(inbox)), lambda df, n: seen.extend(df.select("path", "size_bytes").collect()), "append")
-    query.awaitTermination()
-    assert [(r["path"].split("/")[-1], r["size_bytes"]) for r in seen] == [("YA111111-1_eg.tif", 10)]
-    listed = files.supported(files.list_folder(spark, str(inbox))).collect()
-    assert [(r["file_name"], r["size_bytes"], r["ext"]) for r in listed] == [("YA111111-1_eg.tif", 10, ".tif")]
+    start = int(T0.timestamp() * 1_000_000)
+
+    def put(name, size, at):
+        (inbox / name).write_bytes(b"x" * size)
+        os.utime(inbox / name, (1_700_000_000 + at, 1_700_000_000 + at))
+
+    def listing(second):
+        watch.record_listing(spark, str(inbox), log, start + int(second * 1_000_000))
+
+    put("grows.tif", 1, 0), put("same_size.tif", 5, 0), put("calm.tif", 3, 0), put("gone.tif", 2, 0), put("note.txt", 1, 0)
+    listing(0)
+    put("grows.tif", 4, 2)
+    (inbox / "gone.tif").unlink()
+    listing(2)
+    put("same_size.tif", 5, 3)
+    put("gone.tif", 2, 0)
+    listing(3)
+    listing(5)
+    listing(6.5)
+    want = [("calm.tif", 0, 3), ("gone.tif", 3, 6.5), ("grows.tif", 2, 5), ("same_size.tif", 3, 6.5)]
+
+    def shown(rows):
+        return sorted((r["path"].split("/")[-1], (r["run_start"] - T0).total_seconds(), (r["stable_at"] - T0).total_seconds()) for r in rows)
+
+    table = spark.read.schema(watch.OBSERVATION).parquet(f"{log}/at=*")
+    assert table.filter("size_bytes IS NULL").count() == 1
+    assert shown(watch.stable_runs(table).collect()) == want
+    for per_batch in (1, 10):
+        stream = watch.stable_stream(watch.observed(spark, log, per_batch))
+        assert shown(run_to_table(stream, "append").collect()) == want
+
+
+def test_listings_by_trigger(spark, tmp_path):
+    import time
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "a.tif").write_bytes(b"x")
+    query = watch.watch_folder(spark, str(tmp_path / "inbox"), str(tmp_path / "log"), "500 milliseconds")
+    try:
+        for _ in range(60):
+            if len(watch._listings(spark, str(tmp_path / "log"))) > 1:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert len(watch._listings(spark, str(tmp_path / "log"))) > 1
 
 
 def test_crowded_page(spark):

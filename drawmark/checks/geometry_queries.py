@@ -179,8 +179,8 @@ def p50(spark, sf):
     return regions.strike_candidates(marks, grid_pages(spark, sf), cell_width=700)
 
 
-def grid_pages(spark, sf):
-    p = (all_lines(spark, sf).withColumn("h", lines.common_gap(F.col("ps"))).filter("h IS NOT NULL")
+def grid_pages(spark, sf, of=lambda df: df):
+    p = (all_lines(spark, sf, of).withColumn("h", lines.common_gap(F.col("ps"))).filter("h IS NOT NULL")
          .withColumn("rows", lines.grid_rows(F.col("ps"), F.col("h"))))
     return p.select("page_id", "h", "rows", F.array_except("ps", "rows").alias("strikes"))
 

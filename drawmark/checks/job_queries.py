@@ -278,14 +278,15 @@ REPLACED = _J2 + f""", sup AS {SUPPRESSED}, vt AS ({VOTES.replace('@src', 'sup')
 RV = ("line_segments", "ocr_items", "page_regions")
 
 
-def note_codes(spark, sf):
+def note_codes(spark, sf, of=lambda df: df):
     code, confidence, box = readings.note_code(F.col("text"), Box.corners())
-    return items(spark, sf).select("page_id", "seq", code.alias("code"), *box.columns()).filter("code IS NOT NULL")
+    return of(items(spark, sf)).select("page_id", "seq", code.alias("code"), *box.columns()).filter("code IS NOT NULL")
 
 
-def replacements(spark, sf):
-    found = cells.grid_cells(items(spark, sf), grid_pages(spark, sf))
-    return votes.all_replacements(found, view(spark, sf, "page_regions"), note_codes(spark, sf))
+def replacements(spark, sf, of=lambda df: df):
+    """Rewrites of all pages, or of those that ``of`` leaves of each input."""
+    found = cells.grid_cells(of(items(spark, sf)), grid_pages(spark, sf, of))
+    return votes.all_replacements(found, of(view(spark, sf, "page_regions")), note_codes(spark, sf, of))
 
 
 @query("A17", REPLACED + " SELECT page_id, rank, seq, old_text, 'H' || old_text AS new_text FROM rep", RV)
@@ -386,10 +387,23 @@ def q0(spark, sf):
             .groupBy("format", "method", "matched", "regions").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("size_bytes")))
 
 
-@query("Q12", REPLACED + f" SELECT file_name, CASE WHEN file_name LIKE '%.pdf' THEN 'vector' ELSE 'ocr' END AS method, count(*) AS total, string_agg(old_text || '>' || 'H' || old_text, ',' ORDER BY rank, seq, old_text) AS pairs FROM rep WHERE page_id = (SELECT min(page_id) FROM rep) GROUP BY file_name", RV)
+@query("Q12", REPLACED + f""", rt AS {_ROUTED}, one AS (SELECT * FROM rt WHERE file_id = (SELECT min(file_id) FROM rt WHERE method = 'ocr' AND substr(file_name, 1, 1) NOT IN ('Y', 'B')))
+   SELECT any_value(one.file_name) AS file_name, any_value(one.method) AS method, count(old_text) AS total, coalesce(string_agg(old_text || '>' || 'H' || old_text, ',' ORDER BY rank, seq, old_text), '') AS pairs FROM one LEFT JOIN rep ON page_id = file_id""", (*RV, "drawing_files"))
 def q12(spark, sf):
     from drawmark.plans.drawings import single_result
-    every = replacements(spark, sf)
-    first = every.agg(F.min("page_id").alias("page_id"))
-    out = single_result(every.join(F.broadcast(first), "page_id"))
+    routed = files.routed(view(spark, sf, "drawing_files"))
+    chosen = routed.filter((F.col("method") == "ocr") & ~F.substring("file_name", 1, 1).isin("Y", "B")).agg(F.min("file_id")).scalar()
+    # the choice reaches the scans of all inputs
+    every = replacements(spark, sf, lambda df: df.filter(F.col("page_id") == chosen))
+    out = single_result(routed.filter(F.col("file_id") == chosen), every)
     return out.select("file_name", "method", "total", F.array_join(F.transform("replacements", lambda r: F.concat(r["old_text"], F.lit(">"), r["new_text"])), ",").alias("pairs"))
+
+
+@query("Q12_scanned_pdf", f"""SELECT file_name, method, CAST(0 AS BIGINT) AS total FROM {_ROUTED} WHERE file_id = (SELECT min(file_id) FROM {_ROUTED} WHERE method = 'ocr' AND file_name LIKE '%.pdf')""", FILES)
+def q12_scanned_pdf(spark, sf):
+    """A PDF without text of its own went through recognition."""
+    from drawmark.plans.drawings import single_result
+    routed = files.routed(view(spark, sf, "drawing_files"))
+    chosen = routed.filter((F.col("method") == "ocr") & F.col("file_name").endswith(".pdf")).agg(F.min("file_id")).scalar()
+    none = replacements(spark, sf).limit(0)
+    return single_result(routed.filter(F.col("file_id") == chosen), none).select("file_name", "method", "total")

@@ -72,9 +72,9 @@ def w3(spark, sf):
 _ALL = ", al AS (SELECT page_id, list_sort(list(DISTINCT pos)) AS ps FROM line_segments GROUP BY page_id)"
 
 
-def all_lines(spark, sf):
+def all_lines(spark, sf, of=lambda df: df):
     """Pages whose horizontal and vertical positions are read as one list of rows."""
-    return segs(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    return of(segs(spark, sf)).groupBy("page_id").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
 
 
 _A5 = (_ALL + """, g AS (SELECT page_id, unnest(list_transform(list_filter({gaps}, lambda v: v > 50), lambda v: CAST(round_even(v / 5, 0) AS INTEGER) * 5)) AS r,

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from drawmark.checks.catalog import query
 from drawmark.checks.geometry_queries import _CLASS, _J2, CP, classified, items, segs, zones
-from drawmark.checks.job_queries import _CODES, _LOG, _ROUTED, _STABLE, _STATE, REPLACED, current, iso, log, replacements
+from drawmark.checks.job_queries import _CENTRE, _CODES, _LOG, _ROUTED, _STABLE, _STATE, REPLACED, current, iso, log, note_codes, replacements
 from drawmark.checks.line_queries import _ALL, _SPANS
 from drawmark.checks.text_queries import _SPAN_AT, _SPAN_CODE, _TRIMMED, ext, stem
-from drawmark.functions import boxes
+from drawmark.functions import boxes, text
 from drawmark.functions.boxes import Box
 from drawmark.operators import cells, keywords, overlap, regions, tables
 from drawmark.operators import items as item_ops
@@ -184,13 +184,54 @@ def q10(spark, sf):
 _OUT_EXT = f"CASE WHEN method = 'vector' THEN '.pdf' WHEN {ext('file_name')} IN ('.tif', '.tiff', '.pdf') THEN '.tif' ELSE {ext('file_name')} END"
 
 
-@query("Q1", REPLACED + f""", rt AS {_ROUTED}, nv AS (SELECT file_id, count(*) AS n FROM {_VECTOR_ROWS} GROUP BY file_id), nr AS (SELECT page_id AS file_id, count(*) AS n FROM rep GROUP BY page_id)
-   SELECT rt.file_id, file_name, 'success' AS status, method, coalesce(CASE WHEN method = 'vector' THEN nv.n ELSE nr.n END, 0) AS total,
-   'output/' || CASE WHEN method = 'vector' THEN 'PDF_Replacement' ELSE 'VLMOCR' END || '/' || {stem('file_name')} || {_OUT_EXT} AS output_path FROM rt LEFT JOIN nv USING (file_id) LEFT JOIN nr USING (file_id)""",
-       ("line_segments", "ocr_items", "page_regions", "drawing_files"))
+# every 29th page cannot be read
+_RUN = REPLACED + f""", rt AS {_ROUTED}, nv AS (SELECT file_id, count(*) AS n FROM {_VECTOR_ROWS} GROUP BY file_id), opened AS (SELECT page_id FROM page_sizes WHERE page_id % 29 <> 0),
+   mine AS (SELECT rep.* FROM rep JOIN rt ON file_id = page_id AND method = 'ocr' WHERE page_id IN (SELECT page_id FROM opened)), nr AS (SELECT page_id AS file_id, count(*) AS n FROM mine GROUP BY page_id),
+   results AS (SELECT rt.file_id, file_name, CASE WHEN o.page_id IS NULL THEN 'error' ELSE 'success' END AS status, CASE WHEN o.page_id IS NULL THEN 'page could not be read' END AS error,
+     CASE WHEN o.page_id IS NOT NULL THEN method END AS method, CASE WHEN o.page_id IS NOT NULL THEN coalesce(CASE WHEN method = 'vector' THEN nv.n ELSE nr.n END, 0) END AS total,
+     CASE WHEN o.page_id IS NOT NULL THEN 'output/' || CASE WHEN method = 'vector' THEN 'PDF_Replacement' ELSE 'VLMOCR' END || '/' || {stem('file_name')} || {_OUT_EXT} END AS output_path
+     FROM rt LEFT JOIN opened o ON o.page_id = rt.file_id LEFT JOIN nv USING (file_id) LEFT JOIN nr USING (file_id))"""
+_RUN_ON = ("line_segments", "ocr_items", "page_regions", "drawing_files", "page_sizes")
+
+
+def readable(spark, sf):
+    return view(spark, sf, "page_sizes").filter("page_id % 29 <> 0")
+
+
+def batch(spark, sf):
+    read_back = items(spark, sf).withColumn("text", text.rewritten(F.col("text")))
+    return drawings.batch_run(files.routed(view(spark, sf, "drawing_files")), item_ops.as_spans(items(spark, sf)), readable(spark, sf), items(spark, sf),
+                              segs(spark, sf), view(spark, sf, "page_regions"), note_codes(spark, sf), read_back)
+
+
+@query("Q1", _RUN + " SELECT * FROM results", _RUN_ON)
 def q1(spark, sf):
     routed = files.routed(view(spark, sf, "drawing_files"))
-    return drawings.batch_results(routed, item_ops.as_spans(items(spark, sf)), replacements(spark, sf))
+    opened = readable(spark, sf)
+    scanned = routed.filter("method = 'ocr'").select(F.col("file_id").alias("page_id"))
+    return drawings.batch_results(routed, item_ops.as_spans(items(spark, sf)), replacements(spark, sf).join(scanned, "page_id", "left_semi"), opened)
+
+
+@query("Q1_summary", _RUN.replace(_J2, _J2.replace(_ALL, _CLUSTERED)) + " SELECT count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'error') AS failed, CAST(coalesce(sum(total) FILTER (status = 'success'), 0) AS BIGINT) AS replacements FROM results", _RUN_ON)
+def q1_summary(spark, sf):
+    return batch(spark, sf)["summary"]
+
+
+@query("Q1_verification", _RUN.replace(_J2, _J2.replace(_ALL, _CLUSTERED)) + f""" SELECT r.file_id AS page_id, r.total AS expected, coalesce(found, 0) AS found, coalesce(found, 0) >= r.total AS match FROM results r LEFT JOIN
+   (SELECT page_id, CAST(sum({' + '.join(_CENTRE.format(r) for r in ('red', 'green', 'orange'))}) AS BIGINT) AS found FROM (SELECT page_id, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy FROM ocr_items WHERE regexp_matches('H' || text, 'H[A-Z][A-Z0-9][A-Z0-9-]{{2,}}')) JOIN sup USING (page_id) GROUP BY page_id) f
+   ON f.page_id = r.file_id WHERE status = 'success' AND method = 'ocr'""", _RUN_ON)
+def q1_verification(spark, sf):
+    return batch(spark, sf)["verification"]
+
+
+@query("Q1_detected")
+def q1_detected(spark, sf):
+    """A batch whose regions come from the detection of all regions instead of a table."""
+    routed, pages = files.routed(view(spark, sf, "drawing_files")), readable(spark, sf)
+    found = drawings.detected_regions(pages, items(spark, sf), headers(spark, sf), segs(spark, sf), strong_profile(spark, sf))
+    none = note_codes(spark, sf).limit(0)
+    return drawings.batch_run(routed, item_ops.as_spans(items(spark, sf)), pages, items(spark, sf), segs(spark, sf),
+                              drawings.as_regions(found, routed), none, items(spark, sf))["results"]
 
 
 @query("Q11", _STABLE + _STATE + """, q AS (SELECT DISTINCT CAST(substr(path, 9, 6) AS BIGINT) AS job_id, replace(path, 'inbox/', '') AS source_file FROM stable)

@@ -3,22 +3,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawmark.functions import boxes, names, text
 from drawmark.functions.boxes import Box
 from drawmark.functions.readings import trim_at_line, widened
-from drawmark.operators import cells, jobs, keywords, lines, overlap, regions
+from drawmark.operators import cells, jobs, keywords, lines, overlap, regions, reports, votes
 from drawmark.operators import items as item_ops
 from drawmark.operators.profiles import peaks as ink_peaks
+from drawmark.operators.regions import suppressed
 from drawmark.session import settled
-from drawmark.sources import logs
+from drawmark.sources import box_csv, logs
 from drawmark.streaming import watch
 
 CORNERS = ("x1", "y1", "x2", "y2")
 _TABLES_FROM = 9_000_000_000_000_000_000
 MIN_COLUMN_HEIGHT = 500
+UNREADABLE = "page could not be read"
 
 
 def red_grid(segments: DataFrame) -> DataFrame:
@@ -286,17 +288,62 @@ def vector_rewrites(files: DataFrame, spans: DataFrame, prefixes: Sequence[str]
     return item_ops.span_codes(spans.join(vector, "page_id", "left_semi"), prefixes).join(vector, "page_id")
 
 
-def batch_results(files: DataFrame, spans: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Result row of each supported file: method, number of rewrites and where the output goes.
+def batch_results(files: DataFrame, spans: DataFrame, replacements: DataFrame, pages: DataFrame) -> DataFrame:
+    """Result row of each supported file: status, error, method, number of rewrites, where the output goes.
 
-    ``files``: routed files; ``replacements``: rewrites of recognised pages."""
+    ``files``: routed files; ``replacements``: rewrites of recognised pages; ``pages``: the pages that could be read. A file
+    whose page could not is an error row, without method, total and output; it does not stop the others."""
     vector = vector_rewrites(files, spans).groupBy("page_id").agg(F.count("*").alias("n_vector"))
     read = replacements.groupBy("page_id").agg(F.count("*").alias("n_read"))
-    joined = files.withColumn("page_id", F.col("file_id")).join(vector, "page_id", "left").join(read, "page_id", "left")
+    known = pages.select("page_id", F.lit(True).alias("opened")).distinct()
+    joined = (files.withColumn("page_id", F.col("file_id")).join(known, "page_id", "left")
+              .join(vector, "page_id", "left").join(read, "page_id", "left"))
+    ok = F.coalesce("opened", F.lit(False))
     total = F.coalesce(F.when(F.col("method") == "vector", F.col("n_vector")).otherwise(F.col("n_read")), F.lit(0))
     folder = F.concat(F.lit("output/"), F.col("subdir"))
-    return joined.select("file_id", "file_name", F.lit("success").alias("status"), "method", total.cast("bigint").alias("total"),
-                         names.output_path(F.col("file_name"), folder, F.col("out_ext")).alias("output_path"))
+    return joined.select("file_id", "file_name", F.when(ok, "success").otherwise("error").alias("status"), F.when(~ok, UNREADABLE).alias("error"),
+                         F.when(ok, F.col("method")).alias("method"), F.when(ok, total.cast("bigint")).alias("total"),
+                         F.when(ok, names.output_path(F.col("file_name"), folder, F.col("out_ext"))).alias("output_path"))
+
+
+def as_regions(detected: DataFrame, files: DataFrame) -> DataFrame:
+    """Detected regions (corners, one row per page) as the vote and the cells take them: left, top, width, height and text."""
+    sides = []
+    for r in ("red", "green", "orange"):
+        x1, y1, x2, y2 = (F.col(f"{r}_{c}") for c in CORNERS)
+        sides += [x1.alias(f"{r}_x"), y1.alias(f"{r}_y"), (x2 - x1).alias(f"{r}_w"), (y2 - y1).alias(f"{r}_h")]
+    named = files.select(F.col("file_id").alias("page_id"), "file_name")
+    return detected.join(named, "page_id").select("page_id", "file_name", *sides, "green_text", "orange_text")
+
+
+def batch_run(files: DataFrame, spans: DataFrame, pages: DataFrame, items: DataFrame, segments: DataFrame, regions_found: DataFrame,
+              codes: DataFrame, read_back: DataFrame) -> dict[str, DataFrame]:
+    """A batch from routed files to its reports: results, replacements, verification, summary, box rows, report lines.
+
+    Only readable pages that go through recognition are rewritten by region; suppressed regions take no part. ``codes``:
+    note codes (page_id, seq, code, corners); ``read_back``: items recognised in the outputs."""
+    open_pages = settled(pages.select("page_id").distinct())
+    scanned = files.filter("method = 'ocr'").select(F.col("file_id").alias("page_id")).join(open_pages, "page_id", "left_semi")
+    mine = regions_found.join(scanned, "page_id", "left_semi")
+    rewrites = settled(votes.all_replacements(red_cells(items, segments), mine, codes.join(scanned, "page_id", "left_semi")))
+    results = settled(batch_results(files, spans, rewrites, open_pages))
+    expected = results.filter("status = 'success' AND method = 'ocr'").select(F.col("file_id").alias("page_id"), F.col("total").alias("expected"))
+    boxes_out = rewrites.select(F.col("file_name").alias("source_file"), F.col("old_text").alias("token"), F.col("x1").alias("x"), F.col("y1").alias("y"),
+                                (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    vector = vector_rewrites(files, spans).join(open_pages, "page_id", "left_semi")
+    pairs = rewrites.select("page_id", "rank", "seq", "old_text", "new_text").unionByName(
+        vector.select("page_id", F.lit(0).alias("rank"), F.col("seq").cast("bigint").alias("seq"), "old_text", "new_text"))
+    in_order = F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "seq", "old_text")).cast("bigint")
+    listed = pairs.select(F.col("page_id").alias("job_id"), in_order.alias("seq"), "old_text", "new_text")
+    return {"results": results, "replacements": rewrites, "summary": reports.batch_summary(results),
+            "verification": votes.verified(read_back, suppressed(mine), expected), "boxes": box_csv.box_records(boxes_out),
+            "report": reports.report_lines(results.withColumn("job_id", F.col("file_id")), listed)}
+
+
+def write_batch(run: dict[str, DataFrame], folder: str) -> None:
+    """Box file and text report of a batch."""
+    box_csv.write_boxes(run["boxes"], folder)
+    reports.write_report(run["report"], f"{folder}/report")
 
 
 def watched_log(observations: DataFrame, events: DataFrame, job_of: Column) -> DataFrame:
@@ -308,11 +355,13 @@ def watched_log(observations: DataFrame, events: DataFrame, job_of: Column) -> D
     return logs.log_rows(jobs.terminal_rows(state, files))
 
 
-def single_result(replacements: DataFrame) -> DataFrame:
-    """Result of one uploaded file: its pairs of old and new text in order, their number and the method.
+def single_result(file: DataFrame, replacements: DataFrame) -> DataFrame:
+    """Result of one uploaded file (a routed one): its pairs of old and new text in order, their number and the method.
 
     For a single file only; the pairs of many files stay rows."""
     pair = F.struct("rank", "seq", "old_text", "new_text")
-    one = replacements.groupBy("file_name").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.count("*").alias("total"))
-    return one.select("file_name", F.when(names.extension(F.col("file_name")) == ".pdf", "vector").otherwise("ocr").alias("method"), "total",
-                      F.transform("pairs", lambda p: F.struct(p["old_text"].alias("old_text"), p["new_text"].alias("new_text"))).alias("replacements"))
+    one = replacements.groupBy("page_id").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.count("*").alias("n"))
+    found = file.select(F.col("file_id").alias("page_id"), "file_name", "method").join(one, "page_id", "left")
+    pairs = F.coalesce("pairs", F.array().cast("array<struct<rank:int,seq:bigint,old_text:string,new_text:string>>"))
+    return found.select("file_name", "method", F.coalesce("n", F.lit(0)).cast("bigint").alias("total"),
+                        F.transform(pairs, lambda p: F.struct(p["old_text"].alias("old_text"), p["new_text"].alias("new_text"))).alias("replacements"))

@@ -174,8 +174,14 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     id_, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     use = docs.filter(id_.isNotNull() & lang.isNotNull() & ~held_out(id_) & has_letter(text))
     hashed = F.xxhash64(id_)
-    at = (F.pmod(hashed, F.greatest(F.length(text) - SLICE_CHARS, F.lit(0)) + 1) + 1).cast("int")
-    rows = use.select(lang.alias("lang"), hashed.alias("h"), text.substr(at, F.lit(SLICE_CHARS)).alias("slice"))
+    # a share of each language that holds about twice the sample, so that only so many rows are ranked, whatever the input
+    sizes = use.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()
+    share = F.lit(False)
+    for r in sizes:
+        part = min(1.0, (2 * sample + 200) / r["n"])
+        share = F.when(lang == F.lit(r["lang"]), F.pmod(hashed, F.lit(1 << 40)) < int(part * (1 << 40)) + 1).otherwise(share)
+    at = (F.pmod(F.xxhash64(F.lit(1), id_), F.greatest(F.length(text) - SLICE_CHARS, F.lit(0)) + 1) + 1).cast("int")
+    rows = use.filter(share).select(lang.alias("lang"), F.pmod(hashed, F.lit(1 << 40)).alias("h"), text.substr(at, F.lit(SLICE_CHARS)).alias("slice"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "slice"))
     taken = rows.withColumn("place", place).filter(F.col("place") <= sample).select("lang", "h", "slice").collect()  # of bounded size
     taken.sort(key=lambda r: (r["h"], r["lang"], r["slice"]))

@@ -210,3 +210,48 @@ def first_label_estimate(items: DataFrame) -> DataFrame:
     box = readings.estimated_number_box(F.col("text"), Box.corners())
     found = (items.filter(readings.label_length(F.col("text")) > 0).select("page_id", "seq", *box.columns()))
     return first_per(found, ["page_id"], [F.col("seq")], ["seq", "x1", "y1", "x2", "y2"])
+
+
+def ranked_numbers(items: DataFrame, outside: Column, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """First number of each page by the best search that finds one: page_id, strategy, number, corners.
+
+    1: independent text, 2: after a label, 3: any match, 4: estimated from a label (without a number); 1 and 3 only look
+    at items for which ``outside`` holds. All four are read off an item in one pass and one minimum a page decides."""
+    corners = ("x1", "y1", "x2", "y2")
+    box, pattern = Box.corners(), text.number_pattern(prefixes)
+    read = (_joined_reading(items.withColumn("out", outside), prefixes)
+            .withColumn("blank_free", text.first_number(F.col("joined"), prefixes))
+            .withColumn("relaxed", text.hit(F.col("joined"), RELAXED_NUMBER))
+            .withColumn("skip", readings.label_length(F.col("text")))
+            .withColumn("rest", F.when(F.col("skip") > 0, F.substring(F.upper("text"), F.col("skip") + 1, F.length("text"))))
+            .withColumn("after", text.no_spaces(F.col("rest")))
+            .withColumn("after_plain", text.first_number(F.col("after"), prefixes))
+            .withColumn("after_fixed", text.backfill_symbols(F.col("after")))
+            .withColumn("after_number", F.coalesce("after_plain", text.first_number(F.col("after_fixed"), prefixes))))
+    longer = F.when(F.length("blank_free") >= F.length("plain"), F.col("blank_free"))
+    alone = F.when(F.col("out") & ~readings.has_label(F.col("upper")), F.coalesce(longer, "plain", "blank_free", "repaired"))
+    found_at = text.position(F.when(F.col("after_plain").isNotNull(), F.col("after")).otherwise(F.col("after_fixed")), pattern)
+    read = read.withColumn("alone", alone).withColumn("found_at", F.when(F.col("after_number").isNotNull(), found_at))
+    counted = F.concat(F.lit("^(?: *[^ ]){"), F.col("found_at").cast("string"), F.lit("}"))
+    read = read.withColumn("offset", F.when(F.col("found_at").isNotNull(), (F.col("skip") + F.length(F.call_function("regexp_extract", F.col("rest"), counted, F.lit(0)))).cast("int")))
+    loose = F.when(F.col("out"), F.coalesce("plain", "relaxed", "repaired"))
+    by_relaxed = F.col("plain").isNull() & F.col("relaxed").isNotNull()
+    source = F.when(F.col("plain").isNotNull(), F.col("upper")).when(F.col("relaxed").isNotNull(), F.col("joined")).otherwise(F.col("fixed"))
+    read = (read.withColumn("loose", loose).withColumn("source", source)
+            .withColumn("start", F.when(by_relaxed, text.position(F.col("source"), RELAXED_NUMBER)).otherwise(text.position(F.col("source"), pattern))))
+    crop = readings.cropped_from(box, F.col("start"), F.length("source"))
+    use = (F.col("start") > 0) & (box.w > 0)
+    loose_box = [F.when(use, a).otherwise(b).cast("int") for a, b in zip(crop.columns(), box.columns())]
+
+    def candidate(strategy: int, number: Column, columns: list[Column], when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(strategy).alias("strategy"), F.col("seq").alias("seq"), number.alias("number"),
+                                     *[c.cast("int").alias(n) for c, n in zip(columns, corners)]))
+
+    none = F.lit(None).cast("string")
+    choices = F.coalesce(
+        candidate(1, F.col("alone"), box.columns(), F.col("alone").isNotNull()),
+        candidate(2, F.col("after_number"), readings.cropped_from(box, F.col("offset"), F.length("text")).columns(), F.col("after_number").isNotNull()),
+        candidate(3, F.col("loose"), loose_box, F.col("loose").isNotNull()),
+        candidate(4, none, readings.estimated_number_box(F.col("text"), box).columns(), F.col("skip") > 0))
+    best = read.select("page_id", choices.alias("c")).filter("c IS NOT NULL").groupBy("page_id").agg(F.min("c").alias("c"))
+    return best.select("page_id", "c.strategy", "c.number", *[f"c.{n}" for n in corners])

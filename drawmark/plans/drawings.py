@@ -188,13 +188,8 @@ def top_left_numbers(items: DataFrame, segments: DataFrame, areas: DataFrame, pr
     """Top-left number: independent text, else after a label, else any match, else estimated from the label.
 
     ``areas``: page_id, red_x.. of the number column, whose items do not count in the first and third search."""
-    outside = regions.outside(items, areas, ("red",))
-    columns = ["number", *CORNERS]
-    ranked = (item_ops.first_independent(outside, prefixes).select("page_id", F.lit(1).alias("strategy"), *columns)
-              .unionByName(item_ops.first_labelled(items, prefixes).select("page_id", F.lit(2).alias("strategy"), *columns))
-              .unionByName(item_ops.first_fallback(outside, prefixes).select("page_id", F.lit(3).alias("strategy"), *columns))
-              .unionByName(item_ops.first_label_estimate(items).select("page_id", F.lit(4).alias("strategy"), F.lit(None).cast("string").alias("number"), *CORNERS)))
-    first = item_ops.first_per(ranked, ["page_id"], [F.col("strategy")], ["strategy", *columns])
+    inside = F.coalesce(regions.region_box("red").has(Box.corners()), F.lit(False))
+    first = item_ops.ranked_numbers(items.join(areas, "page_id", "left"), ~inside, prefixes)
     celled = cells.enclosing_cells(first, lines.page_lines(segments))
     merged = boxes.merge_with_cell(Box.corners(), Box.corners("cell_"), clip_right=False)
     return celled.select("page_id", "strategy", "number", *merged.columns())

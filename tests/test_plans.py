@@ -69,3 +69,28 @@ def test_a_page_of_very_many_extents(spark):
     members = {(a, b, p) for a, b, p in extents if abs(a - lo) <= 2 and abs(b - hi) <= 2}
     assert row[0]["n"] == len(members) and row[0]["deepest"] == max(p for *_, p in members)
     assert row[0]["med_len"] == sorted(b - a for a, b, _ in members)[len(members) // 2]
+
+
+def test_one_pass_over_the_strategies(spark):
+    """The same as the four searches one after the other."""
+    import random
+    from drawmark.operators import items as item_ops
+    from drawmark.operators.regions import outside
+    random.seed(5)
+    texts = ["YA123C456", "DWG NO YA111C222", "DWG NO. X1", "DWG", "Y-12A", "Y/12C3 45", "TA123456", "YA12 3C45", "nothing", "", "OWG NO:YB 999C1", "图号YA1", "B99-12", "Y12-"]
+    rows = [(p, s, random.choice(texts), *(c := (random.randint(0, 50), random.randint(0, 50))), c[0] + random.randint(0, 90), c[1] + random.randint(1, 300))
+            for p in range(60) for s in range(random.randint(1, 5))]
+    items = spark.createDataFrame(rows, "page_id bigint, seq bigint, text string, x1 int, y1 int, x2 int, y2 int")
+    areas = spark.createDataFrame([(p, 0, 0, 60, 200) for p in range(0, 60, 2)], "page_id bigint, red_x int, red_y int, red_w int, red_h int")
+    free = outside(items, areas, ("red",))
+    columns = ["number", "x1", "y1", "x2", "y2"]
+    ranked = (item_ops.first_independent(free).select("page_id", F.lit(1).alias("strategy"), *columns)
+              .unionByName(item_ops.first_labelled(items).select("page_id", F.lit(2).alias("strategy"), *columns))
+              .unionByName(item_ops.first_fallback(free).select("page_id", F.lit(3).alias("strategy"), *columns))
+              .unionByName(item_ops.first_label_estimate(items).select("page_id", F.lit(4).alias("strategy"), F.lit(None).cast("string").alias("number"), *columns[1:])))
+    want = {r["page_id"]: tuple(r[c] for c in ("strategy", *columns)) for r in item_ops.first_per(ranked, ["page_id"], [F.col("strategy")], ["strategy", *columns]).collect()}
+    from drawmark.functions.boxes import Box
+    from drawmark.operators.regions import region_box
+    inside = F.coalesce(region_box("red").has(Box.corners()), F.lit(False))
+    got = {r["page_id"]: tuple(r[c] for c in ("strategy", *columns)) for r in item_ops.ranked_numbers(items.join(areas, "page_id", "left"), ~inside).collect()}
+    assert got == want and {v[0] for v in want.values()} >= {1, 2, 3, 4}

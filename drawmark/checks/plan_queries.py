@@ -14,6 +14,7 @@ from drawmark.operators import cells, keywords, overlap, regions, tables
 from drawmark.operators import items as item_ops
 from drawmark.operators.profiles import peaks
 from drawmark.plans import drawings
+from drawmark.session import settled
 from drawmark.settings import MATERIAL_KEYWORDS, MATERIAL_THRESHOLD
 from drawmark.sources import files
 from drawmark.sources.views import line_profile, view
@@ -167,9 +168,18 @@ def q8(spark, sf):
     return left.groupBy("page_id").agg(F.count("*").alias("n_outside"))
 
 
+def all_regions(spark, sf):
+    return drawings.detected_regions(view(spark, sf, "page_sizes"), items(spark, sf), headers(spark, sf), segs(spark, sf), strong_profile(spark, sf))
+
+
 @query("Q9")
 def q9(spark, sf):
-    return drawings.detected_regions(view(spark, sf, "page_sizes"), items(spark, sf), headers(spark, sf), segs(spark, sf), strong_profile(spark, sf))
+    """All regions of each page, and how many note codes it has."""
+    found = settled(all_regions(spark, sf))
+    named = drawings.as_regions(found, view(spark, sf, "drawing_files"))
+    codes = drawings.detected_note_codes(named, view(spark, sf, "page_sizes"), items(spark, sf), view(spark, sf, "components"), table_boxes(spark, sf), segs(spark, sf))
+    counts = codes.groupBy("page_id").agg(F.count("*").alias("n_note_codes"))
+    return found.join(counts, "page_id", "left").withColumn("n_note_codes", F.coalesce("n_note_codes", F.lit(0).cast("bigint")))
 
 
 _VECTOR_ROWS = f"(SELECT f.file_id, f.file_name, seq, {_SPAN_CODE} AS old_text FROM ocr_items JOIN {_ROUTED} f ON f.file_id = page_id AND f.method = 'vector' WHERE seq % 3 <> 0 AND length({_SPAN_CODE}) >= 7)"
@@ -228,10 +238,11 @@ def q1_verification(spark, sf):
 def q1_detected(spark, sf):
     """A batch whose regions come from the detection of all regions instead of a table."""
     routed, pages = files.routed(view(spark, sf, "drawing_files")), readable(spark, sf)
-    found = drawings.detected_regions(pages, items(spark, sf), headers(spark, sf), segs(spark, sf), strong_profile(spark, sf))
-    none = note_codes(spark, sf).limit(0)
-    return drawings.batch_run(routed, item_ops.as_spans(items(spark, sf)), pages, items(spark, sf), segs(spark, sf),
-                              drawings.as_regions(found, routed), none, items(spark, sf))["results"]
+    found = settled(drawings.as_regions(drawings.detected_regions(pages, items(spark, sf), headers(spark, sf), segs(spark, sf), strong_profile(spark, sf)), routed))
+    codes = drawings.detected_note_codes(found, pages, items(spark, sf), view(spark, sf, "components"), table_boxes(spark, sf), segs(spark, sf))
+    place = F.col("y1").cast("bigint") * 100_000 + F.col("x1")
+    codes = codes.select("page_id", place.alias("seq"), F.col("token").alias("code"), *CORNERS)
+    return drawings.batch_run(routed, item_ops.as_spans(items(spark, sf)), pages, items(spark, sf), segs(spark, sf), found, codes, items(spark, sf))["results"]
 
 
 @query("Q11", _STABLE + _STATE + """, q AS (SELECT DISTINCT CAST(substr(path, 9, 6) AS BIGINT) AS job_id, replace(path, 'inbox/', '') AS source_file FROM stable)

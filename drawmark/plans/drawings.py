@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from drawmark.functions import boxes, names, text
 from drawmark.functions.boxes import Box
 from drawmark.functions.readings import trim_at_line, widened
-from drawmark.operators import cells, jobs, keywords, lines, overlap, regions, reports, votes
+from drawmark.operators import cells, jobs, keywords, lines, overlap, regions, reports, tables, votes
 from drawmark.operators import items as item_ops
 from drawmark.operators.profiles import peaks as ink_peaks
 from drawmark.operators.regions import suppressed
@@ -130,8 +130,8 @@ def accepted_stage(staged: DataFrame) -> DataFrame:
 
 def search_bottom_right(items: DataFrame, segments: DataFrame, profile: DataFrame, pages: DataFrame,
                         prefixes: Sequence[str] | None = None) -> DataFrame:
-    """Bottom-right number in stages: whole area (trimmed at a line, as read, or read again with more
-    room), then the crops by the third and by the second long line."""
+    """Bottom-right number in stages: whole area (0: trimmed at a line, 1: as read, 2: read again with more room), then the
+    crops by the third (3, again: 4) and by the second long line (5, again: 6)."""
     hits = item_ops.number_hits(items, prefixes).select("page_id", "seq", "number", "area", "tight", *CORNERS)
     whole = item_ops.first_per(hits, ["page_id"], [-F.col("area"), F.col("seq")], ["seq", "number", "tight"])
     boxed = settled(whole.select("page_id", "seq", "number", "tight.*"))
@@ -156,9 +156,16 @@ def search_bottom_right(items: DataFrame, segments: DataFrame, profile: DataFram
         inside = F.lit(True) if area is None else F.coalesce(Box.struct(F.col(area)).has_point(box.cx, box.cy), F.lit(False))
         return F.when(inside, F.lit(n))
 
-    stages = F.array_compact(F.array(stage(1, None), stage(2, "wide"), stage(3, "crop3"), stage(4, "crop2")))
+    stages = F.array_compact(F.array(stage(1, None), stage(2, "wide"), stage(3, "crop3"), stage(5, "crop2")))
     staged = hits.join(areas, "page_id").select("page_id", "seq", "number", "area", "tight", F.explode(stages).alias("stage"))
-    found = accepted_stage(staged).unionByName(trimmed)
+    # a crop's best number that is long enough but not acceptable is read again with more room, too: stages 4 and 6
+    best = item_ops.first_per(staged.filter("stage IN (3, 5)"), ["page_id", "stage"], [-F.col("area"), F.col("seq")], ["number", "tight"])
+    best = best.select("page_id", "stage", text.repair_digits(F.col("number")).alias("number"), "tight.*").join(pages, "page_id")
+    short = best.filter(~text.accepted(F.col("number")) & (F.length(text.strip(F.col("number"))) >= 7))
+    short = short.select("page_id", (F.col("stage") + 1).alias("stage"), room.alias("room"), wide.pack().alias("wide")).filter("room > 0")
+    reread = (hits.join(short, "page_id").filter(Box.struct(F.col("wide")).has_point(box.cx, box.cy))
+              .select("page_id", "seq", "number", "area", "tight", "stage"))
+    found = accepted_stage(staged.unionByName(reread)).unionByName(trimmed)
     return (item_ops.first_per(found, ["page_id"], [F.col("stage")], ["stage", "number", "tight"])
             .select("page_id", "stage", "number", "tight.*"))
 
@@ -241,35 +248,72 @@ def note_codes(items: DataFrame, components: DataFrame, pages: DataFrame, table_
     return hits.join(kept, ["page_id", "crop"], "left_semi").select("page_id", "token", *CORNERS)
 
 
+def cut_segments(segments: DataFrame, areas: DataFrame) -> DataFrame:
+    """Lines within one area of each page (page_id, area), in the area's own pixels."""
+    a, is_h = Box.struct(F.col("area")), F.col("axis") == "h"
+    pos = F.col("pos") - F.when(is_h, a.y1).otherwise(a.x1)
+    depth, low = F.when(is_h, a.h).otherwise(a.w), F.when(is_h, a.x1).otherwise(a.y1)
+    side = F.when(is_h, a.w).otherwise(a.h)
+    rest = [c for c in segments.columns if c not in ("page_id", "axis", "pos", "start_px", "end_px")]
+    cut = segments.join(areas, "page_id").select(
+        "page_id", "axis", pos.alias("pos"), F.greatest(F.lit(0), F.col("start_px") - low).alias("start_px"),
+        F.least(side, F.col("end_px") - low).alias("end_px"), depth.alias("_depth"), *rest)
+    return cut.filter((F.col("pos") >= 0) & (F.col("pos") < F.col("_depth")) & (F.col("end_px") > F.col("start_px"))).drop("_depth")
+
+
+def cut_profile(profile: DataFrame, areas: DataFrame) -> DataFrame:
+    """Ink per column within one area of each page."""
+    a = Box.struct(F.col("area"))
+    return (profile.join(areas, "page_id").filter((F.col("pos") >= a.x1) & (F.col("pos") < a.x2))
+            .select("page_id", (F.col("pos") - a.x1).alias("pos"), "value"))
+
+
+def cut_items(items: DataFrame, areas: DataFrame) -> DataFrame:
+    """Items whose centre lies in one area of each page, in the area's own pixels."""
+    a, box = Box.struct(F.col("area")), Box.corners()
+    moved = {c: (F.col(c) - (a.x1 if c in ("x1", "x2") else a.y1)).cast("int") for c in CORNERS}
+    return items.join(areas, "page_id").filter(a.has_point(box.cx, box.cy)).withColumns(moved).select(*items.columns)
+
+
+def area_sizes(areas: DataFrame) -> DataFrame:
+    a = Box.struct(F.col("area"))
+    return areas.select("page_id", a.w.cast("int").alias("img_w"), a.h.cast("int").alias("img_h"))
+
+
+def moved_back(found: DataFrame, areas: DataFrame, name: str) -> DataFrame:
+    """Corners of ``found`` in the pixels of the page, as ``{name}_x1`` and so on."""
+    a = Box.struct(F.col("area"))
+    rest = [c for c in found.columns if c not in CORNERS and c != "page_id"]
+    return found.join(areas, "page_id").select("page_id", *rest, *[
+        (F.col(c) + (a.x1 if c in ("x1", "x2") else a.y1)).cast("int").alias(f"{name}_{c}") for c in CORNERS])
+
+
 def detected_regions(pages: DataFrame, items: DataFrame, headers: DataFrame, segments: DataFrame, profile: DataFrame,
                      prefixes: Sequence[str] | None = None) -> DataFrame:
     """All regions of each page in one row: number column, bottom-right number (from the line grid where none
-    was read) and top-left number."""
+    was read) and top-left number. Each search sees the lines, the ink and the size of its own area only."""
     upright = regions.landscape(pages)
     sized = upright.select("page_id", "img_w", "img_h")
     frame = lines.frame_boxes(segments, sized).select("page_id", *[F.col(c).alias(f"f{c}") for c in CORNERS])
     searched = sized.join(frame, "page_id")
     no_red = Box(*[F.lit(None).cast("int")] * 4)
     first = regions.search_areas(F.col("img_w"), F.col("img_h"), Box.corners("f"), no_red)
-    areas = searched.select("page_id", first["red"].pack().alias("red_area"), first["green"].pack().alias("green_area"))
-    box = Box.corners()
-
-    def within(df: DataFrame, area: str) -> DataFrame:
-        return df.join(areas.select("page_id", area), "page_id").filter(Box.struct(F.col(area)).has_point(box.cx, box.cy)).select(*df.columns)
-
-    red = locate_columns(within(headers, "red_area"), segments, profile, sized).select("page_id", *[F.col(c).alias(f"red_{c}") for c in CORNERS])
-    green = bottom_right_numbers(within(items, "green_area"), segments, profile, sized, prefixes).select(
-        "page_id", F.col("number").alias("green_text"), *[F.col(c).alias(f"green_{c}") for c in CORNERS])
-    grid = sized.join(lines.page_lines(segments), "page_id", "left").withColumn("hs", F.coalesce("hs", lines.ints())).withColumn("vs", F.coalesce("vs", lines.ints()))
-    spare = grid.select("page_id", *lines.fallback_cell(F.col("hs"), F.col("vs"), F.col("img_w"), F.col("img_h")).columns("spare_"))
+    both = settled(searched.select("page_id", first["red"].pack().alias("red_area"), first["green"].pack().alias("green_area")))
+    red_area, green_area = (both.select("page_id", F.col(f"{n}_area").alias("area")) for n in ("red", "green"))
+    red = moved_back(locate_columns(cut_items(headers, red_area), cut_segments(segments, red_area), cut_profile(profile, red_area), area_sizes(red_area)), red_area, "red")
+    green_lines = cut_segments(segments, green_area)
+    green = bottom_right_numbers(cut_items(items, green_area), green_lines, cut_profile(profile, green_area), area_sizes(green_area), prefixes)
+    green = moved_back(green.select("page_id", F.col("number").alias("green_text"), *CORNERS), green_area, "green")
+    grid = area_sizes(green_area).join(lines.page_lines(green_lines), "page_id", "left").withColumn("hs", F.coalesce("hs", lines.ints())).withColumn("vs", F.coalesce("vs", lines.ints()))
+    spare = grid.select("page_id", *lines.fallback_cell(F.col("hs"), F.col("vs"), F.col("img_w"), F.col("img_h")).columns(""))
+    spare = moved_back(spare, green_area, "spare")
     red = settled(red)
     known = searched.join(red, "page_id", "left")
     orange_area = regions.search_areas(F.col("img_w"), F.col("img_h"), Box.corners("f"), Box.corners("red_"))["orange"]
-    top_left = known.select("page_id", orange_area.pack().alias("orange_area"))
-    inside = items.join(top_left, "page_id").filter(Box.struct(F.col("orange_area")).has_point(box.cx, box.cy)).select(*items.columns)
+    top_left = settled(known.select("page_id", orange_area.pack().alias("area")))
     no_column = sized.select("page_id", *[F.lit(None).cast("int").alias(f"red_{c}") for c in "xywh"])
-    orange = top_left_numbers(inside, segments, no_column, prefixes).select(
-        "page_id", F.col("number").alias("orange_text"), *[F.col(c).alias(f"orange_{c}") for c in CORNERS])
+    orange = top_left_numbers(cut_items(items, top_left), cut_segments(segments, top_left), no_column, prefixes)
+    orange = moved_back(orange.select("page_id", F.col("number").alias("orange_text"), *CORNERS), top_left, "orange")
     out = upright.join(red, "page_id", "left").join(green, "page_id", "left").join(spare, "page_id", "left").join(orange, "page_id", "left")
     return out.select("page_id", "rotated", F.when(F.col("red_x1").isNull(), "left_half").otherwise("keyword").alias("detected_by"),
                       *[f"red_{c}" for c in CORNERS], "green_text",
@@ -277,6 +321,46 @@ def detected_regions(pages: DataFrame, items: DataFrame, headers: DataFrame, seg
                       "orange_text", *[f"orange_{c}" for c in CORNERS])
 
 
+def detected_note_codes(found: DataFrame, pages: DataFrame, items: DataFrame, components: DataFrame, table_boxes: DataFrame,
+                        segments: DataFrame) -> DataFrame:
+    """Codes of the note area of each page (page_id, token, corners), after its regions are known.
+
+    ``found``: regions as left, top, width, height (``as_regions``). The area lies above the bottom-right and right of the
+    top-left number. Border lines do not count; what lies below a line across the page goes, unless the number column
+    starts there; where there is a number column, the zone of the table at the top left is left out."""
+    area = regions.note_areas(found, pages)
+    inner = settled(area.select("page_id", F.col("red_y1").alias("red_top"), Box(F.col("fn_left"), F.col("fn_top"), F.col("fn_right"), F.col("fn_bottom")).pack().alias("area")))
+    areas = inner.select("page_id", "area")
+    sizes = area_sizes(areas)
+
+    def parts(df: DataFrame, limit: DataFrame) -> DataFrame:
+        """Components inside the area."""
+        a = Box.struct(F.col("within"))
+        centre = Box.sized(*[F.col(c) for c in "xywh"])
+        return (df.join(limit.withColumnRenamed("area", "within"), "page_id").filter(a.has_point(centre.cx, centre.cy))
+                .withColumns({"x": (F.col("x") - a.x1).cast("int"), "y": (F.col("y") - a.y1).cast("int")}).select(*df.columns))
+
+    lines_in = cut_segments(segments.select("page_id", "axis", "pos", "start_px", "end_px"), areas)
+    border = regions.border_segments(lines_in, sizes).select(*lines_in.columns).distinct()
+    lines_in = lines_in.join(border, lines_in.columns, "left_anti")
+    closing = tables.bottom_span(parts(components, areas), sizes).filter("y_cut > 0")
+    a = Box.struct(F.col("area"))
+    kept_to = F.when(F.col("y_cut").isNotNull() & ~F.coalesce(F.col("red_top") >= F.col("y_cut"), F.lit(False)), a.y1 + F.col("y_cut")).otherwise(a.y2)
+    cut = settled(inner.join(closing, "page_id", "left").select("page_id", "red_top", Box(a.x1, a.y1, a.x2, kept_to).pack().alias("area")))
+    areas = cut.select("page_id", "area")
+    sizes = area_sizes(areas)
+    zones = tables.table_zones(lines_in.join(sizes, "page_id").filter((F.col("axis") == "v") | (F.col("pos") < F.col("img_h"))).select(*lines_in.columns), sizes)
+    zones = zones.join(cut.filter("red_top IS NOT NULL").select("page_id"), "page_id", "left_semi").select("page_id", "zone_right", "zone_bottom")
+    boxes_in = cut_items(table_boxes.select("page_id", *CORNERS), areas)
+    inside = parts(components, areas)
+    padded = zones.select("page_id", (F.col("zone_right") + 3).alias("zone_right"), (F.col("zone_bottom") + 3).alias("zone_bottom"))
+    centre = Box.sized(*[F.col(c) for c in "xywh"])
+    erased = (centre.cx <= F.col("zone_right")) & (centre.cy <= F.col("zone_bottom"))
+    inside = inside.join(padded, "page_id", "left").filter(~F.coalesce(erased, F.lit(False))).select(*components.columns)
+    codes = note_codes(cut_items(items, areas), inside, sizes, boxes_in, zones)
+    return moved_back(codes, areas, "at").select("page_id", "token", *[F.col(f"at_{c}").alias(c) for c in CORNERS])
+
+
 def vector_rewrites(files: DataFrame, spans: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
     """Rewrites in drawings that carry their text; everything else is left to recognition."""
     vector = files.filter("method = 'vector'").select(F.col("file_id").alias("page_id"), "file_name")

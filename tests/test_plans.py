@@ -94,3 +94,35 @@ def test_one_pass_over_the_strategies(spark):
     inside = F.coalesce(region_box("red").has(Box.corners()), F.lit(False))
     got = {r["page_id"]: tuple(r[c] for c in ("strategy", *columns)) for r in item_ops.ranked_numbers(items.join(areas, "page_id", "left"), ~inside).collect()}
     assert got == want and {v[0] for v in want.values()} >= {1, 2, 3, 4}
+
+
+def test_accepted_tables(spark):
+    """Three bands each way, four crossings and sides of 30 px, against plain loops."""
+    import random
+    from drawmark.operators import tables
+    random.seed(2)
+    boxes, spans = [], []
+    for p in range(80):
+        x, y = random.randint(0, 40), random.randint(0, 40)
+        boxes.append((p, x, y, x + random.choice([20, 29, 30, 100, 200]), y + random.choice([20, 30, 120, 200])))
+        hs = sorted((random.randint(0, 240), (a := random.randint(0, 60)), a + random.randint(5, 250)) for _ in range(random.randint(0, 20)))
+        vs = sorted((random.randint(0, 240), (a := random.randint(0, 60)), a + random.randint(5, 250)) for _ in range(random.randint(0, 20)))
+        spans.append((p, [(*s, s[2] - s[1]) for s in hs], [(*s, s[2] - s[1]) for s in vs]))
+    span = "array<struct<pos:int,lo:int,hi:int,len:int>>"
+    want = set()
+    for (p, x1, y1, x2, y2), (_, hs, vs) in zip(boxes, spans):
+        h = [(q, max(lo, x1), min(hi, x2)) for q, lo, hi, _ in hs if y1 <= q < y2 and min(hi, x2) > max(lo, x1)]
+        v = [(q, max(lo, y1), min(hi, y2)) for q, lo, hi, _ in vs if x1 <= q < x2 and min(hi, y2) > max(lo, y1)]
+
+        def bands(lines, side):
+            at, n = None, 0
+            for q, lo, hi in lines:
+                if hi - lo > side * 0.5:
+                    n, at = n + (at is None or q - at > 3), q
+            return n
+        crossings = sum(lo <= vq <= hi and vlo <= q <= vhi for q, lo, hi in h for vq, vlo, vhi in v)
+        if min(x2 - x1, y2 - y1) >= 30 and bands(h, x2 - x1) >= 3 and bands(v, y2 - y1) >= 3 and crossings >= 4:
+            want.add(p)
+    got = tables.accepted_tables(spark.createDataFrame(boxes, "page_id bigint, x1 int, y1 int, x2 int, y2 int"),
+                                 spark.createDataFrame(spans, f"page_id bigint, h_spans {span}, v_spans {span}"))
+    assert {r["page_id"] for r in got.collect()} == want and 3 < len(want) < 60

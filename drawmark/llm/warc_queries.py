@@ -14,7 +14,8 @@ from drawmark.llm.warc_revisit import NOT_MERGED, resolve_revisits
 _START = 1704067200  # of the captures, in seconds since 1970
 # capture number, kind, seconds after the page's first response
 _CAPTURES = ((0, "response", 0), (1, "response", 4 * 86_400), (2, "revisit", -3600), (3, "revisit", 7200), (4, "revisit", 5 * 86_400 + 60), (5, "robots", 0))
-_TAG = "'\"' || substr(md5(coalesce(html, '')), 1, 8) || '-{0}\"'"
+_TAG = "'\"' || tag || '-{0}\"'"
+_PAGES = "SELECT page_id, url, substr(md5(coalesce(html, '')), 1, 8) AS tag FROM {pages}"
 # One text for Spark and SQL; {k} is the capture's number.
 _HEADS = {
     0: f"'HTTP/1.1 200 OK{{n}}ETag: ' || {_TAG.format('a')} || '{{n}}Last-Modified: day 1{{n}}Content-Type: text/html{{n}}Cache-Control: max-age=60{{n}}Content-Length: 10'",
@@ -39,14 +40,14 @@ def _capture(k: int, kind: str, after: int, newline: str) -> dict[str, str]:
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.struct(*[F.expr(e).alias(n) for n, e in _capture(*c, newline="\\r\\n").items()]) for c in _CAPTURES])
-    pages = table(spark, sf_dir, "pages").select(F.explode(rows).alias("c")).select("c.*")
-    return pages.select("record_id", "kind", "url", F.timestamp_seconds("seconds").alias("captured_at"), "head")
+    pages = spark.sql(_PAGES, pages=table(spark, sf_dir, "pages"))
+    return pages.select(F.explode(rows).alias("c")).select("c.*").select("record_id", "kind", "url", F.timestamp_seconds("seconds").alias("captured_at"), "head")
 
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_SELECTS = " UNION ALL ".join("SELECT " + ", ".join(f"{e} AS {n}" for n, e in _capture(*c, newline="' || chr(13) || chr(10) || '").items()) + " FROM pages" for c in _CAPTURES)
+_SELECTS = " UNION ALL ".join("SELECT " + ", ".join(f"{e} AS {n}" for n, e in _capture(*c, newline="' || chr(13) || chr(10) || '").items()) + " FROM tagged" for c in _CAPTURES)
 _SQL = f"""
-WITH captures AS ({_SELECTS}),
+WITH tagged AS ({_PAGES.format(pages="pages")}), captures AS ({_SELECTS}),
 cut AS (SELECT *, regexp_replace(url, '(?s)#.*$', '') AS bare FROM captures),
 parts AS (SELECT *, {_LOW.format("regexp_extract(bare, '^([^:/?#]*)://', 1)")} AS scheme, {_LOW.format("regexp_extract(bare, '^[^:/?#]*://([^/?]*)', 1)")} AS host,
                  regexp_extract(bare, '^[^:/?#]*://[^/?]*([^?]*)', 1) AS path, regexp_extract(bare, '^[^?]*[?](.*)$', 1) AS args FROM cut),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawmark.llm.common import ascii_lower
+from drawmark.llm.common import ascii_lower, stored
 
 # Fields that a 304 must not change in a stored response, and fields of one connection.
 NOT_MERGED = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding", "connection", "keep-alive",
@@ -25,14 +25,18 @@ _FIELDS = "array<struct<name:string,value:string>>"
 def canonical_url(url: Column) -> Column:
     """Scheme and host lower-cased (A-Z), default port and fragment removed, an empty path as ``/``, query arguments
     sorted, an empty query dropped. Without ``://`` only the fragment goes; null stays null."""
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    scheme = ascii_lower(F.regexp_extract(bare, r"(?s)^([^:/?#]*)://", 1))
-    host = ascii_lower(F.regexp_extract(bare, r"(?s)^[^:/?#]*://([^/?]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_extract(bare, r"(?s)^[^:/?#]*://[^/?]*([^?]*)", 1)
-    arguments = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
-    query = F.when(arguments == "", "").otherwise(F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(arguments, "&")), "&")))
-    return F.when(bare.rlike(r"(?s)^[^:/?#]*://"), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query)).otherwise(bare)
+    bare = F.substring_index(url, "#", 1)
+    lead = F.substring_index(bare, ":", 1)
+    is_web = (F.instr(bare, ":") > 0) & (F.instr(bare, "://") == F.instr(bare, ":")) & (F.instr(lead, "/") == 0) & (F.instr(lead, "?") == 0)
+    scheme, rest = ascii_lower(lead), F.substring(bare, F.instr(bare, "://") + 3, F.length(bare))
+    before = F.substring_index(rest, "?", 1)
+    host = ascii_lower(F.substring_index(before, "/", 1))
+    port = F.when((scheme == "http") & host.endswith(":80"), 3).when((scheme == "https") & host.endswith(":443"), 4).otherwise(0)
+    path = F.substring(before, F.length(F.substring_index(before, "/", 1)) + 1, F.length(before))
+    arguments = F.substring(rest, F.length(before) + 2, F.length(rest))
+    query = F.when(arguments == "", "").when(F.instr(arguments, "&") == 0, F.concat(F.lit("?"), arguments)).otherwise(
+        F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(arguments, "&")), "&")))
+    return F.when(is_web, F.concat(scheme, F.lit("://"), F.substring(host, F.lit(1), F.length(host) - port), F.when(path == "", "/").otherwise(path), query)).otherwise(bare)
 
 
 def status_of(head: Column) -> Column:
@@ -43,8 +47,10 @@ def status_of(head: Column) -> Column:
 def fields_of(head: Column) -> Column:
     """Header fields (name, value) of an HTTP head in order; lines without a name are left out, null has none."""
     lines = F.split(F.coalesce(head, F.lit("")), "\r?\n")
-    named = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike("^[^:\\s]+[ \t]*:"))
-    return F.transform(named, lambda x: F.struct(F.regexp_extract(x, "^([^:\\s]+)", 1).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+    cut = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.struct(
+        F.when(F.instr(x, ":") > 0, F.rtrim(F.substring_index(x, ":", 1), F.lit(" \t"))).otherwise("").alias("name"),
+        F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    return F.filter(cut, lambda f: (f["name"] != "") & (F.translate(f["name"], " \t\u000b\f", "") == f["name"]))
 
 
 def field_value(fields: Column, name: str) -> Column:
@@ -68,10 +74,12 @@ def _opaque(etag: Column) -> Column:
 
 def latest_earlier(responses: DataFrame, asked: DataFrame) -> DataFrame:
     """For each distinct (url, at) of ``asked``: ``response``, that of the latest row of ``responses`` (url, at, response)
-    with the same url and an earlier at; null if there is none. Of several at one time the largest response counts."""
+    with the same url and an earlier at; null if there is none. Of several at one time the largest response counts. Times
+    of responses come along."""
     day = F.floor(F.unix_micros("at") / 86_400_000_000).alias("day")
     points = (responses.select("url", "at", "response").unionByName(asked.select("url", "at"), allowMissingColumns=True)
               .filter("url IS NOT NULL AND at IS NOT NULL").groupBy("url", "at").agg(F.max("response").alias("response")).select("url", "at", "response", day))
+    points = stored(points, "points")  # narrow, and read three times
     before = Window.partitionBy("url", "day").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     within = points.withColumn("earlier", F.last("response", ignorenulls=True).over(before))
     days = points.filter("response IS NOT NULL").groupBy("url", "day").agg(F.max_by("response", "at").alias("response"))
@@ -91,20 +99,23 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     entity tags (weak comparison), or failing those the Last-Modified values, of both are equal; ``validator_mismatch``
     if they differ; ``unverified`` if the two share no validator; ``no_earlier_response``, also for a null URL or time.
     Repeated revisits are resolved each; repeated responses count once. No rows give none."""
-    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), F.col("captured_at").alias("at"),
-                          status_of(F.col("head")).alias("status"), fields_of(F.col("head")).alias("fields"))
-    responses = rows.filter("kind = 'response' AND status = 200").select("url", "at", F.struct("record_id", "fields").alias("response"))
-    revisits = rows.filter("kind = 'revisit' AND coalesce(status, 304) = 304")
-    found = latest_earlier(responses, revisits.select("url", "at").distinct())
-    met = revisits.join(found, ["url", "at"], "left")
-    old, new = F.col("response.fields"), F.col("fields")
+    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), F.col("captured_at").alias("at"), "head")
+    status = status_of(F.col("head"))
+    full = rows.filter((F.col("kind") == "response") & (status == 200))
+    revisits = rows.filter((F.col("kind") == "revisit") & (F.coalesce(status, F.lit(304)) == 304))
+    # ids alone go through the search; heads meet once, by id, and are parsed after that
+    found = latest_earlier(full.select("url", "at", F.col("record_id").alias("response")), revisits.select("url", "at"))
+    # stored, so that a response that very many revisits refer to is split in the join
+    heads = stored(full.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("head").alias("old_head")), "heads")
+    met = (revisits.select("record_id", "url", "at", "head").join(found.withColumnRenamed("response", "refers_to"), ["url", "at"], "left")
+           .join(heads, "refers_to", "left").withColumn("old", fields_of(F.col("old_head"))).withColumn("new", fields_of(F.col("head"))))
+    old, new = F.col("old"), F.col("new")
     tags = [_opaque(field_value(f, "etag")) for f in (old, new)]
     dates = [field_value(f, "last-modified") for f in (old, new)]
-    outcome = (F.when(F.col("response").isNull(), NONE_EARLIER)
+    outcome = (F.when(F.col("refers_to").isNull(), NONE_EARLIER)
                .when(tags[0].isNotNull() & tags[1].isNotNull(), F.when(tags[0] == tags[1], RESOLVED).otherwise(MISMATCH))
                .when(dates[0].isNotNull() & dates[1].isNotNull(), F.when(dates[0] == dates[1], RESOLVED).otherwise(MISMATCH))
                .otherwise(UNVERIFIED))
     return (met.withColumn("outcome", outcome)
-            .select("record_id", F.col("url").alias("canonical_url"), F.col("at").alias("captured_at"), "outcome",
-                    F.col("response.record_id").alias("refers_to"),
+            .select("record_id", F.col("url").alias("canonical_url"), F.col("at").alias("captured_at"), "outcome", "refers_to",
                     F.when(F.col("outcome") == RESOLVED, merged_fields(old, new)).otherwise(F.lit(None).cast(_FIELDS)).alias("fields")))

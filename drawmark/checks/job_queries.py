@@ -127,9 +127,9 @@ def s12(spark, sf):
     return reports.status_documents(progress(spark, sf))
 
 
-@query("S13", "SELECT job_id, event_seq FROM (SELECT job_id, event_seq, row_number() OVER (PARTITION BY job_id ORDER BY event_seq DESC) AS k FROM job_events) WHERE k <= 20", ("job_events",))
+@query("S13", "SELECT job_id, event_seq FROM (SELECT job_id, event_seq, row_number() OVER (PARTITION BY job_id ORDER BY event_seq DESC) AS k FROM job_events) WHERE k <= 200", ("job_events",))
 def s13(spark, sf):
-    return reports.log_tail(view(spark, sf, "job_events").select("job_id", "event_seq"), keep=20)
+    return reports.log_tail(view(spark, sf, "job_events").select("job_id", "event_seq"))
 
 
 _TASKS = "tasks t JOIN locations l ON t.th = l.th AND t.bbh = l.bbh AND t.filename = l.fname AND t.docnumber = l.docnumber AND t.work_seq = l.work_seq WHERE isprocess = '0' AND del = 0 AND wkaid <> '3'"

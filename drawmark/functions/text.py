@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from drawmark.settings import (
+    MARKUP,
     CONFUSABLE_DIGITS, DEFAULT_PREFIXES, LETTER_DIGITS, NEW_PREFIX, SYMBOL_DIGITS,
 )
 
@@ -117,11 +118,10 @@ def token_candidates(token: Column) -> Column:
 
 def clean_markup(col: Column) -> Column:
     """Drop math markup; text without a backslash is returned as it is."""
-    out = F.regexp_replace(col, r"\\[()\[\]]", "")
-    out = F.regexp_replace(out, r"_\{([^}]*)\}", "$1")
-    out = F.regexp_replace(out, r"\^\{([^}]*)\}", "$1")
-    out = F.regexp_replace(out, r"\\[a-zA-Z]+", "")
-    out = strip(F.regexp_replace(out, r"[{}]", ""))
+    out = col
+    for pattern, kept in MARKUP:
+        out = F.regexp_replace(out, pattern, kept)
+    out = strip(out)
     return F.when(F.instr(col, "\\") > 0, out).otherwise(col)
 
 

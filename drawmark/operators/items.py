@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from drawmark.functions import readings, text
 from drawmark.functions.boxes import Box
+from drawmark.settings import RELAXED_NUMBER, SPAN_CODE_AFTER, SPAN_CODE_BEFORE, SPAN_CODE_REST
 
 
 def first_per(df: DataFrame, keys: list[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -34,8 +35,8 @@ def as_spans(items: DataFrame) -> DataFrame:
 
 def span_codes(spans: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
     """First code of each horizontal span with the hull of its characters; short codes are dropped."""
-    lead = r"(?<![A-Z0-9])" + text.prefix_class(prefixes) + r"(?=[A-Z0-9-])"
-    code = text.hit(F.col("text"), lead + "[A-Za-z0-9-]*")
+    lead = SPAN_CODE_BEFORE + text.prefix_class(prefixes) + SPAN_CODE_AFTER
+    code = text.hit(F.col("text"), lead + SPAN_CODE_REST)
     found = (spans.filter(F.abs("dir_x") > 0.5).withColumn("old_text", code)
              .filter(F.length("old_text") >= 7)
              .withColumn("used", F.slice("chars", F.regexp_instr(F.col("text"), F.lit(lead)), F.length("old_text"))))
@@ -126,9 +127,6 @@ def shift_left_edge(columns: DataFrame, items: DataFrame) -> DataFrame:
             .select("page_id", F.when(moved, F.col("edge")).otherwise(F.col("x1")).alias("x1"), "y1", "x2", "y2"))
 
 
-RELAXED_NUMBER = r"Y[A-Z0-9][A-Z0-9\-]{2,}"
-
-
 def _joined_reading(items: DataFrame, prefixes: Sequence[str] | None) -> DataFrame:
     """Stages shared by the number searches. Each stage is a column of its own, so that the regular
     expressions are evaluated once per row and the generated code stays small."""

@@ -32,10 +32,8 @@ MATERIAL_THRESHOLD = 0.70
 # Keywords and exact terms that confirm the number column.
 COLUMN_CHECK_KEYWORDS = ("MATERIAL CODE", "MATERUL CODE", "零部件图号", "DEF", "代号")
 COLUMN_CHECK_THRESHOLD = 0.60
-# Labels in front of the drawing number, and the order in which they are stripped.
-LABEL_KEYWORDS = ("DWG NO", "DWG NO.", "DWGNO", "DWG", "図番", "図面番号", "图号")
+# Labels in front of the drawing number, in the order in which they are stripped.
 LABEL_PREFIXES = ("DWG NO.", "DWG NO", "DWGNO", "DWG", "図面番号", "図番", "图号")
-LABEL_THRESHOLD = 0.60
 LABEL_STARTS = ("DWG", "OWG", "図", "图")
 
 # Percent regions used when detection fails (x_min, x_max, y_min, y_max).
@@ -45,8 +43,7 @@ DEFAULT_REGIONS = {
     "top_left_number": (0.0, 0.20, 0.0, 0.08),
 }
 
-# Region names in rewrite order, and what a file's first letter suppresses.
-REGION_ORDER = ("material_code_column", "bottom_right_number", "top_left_number")
+# What a file's first letter suppresses.
 SUPPRESSED_REGIONS = {
     "Y": (),
     "B": ("material_code_column",),
@@ -64,14 +61,24 @@ LOG_CSV_HEADER = ("处理日期", "图号", "版本", "文件名", "处理方式
 
 # Queue and watch settings.
 JOB_STATUSES = ("pending", "running", "done", "failed")
-JOB_SOURCES = ("api", "watch_folder")
 MAX_RETRY = 1
 STABLE_SECONDS = 3.0
 LOG_TAIL = 200
-LIST_LIMIT = 100
 PAGE_SIZE = 10
 
 # Pixel limits of image scaling.
 MAX_EDGE = 2100
 MAX_SCALED_EDGE = 3500
 UPSCALE_BELOW = 1500
+
+# Math markup and what replaces it, in order.
+MARKUP = (
+    (r"\\[()\[\]]", ""),
+    (r"_\{([^}]*)\}", "$1"),
+    (r"\^\{([^}]*)\}", "$1"),
+    (r"\\[a-zA-Z]+", ""),
+    (r"[{}]", ""),
+)
+# Number of the last search, and what stands around the first letter of a span code.
+RELAXED_NUMBER = r"Y[A-Z0-9][A-Z0-9\-]{2,}"
+SPAN_CODE_BEFORE, SPAN_CODE_AFTER, SPAN_CODE_REST = "(?<![A-Z0-9])", "(?=[A-Z0-9-])", "[A-Za-z0-9-]*"

@@ -1,9 +1,12 @@
 """Shared folder, stored intermediate tables and batch limits of the training-data operators."""
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,34 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed to the system; between batches of texts it would otherwise stay with the
+    allocators, for each of the workers of an executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+_HELD: list = [None, None]
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, kept in this Python worker until another key is asked for: a worker that serves one operator after
+    the other holds the tables of one at a time."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        give_back()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder; the file system removes it when the application ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawmark.llm.common import free_name
+from drawmark.llm.common import free_name, give_back, held
 
 WINDOW = 10
 PART_BYTES = 64 << 20
@@ -89,17 +88,6 @@ def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in zip(edges[::2], edges[1::2])]
 
 
-_READY: dict[tuple[str, int], Automaton] = {}
-
-
-def _automaton(key: str, part: int, sent: Broadcast) -> Automaton:
-    """The part's automaton, kept in this worker until another one is needed."""
-    if (key, part) not in _READY:
-        _READY.clear()
-        _READY[key, part] = Automaton(sent.value)
-    return _READY[key, part]
-
-
 def _window_parts(benchmark: DataFrame, id_col: str, text_col: str, size: int, part_bytes: int) -> Iterator[list[tuple[bytes, list[int]]]]:
     """All distinct windows with their items, a bounded part at a time."""
     @F.pandas_udf("array<binary>")
@@ -130,22 +118,23 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     @F.pandas_udf(HITS)
     def hits(texts: pd.Series) -> pd.DataFrame:
-        tokens = [words_of(t) for t in texts]
-        runs: list[list[tuple[int, int]]] = [[] for _ in tokens]
-        items: list[set[int]] = [set() for _ in tokens]
+        n_words, runs, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
         for part, sent in enumerate(parts):
-            automaton = _automaton(key, part, sent)
-            for k, words in enumerate(tokens):
+            automaton = held(("automaton", key, part), lambda: Automaton(sent.value))
+            for k, text in enumerate(texts):
+                words = words_of(text)
                 found, ids = automaton.scan(words)
+                n_words[k] = len(words)
                 runs[k] += found
                 items[k] |= ids
         out = []
-        for text, words, found, ids in zip(texts, tokens, runs, items):
+        for text, n, found, ids in zip(texts, n_words, runs, items):
             if found:
-                hit = _marked(len(words), found)
-                out.append((len(words), int(hit.sum()), sorted(ids), [{"begin": a, "end": b} for a, b in _spans(text, hit)]))
+                hit = _marked(n, found)
+                out.append((n, int(hit.sum()), sorted(ids), [{"begin": a, "end": b} for a, b in _spans(text, hit)]))
             else:
-                out.append((len(words), 0, [], []))
+                out.append((n, 0, [], []))
+        give_back()
         return pd.DataFrame(out, columns=list(HIT_COLUMNS))
 
     plain = docs.drop(*[c for c in docs.columns if c.lower() in HIT_COLUMNS and c not in (id_col, text_col)])

@@ -14,6 +14,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
+from drawmark.llm.common import held
+
 _SETTLED = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f]*")
 # The letters and numbers among these characters, and the pieces of byte-level BPE in terms of them.
 _LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -70,11 +72,6 @@ class PieceEncoder:
         return b"".join(map(self.memo.__getitem__, _PIECES.findall(text)))
 
 
-_READY: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for the file."""
-    if path not in _READY:
-        _READY[path] = PieceEncoder(path)
-    return _READY[path]
+    return held(("encoder", path), lambda: PieceEncoder(path))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawmark.llm.common import free_name
+from drawmark.llm.common import free_name, give_back, held
 
 WINDOW, STRIDE = 256, 250
 WIDTHS, FILTERS, EMBEDDED = (2, 4, 6), 16, 8
@@ -149,16 +149,6 @@ def classify(net: Network, tables: list[list[np.ndarray]], texts: list[str]) ->
     return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
 
 
-_READY: dict[str, list[list[np.ndarray]]] = {}
-
-
-def _ready(net: Network) -> list[list[np.ndarray]]:
-    if net.key not in _READY:
-        _READY.clear()
-        _READY[net.key] = _tables(net)
-    return _READY[net.key]
-
-
 def held_out(id_: Column) -> Column:
     """Whether a document is kept from training: remainder 1 of CRC-32 of the id's digits by 3. Not for null ids."""
     return F.coalesce(F.crc32(id_.cast("string")) % 3 == 1, F.lit(False))
@@ -201,8 +191,9 @@ def languages_of(docs: DataFrame, net: Network | None, text_col: str = "text") -
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        found = classify(net, _ready(net), texts.tolist())
+        found = classify(net, held(("network", net.key), lambda: _tables(net)), texts.tolist())
         best = found.argmax(axis=1)
+        give_back()
         return pd.DataFrame({"lang": [net.languages[b] for b in best], "score": np.minimum(found[np.arange(len(best)), best], 1.0)})
 
     name = free_name("_found", kept)

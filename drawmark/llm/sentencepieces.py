@@ -18,6 +18,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from drawmark.llm.common import free_name
+from drawmark.llm.common import free_name, give_back, held
 
 MARK = "▁"
 THREADS = 2  # of a worker
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-MEMO_WORDS, MEMO_CHARS, GROUP = 300_000, 64, 256
+MEMO_WORDS, MEMO_CHARS, GROUP, CHARS_AT_ONCE = 150_000, 64, 256, 1 << 19
 _WORD = re.compile(" +[^ ]*")
 
 
@@ -151,13 +152,8 @@ class PieceCoder:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         with open(path, "rb") as f:
             raw = f.read()
-        self.model, self.threads = parse_model(raw), threads
-        self.library = rebuilt(self.model)
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.raw, self.model, self.threads = raw, parse_model(raw), threads
         self.local = cuts_before_spaces(self.model)
-        # the same core without the normaliser, for words that have their marker
-        self.words = Tokenizer(self.library.model)
-        self.words.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
         self.memo: dict[str, bytes] = {}
         self.differ: set[str] = set()
         shown = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(self.model.pieces, self.model.kinds)]
@@ -166,6 +162,22 @@ class PieceCoder:
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
         self.plain_ids = np.array([k in (NORMAL, UNUSED, BYTE) for k in self.model.kinds])
 
+    # a worker that only decodes needs none of these
+    @cached_property
+    def library(self) -> Tokenizer:
+        return rebuilt(self.model)
+
+    @cached_property
+    def reference(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=self.raw)
+
+    @cached_property
+    def words(self) -> Tokenizer:
+        """The same core without the normaliser, for words that have their marker."""
+        out = Tokenizer(self.library.model)
+        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
+        return out
+
     def verified(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """Ids of each text and whether both libraries gave them."""
         ours = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -174,6 +186,8 @@ class PieceCoder:
 
     def _new_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words (white space, then other characters); notes those on which the libraries differ."""
+        blank = [w for w in words if not w.strip(" ")]  # the end of a text; in a group the next word's white space would join it
+        words = [w for w in words if w.strip(" ")]
         groups = [words[k:k + GROUP] for k in range(0, len(words), GROUP)]
         texts = ["".join(g) for g in groups]
         ours = self.words.encode_batch_fast([t.replace(" ", MARK) for t in texts], add_special_tokens=False)
@@ -194,12 +208,26 @@ class PieceCoder:
                 out[w] = ids.tobytes()
                 if not same:
                     self.differ.add(w)
+        before = len(self.reference.encode("a"))
+        for w, (ids, same) in zip(blank, self.verified(["a" + w for w in blank])):
+            out[w] = ids[before:].tobytes()
+            if not same:
+                self.differ.add(w)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, parity) of each text."""
-        if not self.local:
-            return self.verified(texts)
+        """(ids, parity) of each text; looks at so many characters at a time that their words stay few."""
+        out: list[tuple[np.ndarray, bool]] = []
+        begin, size = 0, 0
+        for end, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= CHARS_AT_ONCE or end == len(texts):
+                part = texts[begin:end]
+                out += self._encoded(part) if self.local else self.verified(part)
+                begin, size = end, 0
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
             self.differ.clear()
@@ -229,14 +257,9 @@ class PieceCoder:
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
-_READY: dict[tuple[str, int], PieceCoder] = {}
-
-
 def coder(path: str, threads: int = THREADS) -> PieceCoder:
     """This worker's coder for the file."""
-    if (path, threads) not in _READY:
-        _READY[path, threads] = PieceCoder(path, threads)
-    return _READY[path, threads]
+    return held(("pieces", path, threads), lambda: PieceCoder(path, threads))
 
 
 def encoded_pieces(docs: DataFrame, path: str, text_col: str = "text", threads: int = THREADS) -> DataFrame:
@@ -247,6 +270,7 @@ def encoded_pieces(docs: DataFrame, path: str, text_col: str = "text", threads:
     @F.pandas_udf("ids array<int>, parity boolean")
     def encode(texts: pd.Series) -> pd.DataFrame:
         rows = coder(path, threads).encode(texts.tolist())
+        give_back()
         return pd.DataFrame({"ids": [r[0] for r in rows], "parity": [r[1] for r in rows]})
 
     kept = [c for c in docs.columns if c == text_col or c.lower() not in ("piece_ids", "parity")]

@@ -16,7 +16,7 @@ import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawmark.llm.common import bit_at, bit_words, free_name, stored
+from drawmark.llm.common import bit_at, bit_words, free_name, give_back, stored
 from drawmark.llm.encode import encoder
 
 LIMIT = 1024
@@ -58,6 +58,7 @@ def fill_cache(docs: DataFrame, path: str, cache: str, text_col: str = "text") -
     @F.pandas_udf("bigint")
     def count(batch: pd.Series) -> pd.Series:
         encode = encoder(path).encode
+        give_back()
         return pd.Series([len(encode(t)) // 4 for t in batch], dtype="int64")
 
     wanted = texts.filter(bit_at(bits.scalar(), _place("digest"))).dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
@@ -73,7 +74,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, text_col: str = "text",
     Counts are those of the library without added special tokens, truncation or padding. Null and empty texts have no
     bytes and no tokens. Repeated rows are counted alike; an empty table gives an empty result."""
     fill_cache(docs, path, cache, text_col)
-    known = cached_counts(docs.sparkSession, cache, tokenizer_version(path))
+    # stored, so that both sides of the join are dealt out for it alone and a text of very many copies is split
+    known = stored(cached_counts(docs.sparkSession, cache, tokenizer_version(path)), "counts")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c == text_col or c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
     name = free_name("_digest", [*kept, "n_bytes", "n_tokens", "over_limit"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawmark.llm.bitslice import joined_roots, near_pairs
-from drawmark.llm.common import stored, without_keys
+from drawmark.llm.common import give_back, stored, without_keys
 from drawmark.llm.components import component_labels
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit number. A null text has no words."""
     @F.pandas_udf("bigint")
     def fp(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series(np.array([simhash(t, words) for t in texts], dtype=np.uint64).view(np.int64))
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), fp(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("fp"))
 
@@ -152,7 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = named.join(names, "label").select("fp", "component_id", F.lit(True).alias("linked"))
     places = distinct.join(of_fp, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
-    return fps.join(places, "fp").select("doc_id", "fp", "component_id")
+    # stored, so that both sides of the last join are dealt out for it alone and a fingerprint of very many rows is split
+    return fps.join(stored(places, "places"), "fp").select("doc_id", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:

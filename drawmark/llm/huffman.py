@@ -6,7 +6,7 @@ row) and ``shards`` (ids before each shard). Code lengths come from the counts o
 that is stored. A document starts at a byte; every ``SEGMENT`` ids of a document a checkpoint holds the bit offset in
 the block, so the segments of a block are decoded side by side.
 
-Writing: encode each text once, keep the ids in the shared folder; count; Huffman-code the documents where they are;
+Writing: encode each text once and count its ids, keep both in the shared folder; Huffman-code the documents where they are;
 move the coded documents to shards of ascending id ranges (boundaries from an approximate percentile, so a shard's
 size is even; exact order within it by sorting); assemble blocks. Only counts, boundaries and shard sizes reach the
 driver: at most the vocabulary's size and the number of shards."""
@@ -16,12 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawmark.llm.common import stored
+from drawmark.llm.common import give_back, stored
 from drawmark.llm.encode import encoder
 
 LIMIT, SEGMENT, BLOCK_IDS = 16, 256, 1 << 16
@@ -130,24 +129,33 @@ def _id_type(n_vocabulary: int) -> str:
     return "<u2" if n_vocabulary <= 1 << 16 else "<u4"
 
 
-def encoded_ids(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, kind: str) -> DataFrame:
-    """(doc_id, ids): the ids of each text and the end id, as little-endian numbers of the type ``kind``."""
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        encode, tail = encoder(path).encode, np.array([end_id], dtype=kind).tobytes()
-        return texts.map(lambda t: np.frombuffer(encode(t), dtype="<u4").astype(kind).tobytes() + tail)
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), ids(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("ids"))
-
-
-def id_counts(encoded: DataFrame, kind: str, n_vocabulary: int) -> np.ndarray:
-    """How often each id occurs in all documents."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encoded_ids(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, kind: str, n_vocabulary: int) -> DataFrame:
+    """(doc_id, ids, counts): the ids of each text and the end id, as little-endian numbers of the type ``kind``; and a row
+    for each task, without ids, with how often the task met each id, as pairs of 64-bit numbers."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_text, tail = encoder(path).encode, np.array([end_id], dtype=kind).tobytes()
         total = np.zeros(n_vocabulary, dtype=np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=kind), minlength=n_vocabulary)
+            rows = [np.frombuffer(encode_text(t), dtype="<u4").astype(kind).tobytes() + tail for t in b.column(1).to_pylist()]
+            total += np.bincount(np.frombuffer(b"".join(rows), dtype=kind), minlength=n_vocabulary)
+            yield pa.record_batch([b.column(0), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], names=["doc_id", "ids", "counts"])
+            give_back()
         used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["id", "n"])
-    rows = encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        pairs = np.stack([used, total[used]], axis=1).astype("<i8").tobytes()
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs])], names=["doc_id", "ids", "counts"])
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(encode, "doc_id bigint, ids binary, counts binary")
+
+
+def id_counts(encoded: DataFrame, n_vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all documents, from the tasks' counts."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                both = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+                yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "n"])
+    rows = (encoded.filter("counts IS NOT NULL").select("counts").mapInArrow(pairs, "id bigint, n bigint")
+            .groupBy("id").agg(F.sum("n").alias("n")).collect())
     out = np.zeros(n_vocabulary, dtype=np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -208,8 +216,9 @@ def write_ids(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text
     library = encoder(path).library
     n_vocabulary = max(library.get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = _id_type(n_vocabulary)
-    encoded = stored(encoded_ids(docs, path, id_col, text_col, end_id, kind), "token-ids")
-    lengths = code_lengths(id_counts(encoded, kind, n_vocabulary), limit)
+    written = stored(encoded_ids(docs, path, id_col, text_col, end_id, kind, n_vocabulary), "token-ids")
+    lengths = code_lengths(id_counts(written, n_vocabulary), limit)
+    encoded = written.filter("ids IS NOT NULL")
     codes = canonical_codes(lengths)[1]
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [k / n_shards for k in range(1, n_shards)] or [0.5]

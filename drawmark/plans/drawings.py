@@ -350,13 +350,13 @@ def detected_note_codes(found: DataFrame, pages: DataFrame, items: DataFrame, co
     areas = cut.select("page_id", "area")
     sizes = area_sizes(areas)
     zones = tables.table_zones(lines_in.join(sizes, "page_id").filter((F.col("axis") == "v") | (F.col("pos") < F.col("img_h"))).select(*lines_in.columns), sizes)
-    zones = zones.join(cut.filter("red_top IS NOT NULL").select("page_id"), "page_id", "left_semi").select("page_id", "zone_right", "zone_bottom")
+    zones = settled(zones.join(cut.filter("red_top IS NOT NULL").select("page_id"), "page_id", "left_semi").select("page_id", "zone_right", "zone_bottom"))
     boxes_in = cut_items(table_boxes.select("page_id", *CORNERS), areas)
     inside = parts(components, areas)
     padded = zones.select("page_id", (F.col("zone_right") + 3).alias("zone_right"), (F.col("zone_bottom") + 3).alias("zone_bottom"))
     centre = Box.sized(*[F.col(c) for c in "xywh"])
     erased = (centre.cx <= F.col("zone_right")) & (centre.cy <= F.col("zone_bottom"))
-    inside = inside.join(padded, "page_id", "left").filter(~F.coalesce(erased, F.lit(False))).select(*components.columns)
+    inside = settled(inside.join(padded, "page_id", "left").filter(~F.coalesce(erased, F.lit(False))).select(*components.columns))
     codes = note_codes(cut_items(items, areas), inside, sizes, boxes_in, zones)
     return moved_back(codes, areas, "at").select("page_id", "token", *[F.col(f"at_{c}").alias(c) for c in CORNERS])
 

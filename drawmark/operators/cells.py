@@ -48,11 +48,13 @@ def grid_cells(items: DataFrame, pages: DataFrame) -> DataFrame:
     An item belongs to the first row line at most one cell height above its centre."""
     text = prefixed_cell(F.col("text"))
     read = items.select("page_id", "seq", text.alias("cell_text"), ((F.col("y1") + F.col("y2")) / 2).alias("cy")).filter("cell_text IS NOT NULL")
-    placed = (read.join(pages, "page_id")
-              .withColumn("cell_top", F.get(F.filter("rows", lambda y: (y <= F.col("cy")) & (F.col("cy") < y + F.col("h"))), F.lit(0)))
-              .filter("cell_top IS NOT NULL"))
-    struck = F.exists("strikes", lambda s: (s > F.col("cell_top")) & (s < F.col("cell_top") + F.col("h")))
-    placed = placed.select("page_id", "cell_top", "seq", "cell_text", (F.col("cell_top") + F.col("h")).alias("cell_bottom"), struck.alias("struck"))
+    # whether a row is struck is settled once per page, not per item
+    marked = F.transform("rows", lambda y: F.struct(y.alias("top"), F.exists("strikes", lambda s: (s > y) & (s < y + F.col("h"))).alias("struck")))
+    grid = pages.select("page_id", "h", marked.alias("marked"))
+    row = F.get(F.filter("marked", lambda r: (r["top"] <= F.col("cy")) & (F.col("cy") < r["top"] + F.col("h"))), F.lit(0))
+    placed = read.join(grid, "page_id").withColumn("row", row).filter("row IS NOT NULL")
+    placed = placed.select("page_id", F.col("row.top").alias("cell_top"), "seq", "cell_text", (F.col("row.top") + F.col("h")).alias("cell_bottom"),
+                           F.col("row.struck").alias("struck"))
     return first_per(placed, ["page_id", "cell_top"], [F.col("seq")], ["cell_bottom", "cell_text", "struck"])
 
 

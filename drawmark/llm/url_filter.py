@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawmark.llm.common import ascii_lower, bit_at, bit_of, free_name, stored
@@ -130,24 +130,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     long ones that with the longer host; a rule listed with both verdicts blocks. Without a fitting rule the verdict is
     ``default`` and rule is null. Null URLs and URLs without ``://`` have empty host and path and fit no rule. Repeated
     pages are judged alike; rules that are null, repeated or without a host count once or not at all."""
-    spark = pages.sparkSession
     listed = (rules.filter(F.col("rule").isNotNull() & ~F.startswith("rule", F.lit("/"))).groupBy(F.col("rule").alias("key"))
               .agg(F.max("verdict").alias("verdict")))
     listed = listed.withColumn("path_length", F.length("key") - F.length(F.substring_index("key", "/", 1)))
     sizes = {r["verdict"]: r["n"] for r in listed.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
     path_lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect())  # at most the longest path of a rule
-    drop = [c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")]
+    kept = [f"`{c}`" for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     url = F.col(f"`{url_col}`")
     keys_name = free_name("_keys", [*pages.columns, "host", "path", "rule", "verdict"])
-    plain = pages.withColumns({f"_{c}": f(url) for c, f in (("host", url_host), ("path", url_path))}).drop(*drop)
-    plain = plain.withColumnsRenamed({"_host": "host", "_path": "path"})
+    plain = pages.select(*kept, url_host(url).alias("host"), url_path(url).alias("path"))
     if not path_lengths:
         return plain.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keyed = plain.withColumn(keys_name, _keys(F.col("host"), F.col("path"), path_lengths))
     universe = pages.select(F.explode(_keys(url_host(url), url_path(url), path_lengths)).alias("key"))
     n_universe = universe.agg(F.approx_count_distinct("key")).first()[0]  # for sizing only
     if sum(predicted_bytes(n, n_universe) for n in sizes.values()) > max_filter_bytes:
-        return _judged_by_join(spark, plain, path_lengths, listed, default)
+        return _judged_by_join(plain, path_lengths, listed, default)
     cascades = {v: build_cascade(listed.filter(F.col("verdict") == v), universe, n, n_universe) for v, n in sizes.items()}
     blocked = cascades.get("block")
     allowed = cascades.get("allow")
@@ -161,11 +159,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     return ruled.withColumn("verdict", verdict).drop(keys_name)
 
 
-def _judged_by_join(spark: SparkSession, pages: DataFrame, path_lengths: list[int], listed: DataFrame, default: str) -> DataFrame:
+def _judged_by_join(pages: DataFrame, path_lengths: list[int], listed: DataFrame, default: str) -> DataFrame:
     """The same for lists too large for a filter: distinct (host, path) pairs meet the list by equi-join."""
+    hit = free_name("_hit", pages.columns)
     places = pages.select("host", "path").distinct()
     asked = places.select("host", "path", F.posexplode(_keys(F.col("host"), F.col("path"), path_lengths)).alias("at", "key"))
-    found = (asked.join(listed.select("key", F.col("verdict").alias("_v")), "key").groupBy("host", "path")
-             .agg(F.min(F.struct("at", "key", "_v")).alias("_hit")))
+    found = asked.join(listed.select("key", "verdict"), "key").groupBy("host", "path").agg(F.min(F.struct("at", "key", "verdict")).alias(hit))
     return (pages.join(found, ["host", "path"], "left")
-            .withColumns({"rule": F.col("_hit.key"), "verdict": F.coalesce(F.col("_hit._v"), F.lit(default))}).drop("_hit"))
+            .withColumns({"rule": F.col(f"{hit}.key"), "verdict": F.coalesce(F.col(f"{hit}.verdict"), F.lit(default))}).drop(hit))

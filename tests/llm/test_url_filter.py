@@ -6,7 +6,7 @@ import pytest
 from drawmark.llm.url_filter import RULES_SCHEMA, build_cascade, is_listed, judge_urls
 from pyspark.sql import functions as F
 
-SCHEMA = "page_id bigint, url string, host string, Verdict int, _keys string"
+SCHEMA = "page_id bigint, url string, host string, Verdict int, _keys string, _host string, _hit int"
 
 
 def plain(url, rules, default="allow"):
@@ -41,15 +41,15 @@ def test_verdicts(spark, limit):
     rules = [("com/", "allow"), ("a.com/en/", "block"), ("www.a.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"), ("org", "block"),
              ("y.z.org/e", "allow"), ("/x", "block"), (None, "block"), ("net/es/", "block"), ("a.net/en", "allow"), ("a.net/en", "block"), ("ä.net/é", "block")]
     urls = cases() + cases()[:5]
-    df = spark.createDataFrame([(i, u, "clash", 1, "k") for i, u in enumerate(urls)], SCHEMA)
+    df = spark.createDataFrame([(i, u, "clash", 1, "k", "h", 2) for i, u in enumerate(urls)], SCHEMA)
     out = judge_urls(df, spark.createDataFrame(rules, RULES_SCHEMA), max_filter_bytes=limit)
-    assert sorted(out.columns) == sorted(["page_id", "url", "_keys", "host", "path", "rule", "verdict"])
+    assert sorted(out.columns) == sorted(["page_id", "url", "_keys", "_host", "_hit", "host", "path", "rule", "verdict"])
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
     assert got == {i: plain(u, rules) for i, u in enumerate(urls)}
 
 
 def test_no_rules_and_no_pages(spark):
-    pages = spark.createDataFrame([(1, "http://a.com/x", "", 0, "")], SCHEMA)
+    pages = spark.createDataFrame([(1, "http://a.com/x", "", 0, "", "", 0)], SCHEMA)
     none = spark.createDataFrame([], RULES_SCHEMA)
     assert [tuple(r[c] for c in ("host", "path", "rule", "verdict")) for r in judge_urls(pages, none, default="block").collect()] == [("a.com", "/x", None, "block")]
     one = spark.createDataFrame([("com/", "block")], RULES_SCHEMA)

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drawmark.checks.catalog import query
-from drawmark.checks.line_queries import PL, _A5, _SPANS, _W4, all_lines, segs, spaced
-from drawmark.checks.text_queries import CELL_TEXT, num, token, tr
-from drawmark.functions import boxes, names
+from drawmark.checks.line_queries import PL, _SPANS, _W4, all_lines, segs
+from drawmark.checks.text_queries import CELL_TEXT, num, tr
+from drawmark.functions import boxes
 from drawmark.functions.boxes import Box
 from drawmark.operators import cells, lines, regions
 from drawmark.operators import items as item_ops

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drawmark.checks.catalog import query
-from drawmark.checks.geometry_queries import _IN, _J2, _OV, grid_pages, items
-from drawmark.checks.text_queries import BALLOT, REV, RORIG, RSTEM, _MS, _VECTOR, ext, num, stem
+from drawmark.checks.geometry_queries import _J2, _OV, grid_pages, items
+from drawmark.checks.text_queries import BALLOT, REV, RORIG, RSTEM, _VECTOR, ext, num, stem
 from drawmark.functions import display, names, readings, text
 from drawmark.functions.boxes import Box
 from drawmark.operators import cells, jobs, reports, votes

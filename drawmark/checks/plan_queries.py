@@ -6,10 +6,10 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from drawmark.checks.catalog import query
-from drawmark.checks.geometry_queries import _CLASS, _J2, CP, classified, items, segs, zones
-from drawmark.checks.job_queries import _CENTRE, _CODES, _LOG, _ROUTED, _STABLE, _STATE, REPLACED, current, iso, log, note_codes, replacements
+from drawmark.checks.geometry_queries import _J2, classified, items, segs, zones
+from drawmark.checks.job_queries import _CENTRE, _ROUTED, _STABLE, _STATE, REPLACED, note_codes, replacements
 from drawmark.checks.line_queries import _ALL, _SPANS
-from drawmark.checks.text_queries import _SPAN_AT, _SPAN_CODE, _TRIMMED, ext, stem
+from drawmark.checks.text_queries import _SPAN_CODE, ext, stem
 from drawmark.functions import boxes, text
 from drawmark.functions.boxes import Box
 from drawmark.operators import cells, keywords, overlap, regions, tables

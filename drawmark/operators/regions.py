@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from drawmark.functions import names
 from drawmark.functions.boxes import Box, whole
-from drawmark.operators.items import first_per
 
 REGIONS = {"red": "material_code_column", "green": "bottom_right_number", "orange": "top_left_number"}
 

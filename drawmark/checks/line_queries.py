@@ -232,11 +232,13 @@ def a9(spark, sf):
     return lines.aligned_sets(segs(spark, sf), "h", 12).select("page_id", "med_len", "n", "anchor_pos", "anchor_lo", "anchor_hi")
 
 
-@query("A10", _A9.format(ax="h").replace("seg AS", "hseg AS").replace("seg a JOIN seg b", "hseg a JOIN hseg b").replace(" m AS", " hm AS").replace("FROM m ", "FROM hm ").replace(" sc AS", " hsc AS").replace("FROM sc ", "FROM hsc ").replace("best AS", "hbest AS")
+_A10 = (_A9.format(ax="h").replace("seg AS", "hseg AS").replace("seg a JOIN seg b", "hseg a JOIN hseg b").replace(" m AS", " hm AS").replace("FROM m ", "FROM hm ").replace(" sc AS", " hsc AS").replace("FROM sc ", "FROM hsc ").replace("best AS", "hbest AS")
        + _A9.format(ax="v") + """ , near AS (SELECT h.page_id, max(m.pos) AS x FROM hbest h JOIN best b USING (page_id) JOIN m ON m.page_id = b.page_id AND m.ap = b.ap AND m.alo = b.alo AND m.ahi = b.ahi
      WHERE abs(m.pos - h.median_hi) <= 20 GROUP BY h.page_id)
-   SELECT h.page_id, least(img_w, coalesce(near.x, h.median_hi)) AS zone_right, least(img_h, h.deepest) AS zone_bottom FROM hbest h JOIN page_sizes USING (page_id) LEFT JOIN near USING (page_id)""",
-       ("line_segments", "page_sizes"))
+   SELECT h.page_id, least(img_w, coalesce(near.x, h.median_hi)) AS zone_right, least(img_h, h.deepest) AS zone_bottom FROM hbest h JOIN page_sizes USING (page_id) LEFT JOIN near USING (page_id)""")
+
+
+@query("A10", _A10, ("line_segments", "page_sizes"))
 def a10(spark, sf):
     from drawmark.operators.tables import table_zones
     return table_zones(segs(spark, sf), view(spark, sf, "page_sizes")).select("page_id", "zone_right", "zone_bottom")

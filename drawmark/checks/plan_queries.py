@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from drawmark.checks.catalog import query
 from drawmark.checks.geometry_queries import _J2, classified, items, segs, zones
 from drawmark.checks.job_queries import _CENTRE, _ROUTED, _STABLE, _STATE, REPLACED, note_codes, replacements
-from drawmark.checks.line_queries import _ALL, _SPANS
+from drawmark.checks.line_queries import _A10, _ALL, _SPANS
 from drawmark.checks.text_queries import _SPAN_CODE, ext, stem
 from drawmark.functions import boxes, text
 from drawmark.functions.boxes import Box
@@ -84,7 +84,19 @@ def j8(spark, sf):
     return keywords.checked_columns(columns, h, keywords.header_matches(h)).select("page_id", "valid")
 
 
-@query("J12")
+_SHARED = "greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0)"
+
+
+@query("J12", f""", d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY token, crop, x1, y1, x2, y2) AS i, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) AS area FROM
+     (SELECT page_id, token, crop, x1, y1, x2, y2, count(*) AS n FROM crop_hits GROUP BY ALL)),
+   ov AS (SELECT p.page_id, p.i, list(q.i) AS js FROM d p JOIN d q ON p.page_id = q.page_id AND p.token = q.token AND q.crop < p.crop AND {_SHARED} > 0
+     AND {_SHARED} / greatest(p.area + q.area - {_SHARED}, 1) >= 0.5 GROUP BY p.page_id, p.i),
+   lists AS (SELECT page_id, i, coalesce(js, []::BIGINT[]) AS js FROM d LEFT JOIN ov USING (page_id, i)),
+   walk AS (SELECT page_id, CAST(0 AS BIGINT) AS i, []::BIGINT[] AS fresh FROM (SELECT DISTINCT page_id FROM d) UNION ALL
+     SELECT w.page_id, w.i + 1, CASE WHEN list_has_any(w.fresh, l.js) THEN w.fresh ELSE list_append(w.fresh, l.i) END FROM walk w JOIN lists l ON l.page_id = w.page_id AND l.i = w.i + 1),
+   done AS (SELECT page_id, arg_max(fresh, i) AS fresh FROM walk GROUP BY page_id),
+   crops AS (SELECT page_id, CAST(crop AS BIGINT) AS crop, CAST(sum(n) AS BIGINT) AS n_hits, CAST(coalesce(sum(n) FILTER (list_contains(fresh, i)), 0) AS BIGINT) AS n_new FROM d JOIN done USING (page_id) GROUP BY page_id, crop)
+   SELECT *, n_new > 0 AS kept FROM crops""", ("crop_hits",))
 def j12(spark, sf):
     return overlap.crop_hits(view(spark, sf, "crop_hits"))
 
@@ -195,7 +207,11 @@ def q7(spark, sf):
     return drawings.note_codes(items(spark, sf), view(spark, sf, "components"), view(spark, sf, "page_sizes"), table_boxes(spark, sf), zones(spark, sf))
 
 
-@query("Q8")
+_ZONES, _ZONE = _A10.rsplit("SELECT h.page_id", 1)
+
+
+@query("Q8", _ZONES + ", zn AS (SELECT h.page_id" + _ZONE + """) SELECT page_id, count(*) AS n_outside FROM ocr_items LEFT JOIN zn USING (page_id)
+   WHERE NOT coalesce((x1 + x2) / 2 BETWEEN 0 AND zone_right AND (y1 + y2) / 2 BETWEEN 0 AND zone_bottom, false) GROUP BY page_id""", ("line_segments", "page_sizes", "ocr_items"))
 def q8(spark, sf):
     """Table zones, and the items of each page that are left for the note search."""
     found = tables.table_zones(segs(spark, sf), view(spark, sf, "page_sizes"))

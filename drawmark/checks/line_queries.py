@@ -150,7 +150,18 @@ def w6(spark, sf):
     return p.select("page_id", lines.linked_extent(F.col("ss"), F.lit(150))["hi"].alias("y_max"))
 
 
-@query("W6_top", None)
+_LINKED = """, down{g} AS (SELECT page_id, b.h AS hi FROM seed UNION SELECT d.page_id, s.hi FROM down{g} d JOIN strips s ON s.page_id = d.page_id AND s.lo > d.hi AND s.lo - d.hi <= {g}
+     AND s.lo = (SELECT min(q.lo) FROM strips q WHERE q.page_id = d.page_id AND q.lo > d.hi)
+     AND s.hi = (SELECT min(q.hi) FROM strips q WHERE q.page_id = d.page_id AND q.lo = s.lo)),
+  up{g} AS (SELECT page_id, b.l AS lo FROM seed UNION SELECT u.page_id, s.lo FROM up{g} u JOIN strips s ON s.page_id = u.page_id AND s.hi < u.lo AND u.lo - s.hi <= {g}
+     AND s.lo = (SELECT min(q.lo) FROM strips q WHERE q.page_id = u.page_id AND q.hi < u.lo AND u.lo - q.hi <= {g})),
+  ext{g} AS (SELECT page_id, lo, hi FROM (SELECT page_id, min(lo) AS lo FROM up{g} GROUP BY page_id) JOIN (SELECT page_id, max(hi) AS hi FROM down{g} GROUP BY page_id) USING (page_id))"""
+
+
+@query("W6_top", """, s AS (SELECT DISTINCT page_id, pos, start_px + (pos % 7) * 60 AS lo, start_px + (pos % 7) * 60 + 40 AS hi FROM line_segments WHERE axis = 'v'),
+  strips AS (SELECT page_id, lo, hi FROM s GROUP BY ALL), seed AS (SELECT page_id, min({l: lo, h: hi}) AS b FROM strips WHERE lo <= 410 AND hi >= 390 GROUP BY page_id)"""
+       + _LINKED.format(g=80) + _LINKED.format(g=120) + """ SELECT p.page_id, CASE WHEN a.hi - a.lo < 500 THEN w.lo ELSE a.lo END AS y_min, CASE WHEN a.hi - a.lo < 500 THEN w.hi ELSE a.hi END AS y_max
+  FROM (SELECT DISTINCT page_id FROM strips) p LEFT JOIN ext80 a USING (page_id) LEFT JOIN ext120 w USING (page_id)""", SEGS)
 def w6_top(spark, sf):
     strips = segs(spark, sf).filter("axis = 'v'").selectExpr(
         "page_id", "start_px + (pos % 7) * 60 AS lo", "start_px + (pos % 7) * 60 + 40 AS hi")
@@ -208,7 +219,14 @@ def w11(spark, sf):
     return p.select("page_id", F.explode(lines.filled_rows(F.col("ps"), F.col("h"), F.lit(700))).alias("row_y"))
 
 
-@query("W14", None)
+@query("W14", PL + """, rc AS (SELECT page_id, hs, list_filter(hs, lambda y: y < 200) AS above FROM pl),
+   rh AS (SELECT *, greatest(CAST(trunc((above[-1] - above[1]) / (len(above) - 1) * 3) AS INTEGER), 100) AS reach FROM rc WHERE len(above) >= 2),
+   walk AS (SELECT page_id, 200 AS top, []::INTEGER[] AS found, false AS ended FROM rh UNION ALL
+     SELECT w.page_id, CASE WHEN len(e.ext) > 0 THEN CAST(e.ext[-1] + 1 AS INTEGER) ELSE w.top END, list_concat(w.found, e.ext), len(e.ext) = 0
+     FROM walk w JOIN rh ON rh.page_id = w.page_id, LATERAL (SELECT list_filter(rh.hs, lambda y: y >= w.top AND y < least(900, w.top + rh.reach)) AS ext) e
+     WHERE NOT w.ended AND w.top < least(900, 200 + rh.reach * 3)),
+   got AS (SELECT page_id, arg_max(found, len(found)) AS found FROM walk GROUP BY page_id)
+   SELECT page_id, unnest(CASE WHEN found IS NULL THEN above ELSE list_concat(above, found) END) AS row_y FROM rc LEFT JOIN got USING (page_id)""", SEGS)
 def w14(spark, sf):
     p = pages(spark, sf)
     rows = F.filter("hs", lambda y: y < 200)
@@ -330,7 +348,13 @@ def a16(spark, sf):
     return p.select("page_id", *lines.fallback_cell(F.col("hs"), F.col("vs"), F.col("img_w"), F.col("img_h")).columns())
 
 
-@query("A18", None)
+@query("A18", PL + _PROFILE + """, ln AS (SELECT page_id, sum(value) / CAST(1000 AS DOUBLE) AS mean FROM prof GROUP BY page_id),
+   hi AS (SELECT pl.page_id, pos FROM prof JOIN ln USING (page_id) JOIN pl USING (page_id) WHERE value > greatest(mean * 3, 0.15) AND pos >= 1 AND pos < 999
+     AND len(list_filter(vs, lambda e: abs(prof.pos - e) <= 10)) = 0),
+   ord AS (SELECT page_id, list_sort(list(pos)) AS ps FROM hi GROUP BY page_id),
+   walk AS (SELECT page_id, ps, ps[1] AS kept FROM ord UNION ALL
+     SELECT page_id, ps, list_filter(ps, lambda p: p > walk.kept + 10)[1] FROM walk WHERE len(list_filter(ps, lambda p: p > walk.kept + 10)) > 0)
+   SELECT page_id, unnest(vs) AS pos FROM pl UNION ALL SELECT page_id, kept FROM walk""", SEGS)
 def a18(spark, sf):
     from drawmark.operators.profiles import with_profile_lines
     return with_profile_lines(pages(spark, sf).select("page_id", F.col("vs").alias("ps")), line_profile(spark, sf), side=1000)

@@ -60,7 +60,9 @@ class PieceEncoder:
         self.memo = _Memo(self._piece) if plain else None
 
     def _piece(self, piece: str) -> bytes:
-        as_bytes = "".join(map(self.shown.__getitem__, piece.encode()))
+        # printable ASCII but the space stands for itself in the table
+        plain = piece.isascii() and piece.isprintable()
+        as_bytes = piece.replace(" ", self.shown[0x20]) if plain else "".join(map(self.shown.__getitem__, piece.encode()))
         return array("I", [t.id for t in self.library.model.tokenize(as_bytes)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:

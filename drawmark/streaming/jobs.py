@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,8 @@ from drawmark.sources.views import VIEWS
 
 FILES_PER_BATCH = 64  # so that a batch, and a key's share of it, is bounded
 _STATE = "status string, retry_count int, created_at bigint, started_at bigint, finished_at bigint, error_msg string, has_result boolean"
+_TIMED = ("enqueue", "claim", "done", "fail")
+_FACTS = ", ".join(f"{op}_seq bigint, {op}_at bigint" for op in _TIMED) + ", reset_seq bigint, fail_seqs array<bigint>"
 
 
 def step(state: tuple | None, op: str, at: int, max_retry: int) -> tuple | None:
@@ -41,50 +43,87 @@ def _millis(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-def job_states(events: DataFrame, max_retry: int = MAX_RETRY, late: str = "7 days", forget_after: str = "30 days") -> DataFrame:
-    """Stream of changed job states from a stream of job events (times in microseconds). Events may be ``late`` by so
-    much; the state of a job without an event for ``forget_after`` is dropped."""
+def merged(state: tuple, events: Iterable[tuple[int, str, int]]) -> tuple:
+    """Facts of a job after more events (event_seq, op, time), in whatever order they come: the last enqueue, claim, done
+    and fail as sequence number and time, the last reset, and the numbers of the failures after the enqueue."""
+    last = {op: (state[2 * k], state[2 * k + 1]) for k, op in enumerate(_TIMED) if state[2 * k] is not None}
+    reset, fails = state[-2], list(state[-1])
+    for seq, op, at in events:
+        if op in _TIMED:
+            last[op] = max(last.get(op, (seq, at)), (seq, at))
+        if op == "reset":
+            reset = seq if reset is None else max(reset, seq)
+        if op == "fail":
+            fails.append(seq)
+    if "enqueue" in last:
+        fails = [f for f in fails if f > last["enqueue"][0]]
+    return (*(x for op in _TIMED for x in last.get(op, (None, None))), reset, fails)
+
+
+def job_of(state: tuple, max_retry: int) -> tuple | None:
+    """A job's row from its facts, as in ``operators.jobs.current_jobs``; none if it was never enqueued."""
+    enqueued, created = state[:2]
+    if enqueued is None:
+        return None
+    last = {op: (state[2 * k], state[2 * k + 1], op) for k, op in enumerate(_TIMED) if state[2 * k] is not None and state[2 * k] > enqueued}
+    reset, fails = state[-2], sorted(state[-1])
+    used = fails[:max_retry]
+    fresh = {op: e for op, e in last.items() if not used or e[0] > used[-1]}
+    ended = max((fresh[op] for op in ("done", "fail") if op in fresh), default=None)
+    moved = max(last.values(), default=None)
+    status = "pending"
+    if moved and moved[2] == "claim" and not (reset is not None and reset > moved[0]):
+        status = "running"
+    elif moved and moved[2] == "done":
+        status = "done"
+    elif moved and moved[2] == "fail" and len(fails) > max_retry:
+        status = "failed"
+    return (status, min(len(fails), max_retry), created, fresh["claim"][1] if "claim" in fresh else None, ended[1] if ended else None,
+            "error" if ended and ended[2] == "fail" else None, "done" in last)
+
+
+def job_states(events: DataFrame, max_retry: int = MAX_RETRY, forget_after: str = "30 days") -> DataFrame:
+    """Stream of changed job states from a stream of job events (times in microseconds), which may come in any order. The
+    state of a job is dropped when no event of it has come for ``forget_after`` by the clock, whatever the events' times."""
     forget_ms = _millis(forget_after)
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         if kept.hasTimedOut:
             kept.remove()
             return
-        state, latest = (kept.get[:-1], kept.get[-1]) if kept.exists else (None, 0)
-        rows = pd.concat([b[["event_seq", "op", "event_time"]] for b in batches], ignore_index=True).sort_values("event_seq")
-        for op, at in zip(rows["op"], rows["event_time"].astype("datetime64[us]").astype("int64")):
-            state, latest = step(state, op, int(at), max_retry), max(latest, int(at))
-        if state is not None:
-            kept.update((*state, latest))
-            kept.setTimeoutTimestamp(max(latest // 1000 + forget_ms, kept.getCurrentWatermarkMs() + 1))
+        state = kept.get if kept.exists else (*[None] * 9, [])
+        for b in batches:
+            state = merged(state, zip(b["event_seq"].tolist(), b["op"], b["event_time"].astype("datetime64[us]").astype("int64").tolist()))
+        kept.update(state)
+        kept.setTimeoutDuration(forget_ms)
+        job = job_of(state, max_retry)
+        if job is not None:
             columns = ["job_id"] + [c.split()[0] for c in _STATE.split(", ")]
-            yield pd.DataFrame([(key[0], *state)], columns=columns).astype({c: "Int64" for c in ("created_at", "started_at", "finished_at")})
+            yield pd.DataFrame([(key[0], *job)], columns=columns).astype({c: "Int64" for c in ("created_at", "started_at", "finished_at")})
 
-    return events.withWatermark("event_time", late).groupBy("job_id").applyInPandasWithState(
-        follow, f"job_id bigint, {_STATE}", f"{_STATE}, latest bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(follow, f"job_id bigint, {_STATE}", _FACTS, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def status_feed(files: DataFrame, late: str = "7 days", forget_after: str = "30 days") -> DataFrame:
-    """Stream of status documents per batch, from a stream of finished files (batch_id, status, seconds_whole,
-    finished_at). Counts are kept per batch until it has been quiet for ``forget_after``."""
+def status_feed(files: DataFrame, forget_after: str = "30 days") -> DataFrame:
+    """Stream of status documents per batch, from a stream of finished files (batch_id, status, seconds_whole), in any
+    order. Counts are kept per batch until no file of it has come for ``forget_after`` by the clock."""
     forget_ms = _millis(forget_after)
 
     def follow(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         if kept.hasTimedOut:
             kept.remove()
             return
-        done, total, elapsed, latest = kept.get if kept.exists else (0, 0, 0, 0)
+        done, total, elapsed = kept.get if kept.exists else (0, 0, 0)
         for p in parts:
             done, total = done + int((p["status"] == "success").sum()), total + len(p)
             elapsed += int(p["seconds_whole"].sum())
-            latest = max(latest, int(p["finished_at"].max().value // 1_000_000))
-        kept.update((done, total, elapsed, latest))
-        kept.setTimeoutTimestamp(max(latest + forget_ms, kept.getCurrentWatermarkMs() + 1))
+        kept.update((done, total, elapsed))
+        kept.setTimeoutDuration(forget_ms)
         yield pd.DataFrame([(key[0], done, total, elapsed)], columns=["batch_id", "completed", "total", "elapsed"])
 
-    counts = files.select("batch_id", "status", "seconds_whole", "finished_at").withWatermark("finished_at", late).groupBy("batch_id").applyInPandasWithState(
-        follow, "batch_id bigint, completed bigint, total bigint, elapsed bigint", "completed bigint, total bigint, elapsed bigint, latest bigint",
-        "update", GroupStateTimeout.EventTimeTimeout)
+    counts = files.select("batch_id", "status", "seconds_whole").groupBy("batch_id").applyInPandasWithState(
+        follow, "batch_id bigint, completed bigint, total bigint, elapsed bigint", "completed bigint, total bigint, elapsed bigint",
+        "update", GroupStateTimeout.ProcessingTimeTimeout)
     return status_documents(counts.withColumn("progress", F.floor(F.col("completed") * 100 / F.col("total")).cast("int")))
 
 
@@ -94,8 +133,16 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], mode:
     Batches come with their number, so a repeated batch can be recognised by the sink."""
     folder = f"{checkpoint_dir(stream.sparkSession)}/streams/{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", folder).foreachBatch(write)
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    if every:
+        return writer.trigger(processingTime=every).start()
+    # a time limit by the clock asks for batches without input for ever; a stream takes the session's settings at its start
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:

@@ -10,7 +10,14 @@ from drawmark.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("url_queries", "document_queries", "token_queries", "chat_queries", "warc_queries")
+_MODULES = ("url_queries", "document_queries", "token_queries", "chat_queries", "warc_queries", "run_queries", "license_queries", "merkle_queries")
+
+# Common table expressions: crcs holds the unsigned CRC-32 of each document id as decimal text.
+CRC_SQL = """
+crc_bytes AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+              CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, crc_bytes)"""
 
 
 def query(name: str, sql: str | None = None):

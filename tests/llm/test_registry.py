@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SMALL = Path("/root/testdata/sf0.001")
 OPS = ("op1_url_filter", "op2_warc_revisit", "op3_exact_dedup", "op4_simhash", "op5_token_counts", "op6_chat_format", "op7_token_files",
-       "op8_decontamination", "op9_sentencepiece", "op10_language_id")
+       "op8_decontamination", "op9_sentencepiece", "op10_language_id", "op11_periodic_runs", "op12_license_scan", "op13_merkle_manifest")
 
 
 def test_all_are_registered():

@@ -20,7 +20,7 @@ def s14(spark, sf):
 
 @query("T1_stream", _STABLE + " SELECT path, CAST(epoch_us(run_start) AS BIGINT) AS run_start, CAST(epoch_us(stable_at) AS BIGINT) AS stable_at, size_bytes FROM stable", OB)
 def t1_stream(spark, sf):
-    out = jobs.run_to_table(watch.stable_stream(observations(spark, sf)), "append")
+    out = watch.settled_runs(jobs.run_to_table(watch.stable_stream(observations(spark, sf)), "update"))
     return out.select("path", F.unix_micros("run_start").alias("run_start"), F.unix_micros("stable_at").alias("stable_at"), "size_bytes")
 
 

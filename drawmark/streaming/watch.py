@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,9 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from drawmark.functions import names
+from drawmark.operators import ranks
 from drawmark.session import checkpoint_dir
 from drawmark.settings import STABLE_SECONDS
 from drawmark.sources import files
+from drawmark.streaming import run_map
 
 OBSERVATION = "path string, seen_at timestamp, obs_seq bigint, size_bytes bigint, mtime_us bigint"
 
@@ -60,29 +62,31 @@ def vanished(tracked: DataFrame, present: DataFrame) -> DataFrame:
     return tracked.select("path").distinct().join(present.select("path").distinct(), "path", "left_anti")
 
 
-def promoted(stable: DataFrame, taken: DataFrame | None = None, at: Column | None = None) -> DataFrame:
-    """Queue rows of stable files, moved to ``processing/`` under a free name: their own, or the first ``_NNN`` that is
-    neither in ``taken`` (column name) nor given to an earlier one of the same name."""
+def promoted(stable: DataFrame, taken: DataFrame | None = None, at: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Queue rows of stable files (with the columns ``keep``), moved to ``processing/`` under a free name: their own, or the
+    first ``_NNN`` that is neither in ``taken`` (column name) nor given to an earlier one of the same name."""
     spark = stable.sparkSession
     taken = spark.createDataFrame([], "name string") if taken is None else taken.select("name")
-    given = stable.withColumn("source_file", names.base_name(F.col("path")))
-    given = given.withColumn("_k", F.row_number().over(Window.partitionBy("source_file").orderBy("stable_at", "path")))
-    cut = [names.stem(F.col("source_file")).alias("_stem"), names.suffix(F.col("source_file")).alias("_ext")]
-    pattern = r"^(.+)_(\d{3}|[1-9]\d{3,8})(\.[^.]*)?$"
+    named = stable.withColumn("source_file", names.base_name(F.col("path"))).filter("source_file IS NOT NULL")
+    given = ranks.numbered(named, ["source_file"], ["stable_at", "path"], "_k")
     name = F.col("name")
-    numbers = (taken.filter(name.rlike(pattern)).groupBy(F.regexp_extract(name, pattern, 1).alias("_stem"), F.regexp_extract(name, pattern, 3).alias("_ext"))
-               .agg(F.collect_set(F.regexp_extract(name, pattern, 2).cast("int")).alias("_used")))
     clash = taken.distinct().select(name.alias("source_file"), F.lit(True).alias("_clash"))
-    named = given.select("*", *cut).join(clash, "source_file", "left").join(numbers, ["_stem", "_ext"], "left")
-    used = F.coalesce("_used", F.array().cast("array<int>"))
-    need = F.col("_k") - F.when(F.col("_clash"), 0).otherwise(1)  # which free number; none for the first of a free name
-    free = F.get(F.filter(F.sequence(F.lit(1), F.greatest(need, F.lit(1)).cast("int") + F.size(used)), lambda n: ~F.array_contains(used, n)), (need - 1).cast("int"))
-    moved = F.when(need < 1, F.col("source_file")).otherwise(F.concat("_stem", F.lit("_"), F.format_string("%03d", free), "_ext"))
+    given = given.join(clash, "source_file", "left").select(
+        *given.columns, names.stem(F.col("source_file")).alias("_stem"), names.suffix(F.col("source_file")).alias("_ext"),
+        (F.col("_k") - F.when(F.col("_clash"), 0).otherwise(1)).alias("need"))  # which free number; none for the first of a free name
+    # a number of more digits is beyond any number of files
+    pattern = r"^(.+)_(\d{3}|[1-9]\d{3,17})(\.[^.]*)?$"
+    used = taken.filter(name.rlike(pattern)).select(
+        F.regexp_extract(name, pattern, 1).alias("_stem"), F.regexp_extract(name, pattern, 3).alias("_ext"),
+        F.regexp_extract(name, pattern, 2).cast("bigint").alias("number")).filter("number > 0").distinct()
+    more = ranks.nth_free(given.filter("need > 0"), used, ["_stem", "_ext"])
+    moved = (given.filter("need < 1").withColumn("moved", F.col("source_file")).unionByName(
+        more.withColumn("moved", F.concat("_stem", F.lit("_"), F.lpad(F.col("free").cast("string"), F.greatest(F.length(F.col("free").cast("string")), F.lit(3)), F.lit("0")), "_ext")).drop("free")))
     parts = names.parsed_name(F.col("path"))
-    return named.select(
-        F.lit("watch_folder").alias("source"), "source_file", F.concat(F.lit("processing/"), moved).alias("file_path"),
+    return moved.select(
+        F.lit("watch_folder").alias("source"), "source_file", F.concat(F.lit("processing/"), "moved").alias("file_path"),
         parts["drawing_no"].alias("drawing_no"), parts["revision"].alias("revision"), F.lit("pending").alias("status"),
-        F.lit(0).alias("retry_count"), (at if at is not None else F.col("stable_at")).alias("created_at"))
+        F.lit(0).alias("retry_count"), (at if at is not None else F.col("stable_at")).alias("created_at"), *keep)
 
 
 def record_listing(spark: SparkSession, folder: str, log: str, at_us: int, pattern: str = "*") -> None:
@@ -124,42 +128,54 @@ def observed(spark: SparkSession, log: str, listings_per_batch: int = 10) -> Dat
             .option("latestFirst", False).parquet(f"{log}/at=*"))
 
 
-def stable_stream(observations: DataFrame, stable_seconds: float = STABLE_SECONDS, forget_after: str = "1 day") -> DataFrame:
-    """Stable files of a stream of observations. A path that vanished, or is not seen for ``forget_after``, is dropped
-    from the state."""
+def _column(parts: list[pd.DataFrame], name: str) -> np.ndarray:
+    whole = pd.concat([p[name] for p in parts], ignore_index=True)
+    if name == "seen_at":
+        return whole.to_numpy("datetime64[us]").astype("int64")
+    return whole.astype("Int64").fillna(run_map.NONE).to_numpy("int64")
+
+
+def stable_stream(observations: DataFrame, stable_seconds: float = STABLE_SECONDS, forget_after: str = "1 day", late: str | None = None) -> DataFrame:
+    """Changes of the stable files of a stream of observations, which may come in any order (for ``update`` mode).
+
+    A row gives the time at which an unchanged run (path, run_start) became stable; without a time it takes back an earlier
+    row, as an observation that came later showed that the run began or ended otherwise. What holds is the last row of
+    each run, and is what ``stable_runs`` gives for all observations so far. A path's state is dropped when nothing of it
+    has come for ``forget_after`` by the clock. A path that is seen all the time needs ``late`` for a bounded state:
+    observations that much earlier than its latest one, or more, are then too late to count."""
     wait = int(stable_seconds * 1_000_000)
     forget_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000)
+    late_us = None if late is None else int(pd.Timedelta(late).total_seconds() * 1_000_000)
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        size, mtime, start, done, latest = state.get if state.exists else (None, None, None, False, 0)
-        # one path's observations of one batch: as many as the batch has listings
-        parts = [(b["seen_at"].to_numpy("datetime64[us]").astype("int64"), b["obs_seq"].to_numpy(), b["size_bytes"].astype("Int64"), b["mtime_us"].astype("Int64")) for b in batches]
-        seen, order, sizes, mtimes = (np.concatenate([p[k] for p in parts]) if k < 2 else pd.concat([p[k] for p in parts], ignore_index=True) for k in range(4))
-        out = []
-        for i in np.lexsort((order, seen)):
-            at, now = int(seen[i]), (sizes[i], mtimes[i])
-            latest = max(latest, at)
-            if pd.isna(now[0]):
-                size, mtime, start, done = None, None, None, False
-                continue
-            now = (int(now[0]), None if pd.isna(now[1]) else int(now[1]))
-            if start is None or (size, mtime) != now:
-                (size, mtime), start, done = now, at, False
-            elif not done and at - start >= wait:
-                done = True
-                out.append((key[0], pd.Timestamp(start, unit="us"), pd.Timestamp(at, unit="us"), size))
-        if start is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((size, mtime, start, done, latest))
-            state.setTimeoutTimestamp(max(latest // 1000 + forget_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["path", "run_start", "stable_at", "size_bytes"])
-
-    return (observations.withWatermark("seen_at", "10 minutes").groupBy("path").applyInPandasWithState(
+        runs = run_map.unpacked(*state.get) if state.exists else []
+        parts = list(batches)  # one path's observations of one batch
+        seen = run_map.Observations(*(_column(parts, c) for c in ("seen_at", "obs_seq", "size_bytes", "mtime_us")))
+        if late_us is not None and runs:
+            seen = seen.taken(seen.times > runs[-1].times[-1] - late_us)
+        went, came = [], []
+        if len(seen.times):
+            runs, went, came = run_map.merged(runs, seen)
+        if late_us is not None:
+            runs = run_map.compacted(runs, wait, late_us)
+        state.update(run_map.packed(runs))
+        state.setTimeoutDuration(forget_ms)
+        before, now = ({int(r.times[0]): (r.stable_at(wait), r.size) for r in rs if r.stable_at(wait) is not None} for rs in (went, came))
+        changes = [(start, *now.get(start, (None, None))) for start in sorted({*before, *now}) if before.get(start) != now.get(start)]
+        if changes:
+            start, at, size = zip(*changes)
+            yield pd.DataFrame({"path": key[0], "run_start": pd.to_datetime(list(start), unit="us"), "stable_at": pd.to_datetime(pd.array(at, dtype="Int64"), unit="us"),
+                                "size_bytes": pd.array(size, dtype="Int64")})
+
+    return observations.groupBy("path").applyInPandasWithState(
         follow, "path string, run_start timestamp, stable_at timestamp, size_bytes bigint",
-        "size bigint, mtime bigint, start bigint, done boolean, latest bigint", "append", GroupStateTimeout.EventTimeTimeout))
+        "sizes array<bigint>, mtimes array<bigint>, counts array<bigint>, times binary, numbers binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def settled_runs(changes: DataFrame) -> DataFrame:
+    """What holds after all batches of ``stable_stream`` (with the column ``batch``): path, run_start, stable_at, size_bytes."""
+    last = changes.groupBy("path", "run_start").agg(F.max_by(F.struct("stable_at", "size_bytes"), "batch").alias("s"))
+    return last.select("path", "run_start", "s.*").filter("stable_at IS NOT NULL")

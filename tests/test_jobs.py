@@ -183,7 +183,21 @@ def test_watched_folder(spark, tmp_path):
     assert shown(watch.stable_runs(table).collect()) == want
     for per_batch in (1, 10):
         stream = watch.stable_stream(watch.observed(spark, log, per_batch))
-        assert shown(run_to_table(stream, "append").collect()) == want
+        assert shown(watch.settled_runs(run_to_table(stream, "update")).collect()) == want
+    from drawmark.streaming import inbox as inboxes
+    queue = str(tmp_path / "queue")
+    (inbox / "processing").mkdir()
+    for _ in range(2):  # a second run finds all of it queued
+        inboxes.queue_stream(watch.observed(spark, log, 2), queue).awaitTermination()
+        rows = inboxes.queue_rows(spark, queue).collect()
+        assert sorted(r["file_path"] for r in rows) == [f"processing/{n}" for n, *_ in want]
+    changes = watch.settled_runs(run_to_table(watch.stable_stream(watch.observed(spark, log, 9)), "update"))
+    more = changes.withColumn("path", F.concat(F.lit("elsewhere/"), F.col("path")))
+    last = max(r["batch"] for r in rows) + 1
+    for _ in range(2):  # a repeated batch replaces its rows
+        inboxes.queue_batch(more, last, queue)
+        named = sorted(r["file_path"] for r in inboxes.queue_rows(spark, queue).filter(F.col("batch") == last).collect())
+        assert named == [f"processing/{n[:-4]}_001.tif" for n, *_ in want]
 
 
 def test_listings_by_trigger(spark, tmp_path):

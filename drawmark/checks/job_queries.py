@@ -399,11 +399,12 @@ def q12(spark, sf):
     return out.select("file_name", "method", "total", F.array_join(F.transform("replacements", lambda r: F.concat(r["old_text"], F.lit(">"), r["new_text"])), ",").alias("pairs"))
 
 
-@query("Q12_scanned_pdf", f"""SELECT file_name, method, CAST(0 AS BIGINT) AS total FROM {_ROUTED} WHERE file_id = (SELECT min(file_id) FROM {_ROUTED} WHERE method = 'ocr' AND file_name LIKE '%.pdf')""", FILES)
+@query("Q12_scanned_pdf", REPLACED + f""", rt AS {_ROUTED}, one AS (SELECT * FROM rt WHERE file_id = (SELECT min(file_id) FROM rt WHERE method = 'ocr' AND file_name LIKE '%.pdf' AND substr(file_name, 1, 1) NOT IN ('Y', 'B')))
+   SELECT any_value(one.file_name) AS file_name, any_value(one.method) AS method, count(old_text) AS total FROM one LEFT JOIN rep ON page_id = file_id""", (*RV, "drawing_files"))
 def q12_scanned_pdf(spark, sf):
     """A PDF without text of its own went through recognition."""
     from drawmark.plans.drawings import single_result
     routed = files.routed(view(spark, sf, "drawing_files"))
-    chosen = routed.filter((F.col("method") == "ocr") & F.col("file_name").endswith(".pdf")).agg(F.min("file_id")).scalar()
-    none = replacements(spark, sf).limit(0)
-    return single_result(routed.filter(F.col("file_id") == chosen), none).select("file_name", "method", "total")
+    chosen = routed.filter((F.col("method") == "ocr") & F.col("file_name").endswith(".pdf") & ~F.substring("file_name", 1, 1).isin("Y", "B")).agg(F.min("file_id")).scalar()
+    every = replacements(spark, sf, lambda df: df.filter(F.col("page_id") == chosen))
+    return single_result(routed.filter(F.col("file_id") == chosen), every).select("file_name", "method", "total")

@@ -251,5 +251,6 @@ def ranked_numbers(items: DataFrame, outside: Column, prefixes: Sequence[str] |
         candidate(2, F.col("after_number"), readings.cropped_from(box, F.col("offset"), F.length("text")).columns(), F.col("after_number").isNotNull()),
         candidate(3, F.col("loose"), loose_box, F.col("loose").isNotNull()),
         candidate(4, none, readings.estimated_number_box(F.col("text"), box).columns(), F.col("skip") > 0))
-    best = read.select("page_id", choices.alias("c")).filter("c IS NOT NULL").groupBy("page_id").agg(F.min("c").alias("c"))
+    # a filter before the aggregate would move below the steps above and repeat all of their expressions
+    best = read.select("page_id", choices.alias("c")).groupBy("page_id").agg(F.min("c").alias("c")).filter("c IS NOT NULL")
     return best.select("page_id", "c.strategy", "c.number", *[f"c.{n}" for n in corners])

@@ -43,17 +43,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the one that the session names. A session on one machine that names none gets a
-    temporary one, removed at exit; on a cluster that is an error, as machines do not share such a folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for checkpoints: the one that the session names. A session on one machine that names none, as in
+    tests, gets one of its own, removed at exit; on a cluster that is an error, as machines do not share such a folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="drawmark-ckpt-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 

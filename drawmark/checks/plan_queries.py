@@ -16,7 +16,7 @@ from drawmark.operators import cells, keywords, overlap, regions, tables
 from drawmark.operators import items as item_ops
 from drawmark.operators.profiles import peaks
 from drawmark.plans import drawings
-from drawmark.session import settled
+from drawmark.session import by_page, settled
 from drawmark.settings import COLUMN_CHECK_KEYWORDS, COLUMN_CHECK_THRESHOLD, MATERIAL_KEYWORDS, MATERIAL_THRESHOLD
 from drawmark.sources import files
 from drawmark.sources.views import line_profile, view
@@ -219,16 +219,13 @@ def q8(spark, sf):
     return left.groupBy("page_id").agg(F.count("*").alias("n_outside"))
 
 
-def all_regions(spark, sf):
-    return drawings.detected_regions(view(spark, sf, "page_sizes"), items(spark, sf), headers(spark, sf), segs(spark, sf), strong_profile(spark, sf))
-
-
 @query("Q9")
 def q9(spark, sf):
     """All regions of each page, and how many note codes it has."""
-    found = settled(all_regions(spark, sf))
+    pages, texts, drawn = (by_page(df) for df in (view(spark, sf, "page_sizes"), items(spark, sf), segs(spark, sf)))
+    found = by_page(drawings.detected_regions(pages, texts, headers(spark, sf), drawn, strong_profile(spark, sf)), placed=True)
     named = drawings.as_regions(found, view(spark, sf, "drawing_files"))
-    codes = drawings.detected_note_codes(named, view(spark, sf, "page_sizes"), items(spark, sf), view(spark, sf, "components"), table_boxes(spark, sf), segs(spark, sf))
+    codes = drawings.detected_note_codes(named, pages, texts, view(spark, sf, "components"), table_boxes(spark, sf), drawn)
     counts = codes.groupBy("page_id").agg(F.count("*").alias("n_note_codes"))
     return found.join(counts, "page_id", "left").withColumn("n_note_codes", F.coalesce("n_note_codes", F.lit(0).cast("bigint")))
 

@@ -13,7 +13,7 @@ from drawmark.operators import cells, jobs, keywords, lines, overlap, regions, r
 from drawmark.operators import items as item_ops
 from drawmark.operators.profiles import peaks as ink_peaks
 from drawmark.operators.regions import suppressed
-from drawmark.session import settled
+from drawmark.session import by_page, settled
 from drawmark.sources import box_csv, logs
 from drawmark.streaming import watch
 
@@ -66,8 +66,9 @@ def column_extents(segments: DataFrame, columns: DataFrame) -> DataFrame:
 
 def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pages: DataFrame) -> DataFrame:
     """Number column of each page: header keyword, neighbours, lines, extent, rows, content check, label fix."""
+    items, segments, profile, pages = (by_page(df) for df in (items, segments, profile, pages))
     headers = header_candidates(items)
-    matches = settled(keywords.header_matches(headers))
+    matches = by_page(keywords.header_matches(headers))
     anchors = keywords.neighbour_anchors(items, matches)
     spikes = ink_peaks(profile, 1, 10).groupBy("page_id").agg(F.array_sort(F.collect_set("centre")).alias("peaks"))
     empty = F.expr("CAST(array() AS array<struct<pos:int,lo:int,hi:int,len:int>>)")
@@ -77,7 +78,7 @@ def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pa
              .join(merged_lines(segments), "page_id", "left").join(spikes, "page_id", "left")
              .withColumn("h_spans", F.coalesce("h_spans", empty)).withColumn("v_spans", F.coalesce("v_spans", empty))
              .withColumn("peaks", F.coalesce("peaks", lines.ints())))
-    placed = settled(cells.column_lines(facts))
+    placed = by_page(cells.column_lines(facts), placed=True)
     interval = F.when(F.col("level") < 4, cells.column_interval(F.col("lines"), F.col("kw_cx"), F.col("def_cx"), F.col("group_cx"), F.col("lines"))
                       ).otherwise(F.struct(F.col("own_left").alias("a"), F.col("own_right").alias("b")))
     placed = placed.withColumn("col", interval).filter("col IS NOT NULL")
@@ -114,8 +115,8 @@ def locate_columns(items: DataFrame, segments: DataFrame, profile: DataFrame, pa
     again = again.withColumn("_rows", rows_between("_lo", "_hi"))
     top, bottom = lines.data_rows(F.col("_rows"), F.col("kw_cy"), F.col("_lo"), F.col("_hi"))
     low = F.col("_bottom") - F.col("_top") < MIN_COLUMN_HEIGHT
-    columns = settled(again.select("page_id", F.col("col.a").alias("x1"), F.when(low, top).otherwise(F.col("_top")).alias("y1"),
-                                   F.col("col.b").alias("x2"), F.when(low, bottom).otherwise(F.col("_bottom")).alias("y2")))
+    columns = by_page(again.select("page_id", F.col("col.a").alias("x1"), F.when(low, top).otherwise(F.col("_top")).alias("y1"),
+                                   F.col("col.b").alias("x2"), F.when(low, bottom).otherwise(F.col("_bottom")).alias("y2")), placed=True)
     valid = keywords.checked_columns(columns, items, matches).filter("valid").drop("valid")
     return item_ops.shift_left_edge(valid, items)
 
@@ -132,9 +133,19 @@ def search_bottom_right(items: DataFrame, segments: DataFrame, profile: DataFram
                         prefixes: Sequence[str] | None = None) -> DataFrame:
     """Bottom-right number in stages: whole area (0: trimmed at a line, 1: as read, 2: read again with more room), then the
     crops by the third (3, again: 4) and by the second long line (5, again: 6)."""
-    hits = item_ops.number_hits(items, prefixes).select("page_id", "seq", "number", "area", "tight", *CORNERS)
+    items, segments, profile, pages = (by_page(df) for df in (items, segments, profile, pages))
+    return staged_search(by_page(page_hits(items, prefixes), placed=True), by_page(merged_lines(segments), placed=True), profile, pages)
+
+
+def page_hits(items: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """Numbers of the items with their tight boxes and the items' corners."""
+    return item_ops.number_hits(items, prefixes).select("page_id", "seq", "number", "area", "tight", *CORNERS)
+
+
+def staged_search(hits: DataFrame, spans: DataFrame, profile: DataFrame, pages: DataFrame) -> DataFrame:
+    """``search_bottom_right`` on the numbers (``page_hits``) and merged lines (``merged_lines``) of the pages, all stored by page."""
     whole = item_ops.first_per(hits, ["page_id"], [-F.col("area"), F.col("seq")], ["seq", "number", "tight"])
-    boxed = settled(whole.select("page_id", "seq", "number", "tight.*"))
+    boxed = by_page(whole.select("page_id", "seq", "number", "tight.*"), placed=True)
     line_x = cells.right_lines(boxed, profile, pages).select("page_id", "line_x")
     cut, cut_box = trim_at_line(F.col("number"), Box.corners(), F.col("line_x"))
     trimmed = (boxed.join(line_x, "page_id").filter((F.col("line_x") < F.col("x2") - 5) & (F.col("x2") > F.col("x1")))
@@ -144,9 +155,7 @@ def search_bottom_right(items: DataFrame, segments: DataFrame, profile: DataFram
     room, wide = widened(F.col("number"), Box.corners(), F.col("img_w"), F.col("img_h"))
     again = (boxed.join(pages, "page_id").filter(F.length("number") >= 7)
              .select("page_id", room.alias("room"), wide.pack().alias("wide")).withColumn("wide", F.when(F.col("room") > 0, F.col("wide"))))
-    long = lines.page_spans(segments).select(
-        "page_id", lines.long_lines(lines.merge_spans(F.col("h_spans"), 10), False).alias("h_long"),
-        lines.long_lines(lines.merge_spans(F.col("v_spans"), 10), True).alias("v_long"))
+    long = spans.select("page_id", lines.long_lines(F.col("h_spans"), False).alias("h_long"), lines.long_lines(F.col("v_spans"), True).alias("v_long"))
     crops = (pages.join(long, "page_id", "left").withColumn("h_long", F.coalesce("h_long", lines.ints())).withColumn("v_long", F.coalesce("v_long", lines.ints()))
              .select("page_id", *[lines.nth_crop(F.col("v_long"), F.col("h_long"), r, r, F.col("img_w"), F.col("img_h")).alias(f"crop{r}") for r in (3, 2)]))
     areas = crops.join(again.select("page_id", "wide"), "page_id", "left")
@@ -174,18 +183,20 @@ def bottom_right_numbers(items: DataFrame, segments: DataFrame, profile: DataFra
                          prefixes: Sequence[str] | None = None) -> DataFrame:
     """Bottom-right number with its box: a first search, a crop around its cell, a second search, the merge
     with the cell found there. Where the second search fails the first result is clipped to its cell."""
-    first = settled(search_bottom_right(items, segments, profile, pages, prefixes))
-    spans = pages.join(merged_lines(segments), "page_id", "left")
-    cell = cells.strict_cells(first, spans)
+    items, segments, profile, pages = (by_page(df) for df in (items, segments, profile, pages))
+    # both searches look at the same numbers and lines
+    hits, spans = by_page(page_hits(items, prefixes), placed=True), by_page(merged_lines(segments), placed=True)
+    first = by_page(staged_search(hits, spans, profile, pages), placed=True)
+    cell = cells.strict_cells(first, pages.join(spans, "page_id", "left"))
     c = Box.corners("cell_")
     crop = cell.select("page_id", F.greatest(F.lit(0), c.x1 - boxes.whole(c.w * 0.25)).alias("crop_x"),
                        F.greatest(F.lit(0), c.y1 - boxes.whole(c.h * 0.25)).alias("crop_y"))
     box = Box.corners()
-    inside = items.join(crop, "page_id").filter((box.x1 >= F.col("crop_x")) & (box.y1 >= F.col("crop_y"))).select(*items.columns)
-    second = search_bottom_right(inside, segments, profile, pages, prefixes)
+    inside = hits.join(crop, "page_id").filter((box.x1 >= F.col("crop_x")) & (box.y1 >= F.col("crop_y"))).select(*hits.columns)
+    second = staged_search(by_page(inside, placed=True), spans, profile, pages)
     drawn = cells.enclosing_cells(second, lines.page_lines(segments))
     merged = boxes.merge_with_cell(Box.corners(), Box.corners("cell_"), clip_right=True)
-    better = settled(drawn.select("page_id", "number", "stage", *merged.columns()))
+    better = by_page(drawn.select("page_id", "number", "stage", *merged.columns()), placed=True)
     clipped = boxes.merge_with_cell(Box.corners(), c, clip_right=True)
     plain = cell.select("page_id", "number", "stage", *clipped.columns())
     return better.unionByName(plain.join(better, "page_id", "left_anti"))
@@ -209,14 +220,14 @@ def note_crops(components: DataFrame, pages: DataFrame, table_boxes: DataFrame)
     kept = classed.filter(regions.usable_component())
     corners = Box.sized(*[F.col(c) for c in "xywh"]).columns()
     found = kept.select("page_id", F.col("cc_id").alias("seq"), "class", *corners)
-    merged = settled(overlap.merged_boxes(found.filter(F.col("class").isin("text", "block"))))
+    merged = by_page(overlap.merged_boxes(found.filter(F.col("class").isin("text", "block"))))
     median = regions.text_gaps(classed).select("page_id", F.greatest(F.col("median_h") * 2, F.lit(30)).alias("reach"))
     grown = overlap.absorbed_lines(merged, found.filter("class = 'line'"), median)
     box = Box.corners()
     # accepted tables are apart from each other and 30 px or more on a side, so a page holds few of them
     tabled = table_boxes.groupBy("page_id").agg(F.collect_set(F.struct(*CORNERS)).alias("tables"))
     in_table = F.coalesce(F.exists("tables", lambda t: box.covered_by(Box.struct(t)) > 0.5), F.lit(False))
-    free = settled(grown.join(tabled, "page_id", "left").filter(~in_table).join(pages, "page_id")
+    free = by_page(grown.join(tabled, "page_id", "left").filter(~in_table).join(pages, "page_id")
             .filter(~regions.small_at_edge(box, F.col("img_w"), F.col("img_h"))).select("page_id", "seq", *CORNERS))
     return overlap.without_nested(free).filter(regions.large_enough(box))
 
@@ -292,25 +303,29 @@ def detected_regions(pages: DataFrame, items: DataFrame, headers: DataFrame, seg
                      prefixes: Sequence[str] | None = None) -> DataFrame:
     """All regions of each page in one row: number column, bottom-right number (from the line grid where none
     was read) and top-left number. Each search sees the lines, the ink and the size of its own area only."""
+    pages, items, headers, segments, profile = (by_page(df) for df in (pages, items, headers, segments, profile))
     upright = regions.landscape(pages)
     sized = upright.select("page_id", "img_w", "img_h")
     frame = lines.frame_boxes(segments, sized).select("page_id", *[F.col(c).alias(f"f{c}") for c in CORNERS])
     searched = sized.join(frame, "page_id")
     no_red = Box(*[F.lit(None).cast("int")] * 4)
     first = regions.search_areas(F.col("img_w"), F.col("img_h"), Box.corners("f"), no_red)
-    both = settled(searched.select("page_id", first["red"].pack().alias("red_area"), first["green"].pack().alias("green_area")))
+    both = by_page(searched.select("page_id", first["red"].pack().alias("red_area"), first["green"].pack().alias("green_area")), placed=True)
     red_area, green_area = (both.select("page_id", F.col(f"{n}_area").alias("area")) for n in ("red", "green"))
-    red = moved_back(locate_columns(cut_items(headers, red_area), cut_segments(segments, red_area), cut_profile(profile, red_area), area_sizes(red_area)), red_area, "red")
-    green_lines = cut_segments(segments, green_area)
-    green = bottom_right_numbers(cut_items(items, green_area), green_lines, cut_profile(profile, green_area), area_sizes(green_area), prefixes)
+    def cut(df: DataFrame) -> DataFrame:
+        return by_page(df, placed=True)
+    red = locate_columns(cut(cut_items(headers, red_area)), cut(cut_segments(segments, red_area)), cut(cut_profile(profile, red_area)), cut(area_sizes(red_area)))
+    red = moved_back(red, red_area, "red")
+    green_lines = cut(cut_segments(segments, green_area))
+    green = bottom_right_numbers(cut(cut_items(items, green_area)), green_lines, cut(cut_profile(profile, green_area)), cut(area_sizes(green_area)), prefixes)
     green = moved_back(green.select("page_id", F.col("number").alias("green_text"), *CORNERS), green_area, "green")
     grid = area_sizes(green_area).join(lines.page_lines(green_lines), "page_id", "left").withColumn("hs", F.coalesce("hs", lines.ints())).withColumn("vs", F.coalesce("vs", lines.ints()))
     spare = grid.select("page_id", *lines.fallback_cell(F.col("hs"), F.col("vs"), F.col("img_w"), F.col("img_h")).columns(""))
     spare = moved_back(spare, green_area, "spare")
-    red = settled(red)
+    red = cut(red)
     known = searched.join(red, "page_id", "left")
     orange_area = regions.search_areas(F.col("img_w"), F.col("img_h"), Box.corners("f"), Box.corners("red_"))["orange"]
-    top_left = settled(known.select("page_id", orange_area.pack().alias("area")))
+    top_left = cut(known.select("page_id", orange_area.pack().alias("area")))
     no_column = sized.select("page_id", *[F.lit(None).cast("int").alias(f"red_{c}") for c in "xywh"])
     orange = top_left_numbers(cut_items(items, top_left), cut_segments(segments, top_left), no_column, prefixes)
     orange = moved_back(orange.select("page_id", F.col("number").alias("orange_text"), *CORNERS), top_left, "orange")
@@ -328,8 +343,9 @@ def detected_note_codes(found: DataFrame, pages: DataFrame, items: DataFrame, co
     ``found``: regions as left, top, width, height (``as_regions``). The area lies above the bottom-right and right of the
     top-left number. Border lines do not count; what lies below a line across the page goes, unless the number column
     starts there; where there is a number column, the zone of the table at the top left is left out."""
+    pages, items, components, table_boxes, segments = (by_page(df) for df in (pages, items, components, table_boxes, segments))
     area = regions.note_areas(found, pages)
-    inner = settled(area.select("page_id", F.col("red_y1").alias("red_top"), Box(F.col("fn_left"), F.col("fn_top"), F.col("fn_right"), F.col("fn_bottom")).pack().alias("area")))
+    inner = by_page(area.select("page_id", F.col("red_y1").alias("red_top"), Box(F.col("fn_left"), F.col("fn_top"), F.col("fn_right"), F.col("fn_bottom")).pack().alias("area")))
     areas = inner.select("page_id", "area")
     sizes = area_sizes(areas)
 
@@ -340,23 +356,23 @@ def detected_note_codes(found: DataFrame, pages: DataFrame, items: DataFrame, co
         return (df.join(limit.withColumnRenamed("area", "within"), "page_id").filter(a.has_point(centre.cx, centre.cy))
                 .withColumns({"x": (F.col("x") - a.x1).cast("int"), "y": (F.col("y") - a.y1).cast("int")}).select(*df.columns))
 
-    lines_in = cut_segments(segments.select("page_id", "axis", "pos", "start_px", "end_px"), areas)
+    lines_in = by_page(cut_segments(segments.select("page_id", "axis", "pos", "start_px", "end_px"), areas), placed=True)
     border = regions.border_segments(lines_in, sizes).select(*lines_in.columns).distinct()
     lines_in = lines_in.join(border, lines_in.columns, "left_anti")
     closing = tables.bottom_span(parts(components, areas), sizes).filter("y_cut > 0")
     a = Box.struct(F.col("area"))
     kept_to = F.when(F.col("y_cut").isNotNull() & ~F.coalesce(F.col("red_top") >= F.col("y_cut"), F.lit(False)), a.y1 + F.col("y_cut")).otherwise(a.y2)
-    cut = settled(inner.join(closing, "page_id", "left").select("page_id", "red_top", Box(a.x1, a.y1, a.x2, kept_to).pack().alias("area")))
+    cut = by_page(inner.join(closing, "page_id", "left").select("page_id", "red_top", Box(a.x1, a.y1, a.x2, kept_to).pack().alias("area")), placed=True)
     areas = cut.select("page_id", "area")
     sizes = area_sizes(areas)
     zones = tables.table_zones(lines_in.join(sizes, "page_id").filter((F.col("axis") == "v") | (F.col("pos") < F.col("img_h"))).select(*lines_in.columns), sizes)
-    zones = settled(zones.join(cut.filter("red_top IS NOT NULL").select("page_id"), "page_id", "left_semi").select("page_id", "zone_right", "zone_bottom"))
+    zones = by_page(zones.join(cut.filter("red_top IS NOT NULL").select("page_id"), "page_id", "left_semi").select("page_id", "zone_right", "zone_bottom"), placed=True)
     boxes_in = cut_items(table_boxes.select("page_id", *CORNERS), areas)
     inside = parts(components, areas)
     padded = zones.select("page_id", (F.col("zone_right") + 3).alias("zone_right"), (F.col("zone_bottom") + 3).alias("zone_bottom"))
     centre = Box.sized(*[F.col(c) for c in "xywh"])
     erased = (centre.cx <= F.col("zone_right")) & (centre.cy <= F.col("zone_bottom"))
-    inside = settled(inside.join(padded, "page_id", "left").filter(~F.coalesce(erased, F.lit(False))).select(*components.columns))
+    inside = by_page(inside.join(padded, "page_id", "left").filter(~F.coalesce(erased, F.lit(False))).select(*components.columns), placed=True)
     codes = note_codes(cut_items(items, areas), inside, sizes, boxes_in, zones)
     return moved_back(codes, areas, "at").select("page_id", "token", *[F.col(f"at_{c}").alias(c) for c in CORNERS])
 

@@ -5,6 +5,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,24 @@ def settled(df: DataFrame) -> DataFrame:
     and a lost executor does not bring it back. For narrow results such as one row per page."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def by_page(df: DataFrame, key: str = "page_id", placed: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as a table bucketed by ``key``: joins and aggregates on the key read it without
+    an exchange, also together with other such tables. ``placed``: the rows are dealt by the key already, as those of
+    other such tables and what is derived from them are. A table that comes from here is returned as it is.
+
+    A key's rows are read by one task, row after row."""
+    if getattr(df, "_bucketed_by", None) == key:
+        return df
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"drawmark_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    dealt = df if placed else df.repartition(n, key)
+    dealt.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    table = spark.table(name)
+    table._bucketed_by = key
+    return table

@@ -200,6 +200,42 @@ def test_watched_folder(spark, tmp_path):
         assert named == [f"processing/{n[:-4]}_001.tif" for n, *_ in want]
 
 
+def test_listings_as_a_source(spark, tmp_path):
+    """Batches as the folder changes, a start from the checkpoint, and a log that does not grow."""
+    import os
+
+    from drawmark.streaming.listings import listing_stream, listing_times
+    inbox, log, out, start = tmp_path / "inbox", str(tmp_path / "log"), str(tmp_path / "out"), int(T0.timestamp() * 1_000_000)
+    inbox.mkdir()
+
+    def put(name, size, at):
+        (inbox / name).write_bytes(b"x" * size)
+        os.utime(inbox / name, (1_700_000_000 + at, 1_700_000_000 + at))
+
+    def processed():
+        changes = watch.stable_stream(listing_stream(spark, log))
+        query = (changes.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+                 .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")).start())
+        query.awaitTermination()
+
+    put("calm.tif", 3, 0), put("grows.tif", 1, 0), put("gone.tif", 2, 0), put("same_size.tif", 5, 0)
+    for second in (0, 2, 3, 5, 6.5, 10):
+        if second == 2:
+            put("grows.tif", 4, 2), (inbox / "gone.tif").unlink()
+        if second == 3:
+            put("same_size.tif", 5, 3), put("gone.tif", 2, 0)
+        watch.record_listing(spark, str(inbox), log, start + int(second * 1_000_000))
+        if second in (2, 5, 10):
+            processed()  # each time from the checkpoint
+            assert len(listing_times(log)) <= 3
+    watch.record_listing(spark, str(inbox), log, start + 12_000_000)
+    processed()
+    assert len(listing_times(log)) <= 2
+    found = watch.settled_runs(spark.read.parquet(out)).collect()
+    assert sorted((r["path"].split("/")[-1], (r["run_start"] - T0).total_seconds(), (r["stable_at"] - T0).total_seconds()) for r in found) == [
+        ("calm.tif", 0, 3), ("gone.tif", 3, 6.5), ("grows.tif", 2, 5), ("same_size.tif", 3, 6.5)]
+
+
 def test_listings_by_trigger(spark, tmp_path):
     import time
     (tmp_path / "inbox").mkdir()

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from drawmark.checks.catalog import query
-from drawmark.checks.geometry_queries import _J2, classified, items, segs, zones
+from drawmark.checks.geometry_queries import _CLASS, _J2, CP, classified, items, segs, zones
 from drawmark.checks.job_queries import _CENTRE, _ROUTED, _STABLE, _STATE, REPLACED, note_codes, replacements
 from drawmark.checks.line_queries import _A10, _ALL, _SPANS
 from drawmark.checks.text_queries import _SPAN_CODE, ext, stem
@@ -101,7 +101,15 @@ def j12(spark, sf):
     return overlap.crop_hits(view(spark, sf, "crop_hits"))
 
 
-@query("J15")
+@query("J15", _SPANS.format(gap=10) + """, c AS (SELECT page_id, red_x + red_w AS x2, red_y + red_h AS y2 FROM page_regions WHERE red_x IS NOT NULL AND red_x + red_w >= 30 AND red_y + red_h >= 30),
+   part AS (SELECT page_id, axis, pos, greatest(lo, 0) AS lo, least(hi, CASE axis WHEN 'h' THEN x2 ELSE y2 END) AS hi, CASE axis WHEN 'h' THEN x2 ELSE y2 END AS side
+     FROM c JOIN merged USING (page_id) WHERE pos >= 0 AND pos < CASE axis WHEN 'h' THEN y2 ELSE x2 END),
+   long AS (SELECT page_id, axis, pos - lag(pos) OVER (PARTITION BY page_id, axis ORDER BY pos) AS gap FROM part WHERE hi > lo AND hi - lo > side * 0.5),
+   bands AS (SELECT page_id, CAST(count(*) FILTER (axis = 'h' AND (gap IS NULL OR gap > 3)) AS INTEGER) AS h_bands, CAST(count(*) FILTER (axis = 'v' AND (gap IS NULL OR gap > 3)) AS INTEGER) AS v_bands FROM long GROUP BY page_id),
+   met AS (SELECT h.page_id, CAST(count(*) AS INTEGER) AS crossings FROM part h JOIN part v ON h.page_id = v.page_id AND h.axis = 'h' AND v.axis = 'v' AND h.lo <= v.pos AND v.pos <= h.hi AND v.lo <= h.pos AND h.pos <= v.hi
+     WHERE h.hi > h.lo AND v.hi > v.lo GROUP BY h.page_id)
+   SELECT page_id, CAST(0 AS INTEGER) AS x1, CAST(0 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2, h_bands, v_bands, crossings
+   FROM c JOIN bands USING (page_id) JOIN met USING (page_id) WHERE h_bands >= 3 AND v_bands >= 3 AND crossings >= 4""", ("line_segments", "page_regions"))
 def j15(spark, sf):
     found = view(spark, sf, "page_regions").filter("red_x IS NOT NULL").select("page_id", *Box(F.lit(0), F.lit(0), F.col("red_x") + F.col("red_w"), F.col("red_y") + F.col("red_h")).columns())
     return tables.accepted_tables(found, drawings.merged_lines(segs(spark, sf)))
@@ -111,14 +119,29 @@ def component_boxes(spark, sf):
     return classified(spark, sf).select("page_id", F.col("cc_id").alias("seq"), "class", *Box.sized(*[F.col(c) for c in "xywh"]).columns())
 
 
-@query("J16")
+_BOXED = f""", comp AS (SELECT page_id, cc_id AS seq, class, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM (SELECT *, {_CLASS} AS class FROM components JOIN page_sizes USING (page_id)))"""
+_HULL = "x1: least({a}.x1, {b}.x1), y1: least({a}.y1, {b}.y1), x2: greatest({a}.x2, {b}.x2), y2: greatest({a}.y2, {b}.y2)"
+# line after line, all pages at a time: d holds the squared distances to the boxes, near the first of the nearest
+_GROWN = _BOXED + f""", ln AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS k FROM comp WHERE class = 'noise'),
+   walk AS (SELECT page_id, CAST(0 AS BIGINT) AS k, coalesce(list({{seq: seq, x1: x1, y1: y1, x2: x2, y2: y2, parts: CAST(1 AS BIGINT)}} ORDER BY seq) FILTER (class <> 'noise'), []) AS b, []::BIGINT[] AS rest
+       FROM comp WHERE class IN ('text', 'block', 'noise') GROUP BY page_id
+     UNION ALL SELECT page_id, k + 1, CASE WHEN d[near] <= 900 THEN list_transform(b, lambda o, i: CASE WHEN i = near THEN {{seq: o.seq, {_HULL.format(a="o", b="ln")}, parts: o.parts + 1}} ELSE o END) ELSE b END,
+       CASE WHEN d[near] <= 900 THEN rest ELSE list_append(rest, ln.seq) END
+     FROM (SELECT *, list_position(d, list_min(d)) AS near FROM (SELECT w.*, ln, list_transform(b, lambda o: pow(greatest(0, ln.x1 - o.x2, o.x1 - ln.x2), 2) + pow(greatest(0, ln.y1 - o.y2, o.y1 - ln.y2), 2)) AS d
+       FROM walk w JOIN ln ON ln.page_id = w.page_id AND ln.k = w.k + 1))),
+   done AS (SELECT page_id, b, rest FROM walk QUALIFY k = max(k) OVER (PARTITION BY page_id)),
+   grown AS (SELECT page_id, 'box' AS kind, unnest(b, recursive := true) FROM done UNION ALL
+     SELECT page_id, 'line', seq, x1, y1, x2, y2, CAST(1 AS BIGINT) FROM comp JOIN done USING (page_id) WHERE class = 'noise' AND list_contains(rest, seq))"""
+
+
+@query("J16", _GROWN + " SELECT page_id, kind, seq, x1, y1, x2, y2, parts FROM grown", CP)
 def j16(spark, sf):
     found = component_boxes(spark, sf)
     reach = view(spark, sf, "page_sizes").select("page_id", F.lit(30).alias("reach"))
     return overlap.absorbed_lines(found.filter("class IN ('text', 'block')"), found.filter("class = 'noise'"), reach)
 
 
-@query("U3")
+@query("U3", _GROWN + " SELECT page_id, kind, x1, y1, x2, y2 FROM grown", CP)
 def u3(spark, sf):
     return j16(spark, sf).select("page_id", "kind", *CORNERS)
 
@@ -128,7 +151,18 @@ def w7(spark, sf):
     return overlap.joined_short_texts(view(spark, sf, "short_items")).drop("order")
 
 
-@query("W12")
+_MEET = "greatest(least(o.x2, n.x2) - greatest(o.x1, n.x1), 0) * greatest(least(o.y2, n.y2) - greatest(o.y1, n.y1), 0)"
+# the first pair (by the boxes' order) that overlaps becomes one box, all pages at a time, until no page has one
+_FIRST = ("list_filter(flatten(list_transform(range(1, len({b}) + 1), lambda i: list_transform(range(i + 1, len({b}) + 1), lambda j: {{p: [i, j], o: {b}[i], n: {b}[j]}}))), lambda q: "
+          + " AND ".join([_MEET.replace("o.", "q.o.").replace("n.", "q.n.") + " > 0", _MEET.replace("o.", "q.o.").replace("n.", "q.n.")
+                          + " / greatest((q.o.x2 - q.o.x1) * (q.o.y2 - q.o.y1) + (q.n.x2 - q.n.x1) * (q.n.y2 - q.n.y1) - " + _MEET.replace("o.", "q.o.").replace("n.", "q.n.") + ", 1) > 0.1"]) + ")[1].p")
+
+
+@query("W12", _BOXED + f""", st AS (SELECT page_id, list({{seq: seq, x1: x1, y1: y1, x2: x2, y2: y2, parts: CAST(1 AS BIGINT)}} ORDER BY seq) AS b FROM comp WHERE class IN ('text', 'block') GROUP BY page_id),
+   walk AS (SELECT page_id, b, {_FIRST.format(b="b")} AS p FROM st
+     UNION ALL SELECT page_id, m, {_FIRST.format(b="m")} FROM (SELECT page_id, list_filter(list_transform(b, lambda o, i: CASE WHEN i = p[1] THEN {{seq: o.seq, {_HULL.format(a="o", b="b[p[2]]")}, parts: o.parts + b[p[2]].parts}}
+       WHEN i = p[2] THEN NULL ELSE o END), lambda o: o IS NOT NULL) AS m FROM walk WHERE p IS NOT NULL))
+   SELECT page_id, unnest(b, recursive := true) FROM walk WHERE p IS NULL""", CP)
 def w12(spark, sf):
     return overlap.merged_boxes(component_boxes(spark, sf).filter("class IN ('text', 'block')"))
 

@@ -43,7 +43,7 @@ def plain(text, items, size=10):
     return len(own), sum(hit), sorted(found), spans
 
 
-@pytest.mark.parametrize("part_bytes", [64 << 20, 300])
+@pytest.mark.parametrize("part_bytes", [4 << 20, 3000])
 def test_against_plain_search(spark, part_bytes):
     random.seed(6)
     vocabulary = ["a", "b", "Cc", "d1", "été", "日本", "x"]

@@ -31,18 +31,34 @@ def _repeated(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
     return stored(bit_words(more.select(_place(bits, *keys).alias("p")), bits), "dedup-bits")
 
 
+def _refined(rows: DataFrame, prefix_chars: int, filter_bits: int) -> tuple[Column, Column]:
+    """Of ``rows`` (columns text, n_bytes): the conditions that their length, and their length and prefix, are repeated.
+
+    Both are bit sets, so a row that fails one has a text of its own; the second looks at a prefix only if the first holds."""
+    lengths = _repeated(rows.select("n_bytes"), ["n_bytes"], filter_bits)
+    same_length = bit_at(lengths.scalar(), _place(filter_bits, "n_bytes"))
+    prefix = F.xxhash64(F.substring("text", 1, prefix_chars))
+    second = rows.filter(same_length).select("n_bytes", prefix.alias("prefix_hash"))
+    prefixes = _repeated(second, ["n_bytes", "prefix_hash"], filter_bits)
+    return same_length, bit_at(prefixes.scalar(), _place(filter_bits, F.col("n_bytes"), prefix))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), _text(text_col).alias("text")).withColumn("n_bytes", F.octet_length("text"))
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS,
                      filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per text that more than one row of ``docs`` has: n_bytes, text_sha256 (hexadecimal), keep_id (the
     largest id; null only if all are null), group_size, n_at_keep (number of rows with keep_id).
 
     A null text counts as empty. Rows equal in id and text count each. No rows for an empty table."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), _text(text_col).alias("text")).withColumn("n_bytes", F.octet_length("text"))
-    prefix = F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix_hash")
-    lengths = _repeated(rows.select("n_bytes"), ["n_bytes"], filter_bits)
-    second = rows.filter(bit_at(lengths.scalar(), _place(filter_bits, "n_bytes"))).select("id", "text", "n_bytes", prefix)
-    prefixes = _repeated(second.select("n_bytes", "prefix_hash"), ["n_bytes", "prefix_hash"], filter_bits)
-    third = second.filter(bit_at(prefixes.scalar(), _place(filter_bits, "n_bytes", "prefix_hash")))
+    rows = _sized(docs, id_col, text_col)
+    return _groups(rows, _refined(rows, prefix_chars, filter_bits))
+
+
+def _groups(rows: DataFrame, refined: tuple[Column, Column]) -> DataFrame:
+    third = rows.filter(refined[0]).filter(refined[1])
     hashed = third.select("id", "n_bytes", F.sha2("text", 256).alias("text_sha256"))
     per_id = hashed.groupBy("n_bytes", "text_sha256", "id").agg(F.count("*").alias("n"))
     top = F.max(F.struct("id", "n"))
@@ -71,22 +87,27 @@ def marked_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return plain.unionByName(tied.select("doc_id", "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "text_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS,
+                 filter_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Only rows that may belong to a group of duplicates are joined; all others pass where they are read. Of several
-    rows with equal text and the kept id, any one stays."""
-    bits = options.get("filter_bits", FILTER_BITS)
-    groups = stored(duplicate_groups(docs, id_col, text_col, **options), "dedup-groups")
-    name = free_name("_sha", docs.columns)
-    hashed = docs.withColumn(name, F.sha2(_text(text_col), 256))
-    members = stored(bit_words(groups.select(_place(bits, "text_sha256").alias("p")), bits), "dedup-bits")
-    maybe = bit_at(members.scalar(), _place(bits, name))
-    keep, ties = free_name("_keep", docs.columns), free_name("_ties", docs.columns)
-    found = groups.select(F.col("text_sha256").alias(name), F.struct("keep_id").alias(keep), F.col("n_at_keep").alias(ties))
+    Only rows that may belong to a group of duplicates are joined; all others pass where they are read, and the full
+    hash is taken only of rows whose length and prefix are repeated. Of several rows with equal text and the kept id,
+    any one stays. A null text counts as empty, null ids are smaller than all others, an empty table gives none; a text
+    of any length is hashed where it is read, and columns named like intermediates keep their values."""
+    rows = _sized(docs, id_col, text_col)
+    refined = _refined(rows, prefix_chars, filter_bits)
+    groups = stored(_groups(rows, refined), "dedup-groups")
+    members = stored(bit_words(groups.select(_place(filter_bits, "text_sha256").alias("p")), filter_bits), "dedup-bits")
+    name, doc = free_name("_sha", docs.columns), F.struct(*[f"`{c}`" for c in docs.columns])
+    text = _text(text_col)
+    sized = docs.select(doc.alias("doc"), text.alias("text"), F.octet_length(text).alias("n_bytes"))
+    hashed = sized.select("doc", F.when(refined[0] & refined[1], F.sha2("text", 256)).alias(name))
+    maybe = F.col(name).isNotNull() & F.coalesce(bit_at(members.scalar(), _place(filter_bits, name)), F.lit(False))
+    found = groups.select(F.col("text_sha256").alias(name), "keep_id", "n_at_keep")
     checked = hashed.filter(maybe).join(found, name, "left").filter(
-        F.col(keep).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(f"{keep}.keep_id")))
-    tied = F.coalesce(F.col(ties), F.lit(1)) > 1
-    out = hashed.filter(~maybe).drop(name)
-    out = out.unionByName(checked.filter(~tied).select(*[f"`{c}`" for c in docs.columns]))
-    return out.unionByName(checked.filter(tied).dropDuplicates([name]).select(*[f"`{c}`" for c in docs.columns]))
+        F.col("n_at_keep").isNull() | F.col("doc").getField(id_col).eqNullSafe(F.col("keep_id")))
+    tied = F.coalesce(F.col("n_at_keep"), F.lit(1)) > 1
+    out = hashed.filter(~maybe).select("doc.*")
+    out = out.unionByName(checked.filter(~tied).select("doc.*"))
+    return out.unionByName(checked.filter(tied).dropDuplicates([name]).select("doc.*"))

@@ -20,6 +20,7 @@ from drawmark.llm.common import free_name, give_back, held
 
 WINDOW, STRIDE = 256, 250
 WIDTHS, FILTERS, EMBEDDED = (2, 4, 6), 16, 8
+ABOVE_CHANCE = 0.1  # a document's language is accepted from here, between an even guess (0) and certainty (1)
 SAMPLE = 2500  # documents of each language that the network learns from at most
 SLICE_CHARS, EPOCHS, BATCH, RATE = 320, 6, 64, 0.01
 UNKNOWN = "und"
@@ -204,9 +205,14 @@ def languages_of(docs: DataFrame, net: Network | None, text_col: str = "text") -
 
 
 def accepted(docs: DataFrame, net: Network | None, text_col: str = "text", languages: tuple[str, ...] | None = None,
-             min_score: float = 0.3) -> DataFrame:
+             above_chance: float = ABOVE_CHANCE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known (not ``und``), among ``languages`` if given,
-    and predicted with a probability of at least ``min_score``."""
+    and predicted with a probability that is ``above_chance`` of the way from an even one (1 / number of languages) to 1.
+
+    Null texts and texts without a letter go, and all rows if no network could be trained. Texts of any length are read
+    in windows; rows are judged one by one, so repeated ones alike; an empty table gives none."""
+    even = 1 / len(net.languages) if net is not None else 1.0
+    min_score = even + above_chance * (1 - even) - 1e-6  # a single language has a probability of 1
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     found = languages_of(rows, net, "text").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     if languages is not None:

@@ -8,17 +8,19 @@ at which a key is first not found tells whether it is listed, exactly for every
 Levels are built over the complete key universe of the corpus; applying them is an expression, without a join.
 
 Sizing keeps the first level's false positives about as many as the listed keys, so the whole cascade is a few
-tens of bits a listed key, whatever the corpus. Lists whose cascade would exceed ``max_filter_bytes`` are judged by
-an equi-join of the keys instead, with equal results."""
+tens of bits a listed key, whatever the corpus. Longer lists are cut by the keys' hashes into parts whose cascades take
+about ``max_filter_bytes`` each. Every part is a pass over the pages, so neither the driver nor a task holds more than
+one part, whatever the lists."""
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawmark.llm.common import ascii_lower, bit_at, bit_of, free_name, stored
+from drawmark.llm.common import ascii_lower, bit_of, free_name, stored
 
 MAX_FILTER_BYTES = 1 << 20
 RULES_SCHEMA = "rule string, verdict string"
@@ -26,8 +28,8 @@ RULES_SCHEMA = "rule string, verdict string"
 
 @dataclass(frozen=True)
 class Level:
-    """Bits of one filter in words of 64, its number of bits and of probes."""
-    words: tuple[int, ...]
+    """Bits of one filter, eight in a byte from the lowest, their number and that of probes."""
+    data: bytes
     bits: int
     probes: int
 
@@ -58,17 +60,15 @@ def _probe(key: Column, level: int, bits: int, probes: int) -> list[Column]:
     return [(first + second * i) % bits for i in range(probes)]
 
 
-def _array(level: Level) -> Column:
-    """The words as one folded constant."""
-    return F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
+def _bit_at(data: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substr(data, (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (position % 8).cast("int")) == 1
 
 
 def _in_level(key: Column, index: int, level: Level) -> Column:
-    hits = [bit_at(_array(level), p) for p in _probe(key, index, level.bits, level.probes)]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out & h
-    return out
+    # the filter is bound once, so that the plan has one copy for all probes
+    return F.exists(F.array(F.lit(level.data)), lambda data: reduce(
+        lambda a, b: a & b, [_bit_at(data, p) for p in _probe(key, index, level.bits, level.probes)]))
 
 
 def is_listed(key: Column, cascade: list[Level]) -> Column:
@@ -87,10 +87,10 @@ def _fill(keys: DataFrame, index: int, n: int, rate: float) -> Level:
     at = keys.select(F.explode(F.array(*_probe(F.col("key"), index, bits, probes))).alias("p"))
     rows = (at.groupBy(F.shiftright("p", 6).alias("word"))
             .agg(F.bit_or(bit_of(F.col("p"))).alias("bits")).collect())
-    words = [0] * (bits // 64)
+    data = bytearray(bits // 8)
     for r in rows:
-        words[r["word"]] = r["bits"]
-    return Level(tuple(words), bits, probes)
+        data[8 * r["word"]:8 * r["word"] + 8] = r["bits"].to_bytes(8, "little", signed=True)
+    return Level(bytes(data), bits, probes)
 
 
 def predicted_bytes(n_listed: int, n_universe: int) -> int:
@@ -111,9 +111,10 @@ def build_cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_unive
     taken = stored(taken, "url-keys")
     other = 0  # level 1 encodes the unlisted among them, level 2 the listed ones that level 1 holds, ...
     wrong = taken.filter(F.col("listed") == other)
+    told = n_listed  # keys that the level before encodes, which this one is asked for
     while (n := wrong.count()) > 0:
-        level = _fill(wrong, len(levels), n, 0.5)
-        levels.append(level)
+        levels.append(_fill(wrong, len(levels), n, min(0.5, max(1e-9, n * math.sqrt(0.5) / told))))
+        told = n
         other = 1 - other
         wrong = taken.filter(F.col("listed") == other)
         # of the other kind, those that have not been told apart by an earlier level
@@ -137,33 +138,38 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     path_lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect())  # at most the longest path of a rule
     kept = [f"`{c}`" for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     url = F.col(f"`{url_col}`")
-    keys_name = free_name("_keys", [*pages.columns, "host", "path", "rule", "verdict"])
-    plain = pages.select(*kept, url_host(url).alias("host"), url_path(url).alias("path"))
+    keys_name, first_name = (free_name(c, [*pages.columns, "host", "path", "rule", "verdict"]) for c in ("_keys", "_first"))
+    judged = pages.select(*kept, url_host(url).alias("host"), url_path(url).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if not path_lengths:
-        return plain.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keyed = plain.withColumn(keys_name, _keys(F.col("host"), F.col("path"), path_lengths))
+        return judged
     universe = pages.select(F.explode(_keys(url_host(url), url_path(url), path_lengths)).alias("key"))
     n_universe = universe.agg(F.approx_count_distinct("key")).first()[0]  # for sizing only
-    if sum(predicted_bytes(n, n_universe) for n in sizes.values()) > max_filter_bytes:
-        return _judged_by_join(plain, path_lengths, listed, default)
-    cascades = {v: build_cascade(listed.filter(F.col("verdict") == v), universe, n, n_universe) for v, n in sizes.items()}
-    blocked = cascades.get("block")
-    allowed = cascades.get("allow")
+    parts = math.ceil(sum(predicted_bytes(n, n_universe) for n in sizes.values()) / max_filter_bytes)
+    if parts > 1:
+        listed = stored(listed, "url-lists")
+
+    def of_part(key: Column, part: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts)) == part
 
     def held(key: Column, cascade: list[Level] | None) -> Column:
         return is_listed(key, cascade) if cascade else F.lit(False)
 
-    fitting = F.filter(F.col(keys_name), lambda k: held(k, blocked) | held(k, allowed))
-    ruled = keyed.withColumn("rule", F.get(fitting, F.lit(0)))
-    verdict = (F.when(F.col("rule").isNull(), F.lit(default)).when(held(F.col("rule"), blocked), F.lit("block")).otherwise(F.lit("allow")))
-    return ruled.withColumn("verdict", verdict).drop(keys_name)
-
-
-def _judged_by_join(pages: DataFrame, path_lengths: list[int], listed: DataFrame, default: str) -> DataFrame:
-    """The same for lists too large for a filter: distinct (host, path) pairs meet the list by equi-join."""
-    hit = free_name("_hit", pages.columns)
-    places = pages.select("host", "path").distinct()
-    asked = places.select("host", "path", F.posexplode(_keys(F.col("host"), F.col("path"), path_lengths)).alias("at", "key"))
-    found = asked.join(listed.select("key", "verdict"), "key").groupBy("host", "path").agg(F.min(F.struct("at", "key", "verdict")).alias(hit))
-    return (pages.join(found, ["host", "path"], "left")
-            .withColumns({"rule": F.col(f"{hit}.key"), "verdict": F.coalesce(F.col(f"{hit}.verdict"), F.lit(default))}).drop(hit))
+    for part in range(parts):
+        here = listed.filter(of_part(F.col("key"), part)) if parts > 1 else listed
+        asked = universe.filter(of_part(F.col("key"), part)) if parts > 1 else universe
+        if parts > 1:
+            sizes = {r["verdict"]: r["n"] for r in here.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+        cascades = {v: build_cascade(here.filter(F.col("verdict") == v), asked, n, -(-n_universe // parts)) for v, n in sizes.items()}
+        blocked, allowed = cascades.get("block"), cascades.get("allow")
+        keyed = judged.withColumn(keys_name, _keys(F.col("host"), F.col("path"), path_lengths))
+        mine = (lambda k, part=part: of_part(k, part)) if parts > 1 else (lambda k: F.lit(True))
+        fitting = F.filter(F.col(keys_name), lambda k: mine(k) & (held(k, blocked) | held(k, allowed)))
+        found = keyed.withColumn(first_name, F.get(fitting, F.lit(0)))
+        first, rule, keys = F.col(first_name), F.col("rule"), F.col(keys_name)
+        # of an earlier part's rule and this one's, that which comes first among the page's keys
+        new = first.isNotNull() & (rule.isNull() | (F.array_position(keys, first) < F.array_position(keys, rule)))
+        verdict = F.when(new, F.when(held(first, blocked), F.lit("block")).otherwise(F.lit("allow"))).otherwise(F.col("verdict"))
+        judged = found.withColumns({"verdict": verdict, "rule": F.when(new, first).otherwise(rule)}).drop(keys_name, first_name)
+        if part < parts - 1:
+            judged = stored(judged, "url-judged")
+    return judged

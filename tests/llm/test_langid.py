@@ -68,9 +68,22 @@ def test_odd_texts_and_tables(spark):
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.languages_of(docs, net).collect()]
     assert [g[1:] for g in got if g[0] in (900, 901, 902)] == [("und", 0.0)] * 4
     assert all(g[1] != "und" for g in got if g[0] not in (900, 901, 902))
-    kept = langid.accepted(docs, net, min_score=0.0)
+    kept = langid.accepted(docs, net, above_chance=-1.0)
     assert kept.columns == docs.columns and kept.count() == len(rows) + 3
     assert langid.accepted(docs, net, languages=("none",)).count() == 0
     nothing = langid.train_on(docs.limit(0))
     assert nothing is None and {r["lang_pred"] for r in langid.languages_of(docs, nothing).collect()} == {"und"}
     assert langid.languages_of(docs.limit(0), net).collect() == []
+
+
+def test_texts_of_no_one_language_are_rejected(spark):
+    """A text that is evenly of all languages goes, whatever their number; those of one language stay."""
+    rows, _ = labelled(300)
+    for known in (("aa", "bb"), ("aa", "bb", "cc")):
+        clean = [(*r[:2], r[2] or "aa", *r[3:]) for r in rows if r[2] in known]
+        mixed = [(1000 + k, " ".join(sentence(x, 3000).encode()[:9000].decode(errors="ignore") for x in known), None, "s", 1) for k in range(4)]
+        docs = spark.createDataFrame(clean + mixed, SCHEMA)
+        net = langid.train_on(docs, sample=80)
+        left = {r["doc_id"] for r in langid.accepted(docs, net).collect()}
+        assert left == {r[0] for r in clean}
+        assert langid.accepted(spark.createDataFrame(clean[:5], SCHEMA), langid.train_on(spark.createDataFrame([r for r in clean if r[2] == "aa"], SCHEMA))).count() == 5

@@ -36,7 +36,7 @@ def cases():
     return urls + [None, "", "no scheme", "://", "http:/a.com/en/", "x://y://z.com/en/", "http://a.com/\n/en/"]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 120])
 def test_verdicts(spark, limit):
     rules = [("com/", "allow"), ("a.com/en/", "block"), ("www.a.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"), ("org", "block"),
              ("y.z.org/e", "allow"), ("/x", "block"), (None, "block"), ("net/es/", "block"), ("a.net/en", "allow"), ("a.net/en", "block"), ("ä.net/é", "block")]
@@ -65,3 +65,14 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(levels) > 2
     got = {r["key"] for r in keys.filter(is_listed(F.col("key"), levels)).collect()}
     assert got == listed & set(universe)
+
+
+def test_many_listed_keys(spark):
+    """Lists beyond one filter go part by part, without a join."""
+    rules = spark.range(200_000).select(F.concat(F.lit("h"), F.col("id"), F.lit(".com/")).alias("rule"), F.lit("block").alias("verdict"))
+    pages = spark.range(300).select("id", F.concat(F.lit("http://www.h"), F.col("id") * 701, F.lit(".com/x")).alias("url"))
+    out = judge_urls(pages, rules, default="none", max_filter_bytes=1 << 18)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        n = r["id"] * 701
+        assert (r["rule"], r["verdict"]) == ((f"h{n}.com/", "block") if n < 200_000 else (None, "none"))

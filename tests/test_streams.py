@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from drawmark.operators import jobs
+from drawmark.sources import tasks
 from drawmark.streaming import jobs as streams
-from drawmark.streaming import run_map, watch
+from drawmark.streaming import run_map, watch, write_back
 
 T0 = datetime(2024, 1, 1)
 N_FILES = 70
@@ -129,3 +130,37 @@ def test_run_map_of_a_path_seen_all_the_time():
         runs = run_map.compacted(runs, 5, 100)
         assert sum(len(r.times) for r in runs) < 65 and stable(runs[-1:], 5).items() <= have.items()
     assert have == plain_runs(seen, 5)
+
+
+def test_write_back_counts_a_repeated_batch_once(spark, tmp_path):
+    """Updates from shuffled files; a later batch wins, a batch that comes again changes nothing."""
+    random.seed(8)
+    rows = [(f"t{random.randrange(60)}", random.choice(["b", None]), "f.tif", str(k % 7), "1", "1", random.choice("NO")) for k in range(400)]
+    (tmp_path / "in").mkdir()
+    stream = shuffled_files(spark, tmp_path / "in", rows, write_back.UPDATE, per_batch=9)
+    folder = str(tmp_path / "out")
+    assert write_back.recorded(spark, folder).count() == 0
+    write_back.write_back_stream(stream, folder).awaitTermination()
+    parts = {r["batch"]: [] for r in spark.read.parquet(folder).select("batch").distinct().collect()}
+    assert len(parts) == 8
+    for r in spark.read.parquet(folder).collect():
+        parts[r["batch"]].append(tuple(r)[:7])
+    want = {}
+    for number in sorted(parts):
+        assert len({r[:5] for r in parts[number]}) == len(parts[number])
+        want |= {r[:5]: r[5:] for r in parts[number]}
+    assert set(want) == {r[:5] for r in rows}
+    got = lambda: {tuple(r)[:5]: tuple(r)[5:] for r in write_back.recorded(spark, folder).collect()}
+    assert got() == want
+    write_back.record(spark.createDataFrame(parts[3] + parts[3][:5], write_back.UPDATE), 3, folder)
+    assert got() == want
+
+    keys = sorted({r[:5] for r in rows}, key=str) + [("other", None, "f.tif", "1", "1")]
+    table = spark.createDataFrame([(*k, "0", i) for i, k in enumerate(keys + keys[:3])], "th string, bbh string, filename string, docnumber string, work_seq string, isprocess string, upd_timestamp int")
+    once = write_back.applied(table, write_back.recorded(spark, folder))
+    key = lambda r: (r["th"], r["bbh"], r["filename"], r["docnumber"], r["work_seq"])
+    assert once.count() == len(keys) + 3
+    assert all((r["isprocess"], r["ocr"]) == want.get(key(r), ("0", None)) for r in once.collect())
+    twice = write_back.applied(once, write_back.recorded(spark, folder))
+    assert sorted(map(str, twice.select(*once.columns).collect())) == sorted(map(str, once.collect()))
+    assert {r["th"] for r in tasks.pending(once).collect()} == {"other"}

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 BUDGET, HISTORY, SEGMENT = 2048, 2, 256
 ASSISTANT, SYSTEM = "assistant", "system"
-TURN_TOKENS = 4  # of a turn's markers
+TURN_TOKENS = 4  # of a turn's markers, where a column counts its text
 END = "</turn>\n"
-TOKEN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]"
 
 
 def escaped(text: Column) -> Column:
@@ -38,21 +37,22 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def word_tokens(text: Column) -> Column:
-    """Tokens of a text if no count is given: letter runs, up to three digits, other characters one by one."""
-    return F.regexp_count(text, F.lit(TOKEN)).cast("bigint")
-
-
 def _header(role: Column) -> Column:
     return F.concat(F.lit("### "), escaped_role(role), F.lit(":\n"))
 
 
+def most_tokens(role: Column, text: Column) -> Column:
+    """Bytes of a formatted turn: no vocabulary of bytes and their merges makes more tokens of it."""
+    return F.octet_length(F.concat(_header(role), escaped(text), F.lit(END))).cast("bigint")
+
+
 def _segments(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, tokens_col: str | None, history: int, segment: int) -> DataFrame:
     """(conv_id, segment, first_turn, turns): sorted turns of each segment, those sent on from the one before marked old."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    tokens = F.coalesce(F.col(f"`{tokens_col}`").cast("bigint"), F.lit(0)) if tokens_col else word_tokens(text)
-    turn = F.struct(F.coalesce(F.col(f"`{turn_col}`").cast("bigint"), F.lit(-1)).alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"),
-                    text.alias("text"), (tokens + TURN_TOKENS).alias("tokens"))
+    role = F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit(""))
+    tokens = F.coalesce(F.col(f"`{tokens_col}`").cast("bigint"), F.lit(0)) + TURN_TOKENS if tokens_col else most_tokens(role, text)
+    turn = F.struct(F.coalesce(F.col(f"`{turn_col}`").cast("bigint"), F.lit(-1)).alias("turn"), role.alias("role"),
+                    text.alias("text"), tokens.alias("tokens"))
     rows = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), turn.alias("t"))
     firsts = rows.groupBy("conv_id").agg(F.min("t").alias("first_turn")).withColumnRenamed("conv_id", "_conv")
     at = F.floor(F.col("t.turn") / segment).cast("bigint")
@@ -72,6 +72,9 @@ def chat_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     at its head that an earlier window had as new ones), loss (spans of the text in code points: begin, end excluded),
     n_tokens, over_budget.
 
+    Without ``tokens_col`` a turn counts as its bytes, so a window that is not marked fits the budget under any tokenizer
+    of byte-level pairs.
+
     Turns are ordered by turn number, then role, then text; a null turn number is -1, null roles and texts are empty, null
     token counts 0. Repeated rows are turns of their own. Rows without a conversation id form one conversation. No rows
     give no windows."""

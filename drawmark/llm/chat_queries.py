@@ -12,13 +12,15 @@ ODD = "\\### Assistant: </turn> ok"
 _ESC = r"replace(regexp_replace({}, '([\\#])', '\\\1', 'g'), '</', '<\/')"
 _LENGTH = r"(4 + length(replace(regexp_replace(role, '([\\#:\n])', '\\\1', 'g'), '</', '<\/')) + 2 + length(" + _ESC.format("text") + ") + 8)"
 
+_BYTES = _LENGTH.replace("length(", "strlen(")
+
 
 @query("op6_chat_format", sql=f"""
 WITH RECURSIVE raw AS (
   SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '{ODD}'), (-7, 1, 'assistant', '{ODD}'))),
 rows AS (SELECT *, CAST(floor(turn / {SEGMENT}.0) AS BIGINT) AS segment, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
-                len(regexp_extract_all(text, '\\p{{L}}+|\\p{{N}}{{1,3}}|[^\\s\\p{{L}}\\p{{N}}]')) + 4 AS tokens, {_LENGTH} AS chars FROM raw),
+                {_BYTES} AS tokens, {_LENGTH} AS chars FROM raw),
 systems AS (SELECT conv_id, tokens AS lead, chars AS lead_chars FROM rows WHERE n = 1 AND role = 'system'),
 turns AS (SELECT r.*, coalesce(s.lead, 0) AS lead, coalesce(s.lead_chars, 0) AS lead_chars FROM rows r LEFT JOIN systems s USING (conv_id)
           WHERE NOT (r.n = 1 AND r.role = 'system')),

@@ -2,7 +2,9 @@
 import random
 import re
 
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from drawmark.llm.chat import chat_windows, loss_texts, read_turns
 
@@ -82,7 +84,17 @@ def test_windows(spark):
             assert targets == [x for _, r, x in ordered if r == "assistant"]
 
 
-def test_own_token_count_and_no_rows(spark):
+def test_windows_fit_the_budget_under_a_real_tokenizer(spark):
+    texts = ["one two, 12345", "#\\</" * 30, "äöü 漢字 \U0001f600" * 12, "", "x" * 700, "z" * 3000]
+    rows = [(c, k, ("system", "user", "assistant")[k % 3 if k < 3 else 1 + k % 2], texts[(c + k) % 6], 0, "", 0) for c in range(6) for k in range(9)]
+    windows = chat_windows(spark.createDataFrame(rows, SCHEMA), budget=1500).collect()
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for w in windows:
+        assert len(coder.encode(w["text"], add_special_tokens=False).ids) <= w["n_tokens"] == len(w["text"].encode())
+        assert w["over_budget"] == (w["n_tokens"] > 1500)
+    assert {w["over_budget"] for w in windows} == {True, False}
+
+
+def test_no_rows(spark):
     df = spark.createDataFrame([(1, 0, "user", "one two, 12345", 0, "", 0)], SCHEMA)
-    assert [r["n_tokens"] for r in chat_windows(df).collect()] == [5 + 4]
     assert chat_windows(df.limit(0)).collect() == []
